@@ -1,3 +1,4 @@
 """Registered queries: each module pairs Spark builders with SQL twins."""
 
 from tabwise.plans.catalog import profile_q  # noqa: F401
+from tabwise.plans.catalog import clean_q  # noqa: F401

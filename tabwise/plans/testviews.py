@@ -21,7 +21,7 @@ _DIRTY_SELECT = """select o_orderkey,
        case when o_orderkey % 5 = 0 then null else o_orderpriority end as o_orderpriority,
        o_orderstatus,
        1 as const_col,
-       case when o_orderkey % 10 < 6 then null else o_custkey end as mostly_missing
+       case when o_orderkey % 10 < 6 then null else cast(o_custkey as double) end as mostly_missing
 from orders"""
 
 DIRTY_ORDERS_SQL = f"{_DIRTY_SELECT}\nunion all\n{_DIRTY_SELECT} where o_orderkey % 50 = 0"
@@ -41,7 +41,7 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 5 == 0, F.lit(None)).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
         F.col("o_orderstatus"),
         F.lit(1).alias("const_col"),
-        F.when(k % 10 < 6, F.lit(None)).otherwise(F.col("o_custkey")).alias("mostly_missing"),
+        F.when(k % 10 < 6, F.lit(None)).otherwise(F.col("o_custkey").cast("double")).alias("mostly_missing"),
     )
     return base.unionByName(base.filter(k % 50 == 0))
 
