@@ -86,3 +86,40 @@ def pseudo_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("label"),
                      (F.col("l_quantity") * 1500.0 + 2000.0).alias("prediction"))
+
+
+# fixed values: model family names used to label the stand-in leaderboard rows
+FAMILIES = ["Random Forest", "XGBoost", "LightGBM", "Gradient Boosting", "Logistic Regression",
+            "Extra Trees", "Naive Bayes", "Decision Tree", "AdaBoost", "K-Nearest Neighbors",
+            "Support Vector Machine"]
+
+# Leaderboard-shaped rows from lineitem x supplier: one "model" per supplier,
+# one "project" per supplier nation; the metric columns are aggregates of the
+# supplier's line items.  Selection operators then run on these rows.
+LEADERBOARD_SQL = """select s.s_nationkey as project_id,
+  ([{fams}])[l.l_suppkey % 11 + 1] || ' ' || cast(l.l_suppkey as varchar) as model_name,
+  avg(l.l_discount) * 10 as f1_mean, stddev_pop(l.l_discount) as f1_std,
+  avg(l.l_tax) * 10 as accuracy_mean, stddev_pop(l.l_tax) as accuracy_std,
+  avg(l.l_discount) * 9 as precision_mean, avg(l.l_discount) * 9.5 as recall_mean,
+  sum(l.l_quantity) / 100.0 as training_time, avg(l.l_tax) * 2 as overfitting,
+  avg(case when l.l_returnflag = 'R' then 1.0 else 0.0 end) as accuracy,
+  avg(l.l_discount) * 9.8 as f1, avg(l.l_discount) * 9.1 as precision, avg(l.l_discount) * 9.6 as recall
+from lineitem l join supplier s on l.l_suppkey = s.s_suppkey
+group by s.s_nationkey, l.l_suppkey""".format(fams=", ".join(f"'{f}'" for f in FAMILIES))
+
+
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    sp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    j = li.join(sp, li.l_suppkey == sp.s_suppkey)
+    fam = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), (F.col("l_suppkey") % 11 + 1).cast("int"))
+    d, t = F.col("l_discount"), F.col("l_tax")
+    return (j.groupBy(F.col("s_nationkey").alias("project_id"), "l_suppkey")
+             .agg((F.avg(d) * 10).alias("f1_mean"), F.stddev_pop(d).alias("f1_std"),
+                  (F.avg(t) * 10).alias("accuracy_mean"), F.stddev_pop(t).alias("accuracy_std"),
+                  (F.avg(d) * 9).alias("precision_mean"), (F.avg(d) * 9.5).alias("recall_mean"),
+                  (F.sum("l_quantity") / 100.0).alias("training_time"), (F.avg(t) * 2).alias("overfitting"),
+                  F.avg(F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0)).alias("accuracy"),
+                  (F.avg(d) * 9.8).alias("f1"), (F.avg(d) * 9.1).alias("precision"), (F.avg(d) * 9.6).alias("recall"))
+             .withColumn("model_name", F.concat(fam, F.lit(" "), F.col("l_suppkey").cast("string")))
+             .drop("l_suppkey"))
