@@ -222,13 +222,23 @@ def fill_values(df: DataFrame, methods: Mapping[str, str], exact: bool = True) -
     if mode_cols:
         modes = _mode_values(df, mode_cols)
         for c in mode_cols:
-            v = modes.get(c)
-            if v is not None and not isinstance(types[c], T.StringType):
-                v = F.lit(v).cast(types[c])
-            out[c] = v
+            out[c] = _from_string(modes.get(c), types[c])
     return out
 
 
+def _from_string(v: str | None, dt: T.DataType) -> object:
+    """A value read back from its string form, as a plain Python value."""
+    if v is None:
+        return None
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return int(v)
+    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return float(v)
+    if isinstance(dt, T.BooleanType):
+        return v.lower() == "true"
+    return v
+
+
 def apply_fills(df: DataFrame, fills: Mapping[str, object]) -> DataFrame:
     """``coalesce(col, fill)`` in one select; the column keeps its type when
     the fill fits it (an integral column filled with a fractional mean or

@@ -48,7 +48,7 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # pseudo-predictions for metric operators: label = return flag, prediction by
 # a fixed rule on quantity/discount (no model needed on either side)
-PSEUDO_CLASS_SQL = """select l_orderkey, l_linenumber, l_returnflag as label,
+PSEUDO_CLASS_SQL = """select l_orderkey, l_linenumber, l_linestatus, l_returnflag as label,
        case when l_quantity < 20 then 'A' when l_discount > 0.05 then 'R' else 'N' end as prediction
 from lineitem"""
 
@@ -57,12 +57,12 @@ def pseudo_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     pred = (F.when(F.col("l_quantity") < 20, "A")
              .when(F.col("l_discount") > 0.05, "R").otherwise("N"))
-    return li.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("label"),
+    return li.select("l_orderkey", "l_linenumber", "l_linestatus", F.col("l_returnflag").alias("label"),
                      pred.alias("prediction"))
 
 
 # binary pseudo-scores: label = returned (R), score from price/discount
-PSEUDO_BINARY_SQL = """select l_orderkey, l_linenumber,
+PSEUDO_BINARY_SQL = """select l_orderkey, l_linenumber, l_linestatus,
        case when l_returnflag = 'R' then 1 else 0 end as label,
        round(l_discount * 10 + l_tax * 5, 2) as score
 from lineitem"""
@@ -70,7 +70,7 @@ from lineitem"""
 
 def pseudo_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
-    return li.select("l_orderkey", "l_linenumber",
+    return li.select("l_orderkey", "l_linenumber", "l_linestatus",
                      F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"),
                      F.round(F.col("l_discount") * 10 + F.col("l_tax") * 5, 2).alias("score"))
 
