@@ -4,3 +4,4 @@ from tabwise.plans.catalog import profile_q  # noqa: F401
 from tabwise.plans.catalog import clean_q  # noqa: F401
 from tabwise.plans.catalog import metrics_q  # noqa: F401
 from tabwise.plans.catalog import features_q  # noqa: F401
+from tabwise.plans.catalog import split_q  # noqa: F401
