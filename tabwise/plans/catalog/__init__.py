@@ -6,3 +6,4 @@ from tabwise.plans.catalog import metrics_q  # noqa: F401
 from tabwise.plans.catalog import features_q  # noqa: F401
 from tabwise.plans.catalog import split_q  # noqa: F401
 from tabwise.plans.catalog import ml_q  # noqa: F401
+from tabwise.plans.catalog import explain_q  # noqa: F401
