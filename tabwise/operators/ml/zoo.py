@@ -179,6 +179,8 @@ def grid_dict(model_name: str, task: str = "classification", small: bool = False
 def param_grid(model_name: str, small: bool = False, task: str = "classification") -> list[dict]:
     """G14 expanded: every combination of the search space, in grid order."""
     grid = grid_dict(model_name, task, small)
+    if not grid:
+        return []
     names = list(grid)
     return [dict(zip(names, vals)) for vals in itertools.product(*[grid[n] for n in names])]
 

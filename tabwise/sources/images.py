@@ -41,6 +41,8 @@ def load_images(spark: SparkSession, root: str, drop_invalid: bool = False) -> D
     height -1 (BGR byte order, as Spark decodes)."""
     df = (spark.read.format("image").option("dropInvalid", drop_invalid).option("recursiveFileLookup", True)
           .load(root))
+    ext = F.lower(F.regexp_extract("image.origin", r"\.([A-Za-z0-9]+)$", 1))
+    df = df.filter(ext.isin(*IMAGE_EXTENSIONS))
     return df.select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels",
                      "image.mode", "image.data")
 
