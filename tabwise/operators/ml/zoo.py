@@ -8,7 +8,8 @@ are *profiles* of Spark's own learners (named so), not the libraries:
 * "LightGBM" -> GBT, 100 rounds, step 0.1, depth 5 (31 leaves ~ depth 5)
 * "Extra Trees" -> random forest without bootstrap
 GBT is binary in Spark; more classes go through ``OneVsRest``.  Penalties
-follow the sklearn objectives: logistic ``C`` -> ``regParam = 1 / (C n)``,
+follow the sklearn objectives: logistic ``C`` -> ``regParam = 1 / (C n)``
+(and sklearn's convergence tolerance 1e-4 for the linear solvers),
 ridge ``alpha`` -> ``regParam = alpha * std_pop(y) / n`` (Spark divides the
 penalty by the label's standard deviation).
 """
@@ -62,7 +63,7 @@ def _gbt_reg(step: float, depth: int, rounds: int = 100) -> Factory:
 
 
 def _svm(f: DataFacts) -> Estimator:
-    s = LinearSVC(maxIter=1000, regParam=1.0 / max(f.n, 1))
+    s = LinearSVC(maxIter=1000, regParam=1.0 / max(f.n, 1), tol=1e-4)
     return s if f.classes <= 2 else OneVsRest(classifier=s, parallelism=4)
 
 
@@ -73,7 +74,7 @@ CLASSIFIERS: dict[str, Factory] = {
     "LightGBM": _gbt_cls(0.1, 5),
     "Gradient Boosting": _gbt_cls(0.1, 3),
     "Logistic Regression": lambda f: LogisticRegression(maxIter=1000, regParam=1.0 / max(f.n, 1), elasticNetParam=0.0,
-                                                        standardization=False, family="auto"),
+                                                        standardization=False, family="auto", tol=1e-4),
     "Extra Trees": lambda f: RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", bootstrap=False,
                                                     maxDepth=TREE_DEPTH, seed=SEED, **TREE_KW),
 }

@@ -123,3 +123,25 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
                   (F.avg(d) * 9.8).alias("f1"), (F.avg(d) * 9.1).alias("precision"), (F.avg(d) * 9.6).alias("recall"))
              .withColumn("model_name", F.concat(fam, F.lit(" "), F.col("l_suppkey").cast("string")))
              .drop("l_suppkey"))
+
+
+def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tabular stand-in input for classification: labelled documents with
+    numeric statistics of their *whole* text (built-in string functions),
+    language and source as categories, ``quality`` as the target."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    t = F.col("text")
+    n = F.greatest(F.length(t), F.lit(1))
+    words = F.size(F.split(t, r"\s+"))
+    return d.join(lab, "doc_id").select(
+        "doc_id", "lang", "source", "n_chars",
+        words.alias("n_words"),
+        F.size(F.split(t, "\n")).alias("n_lines"),
+        (F.length(F.regexp_replace(t, "[^A-Z]", "")) / n).alias("upper_share"),
+        (F.length(F.regexp_replace(t, "[^0-9]", "")) / n).alias("digit_share"),
+        (F.length(F.regexp_replace(t, r"[^\p{Punct}]", "")) / n).alias("punct_share"),
+        (F.length(t) / F.greatest(words, F.lit(1))).alias("chars_per_word"),
+        F.when(F.instr(t, "@") > 0, 1).otherwise(0).alias("has_at"),
+        F.when(F.instr(F.lower(t), "http") > 0, 1).otherwise(0).alias("has_url"),
+        F.col("quality").cast("string").alias("quality"))
