@@ -150,3 +150,49 @@ def q_context(spark, sf):
     metrics = {"accuracy": float(r["accuracy"]), "precision": float(r["precision"]), "recall": float(r["recall"])}
     ctx = SH.explanation_context(long, 5, metrics)
     return ctx.select("row_id", SH.explain_paragraph(F.col("context")).alias("paragraph"))
+
+
+# K3 / K4 / K5 / K9 on the labelled documents (rows-only: no SQL form) -------------
+def _doc_models(spark, sf):
+    from pyspark.ml.classification import GBTClassifier, NaiveBayes
+    from tabwise.operators.features.prepare import FeaturePreparator
+    from tabwise.operators.features.target import LabelMap
+    from tabwise.operators.split import split_stratified
+    from tabwise.plans.testviews import document_table
+    docs = document_table(spark, sf)
+    prep = FeaturePreparator(target="quality", passthrough=["doc_id"], assemble=True).fit(docs)
+    data = LabelMap("quality", "label").fit(docs).transform(prep.transform(docs)).select("doc_id", "label", "features")
+    data = split_stratified(data, "label", "doc_id").cache()
+    train = data.filter("split = 'train'")
+    test = data.filter("split = 'test'")
+    gbt = GBTClassifier(maxIter=20, maxDepth=3, seed=42).fit(train)
+    nb = NaiveBayes(modelType="gaussian").fit(train)
+    return prep.features, train, test, gbt, nb
+
+
+@register("shap_tree")
+def q_shap_tree(spark, sf):
+    """TreeSHAP of a boosted model for every labelled document, reduced to
+    the global top features (mean |phi|)."""
+    names, train, _test, gbt, _nb = _doc_models(spark, sf)
+    long = SH.shap_values(gbt, train.unionByName(_test), names, "doc_id", train)
+    return SH.global_top_features(long, 5)
+
+
+@register("shap_kernel")
+def q_shap_kernel(spark, sf):
+    """Kernel SHAP of a Gaussian naive Bayes model for the held-out
+    documents (100 background rows, 256 sampled coalitions per row)."""
+    names, train, test, _gbt, nb = _doc_models(spark, sf)
+    long = SH.shap_values(nb, test, names, "doc_id", train, n_samples=256)
+    return SH.local_top_features(long, 3)
+
+
+@register("lime_local")
+def q_lime(spark, sf):
+    """LIME for the held-out documents (1000 perturbations per row), as the
+    LIME sentence of each row."""
+    from tabwise.operators.explain.kernel import lime
+    names, train, test, gbt, _nb = _doc_models(spark, sf)
+    lm = lime(gbt, test, train, names, "doc_id", n_samples=1000, top_n=5)
+    return lm.select("row_id", TX.lime_text(F.col("lime")).alias("lime_explanation"))

@@ -54,3 +54,71 @@ def test_linear_shap_additivity(spark):
     j = tot.join(margin, "row_id").collect()
     assert all(math.isclose(r["f"], r["m"], rel_tol=1e-9, abs_tol=1e-9) for r in j)
     assert SH.explainer_choice(m) == "linear"
+
+
+def _toy(spark):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    cols = ["l_quantity", "l_discount", "l_tax"]
+    d = VectorAssembler(inputCols=cols, outputCol="features").transform(li) \
+        .withColumn("label", ((F.col("l_quantity") > 25) & (F.col("l_discount") > 0.03)).cast("double")) \
+        .withColumn("rid", F.monotonically_increasing_id()) \
+        .withColumn("y", F.col("l_quantity") * 3 + F.col("l_discount") * 100 - F.col("l_tax") * 50)
+    return d.cache(), cols
+
+
+def test_tree_shap_exact_and_additive(spark):
+    import itertools
+
+    import numpy as np
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+
+    from tabwise.operators.explain.tree import shap_batch, tree_tables
+    d, cols = _toy(spark)
+    for est, out in ((RandomForestClassifier(numTrees=4, maxDepth=4, seed=1), vector_to_array("probability")[1]),
+                     (GBTClassifier(maxIter=4, maxDepth=3, seed=1), vector_to_array("rawPrediction")[1])):
+        m = est.fit(d)
+        trees, _, _ = tree_tables(m)
+        t = trees[0]
+        X = np.array([r[0] for r in d.select(vector_to_array("features")).limit(8).collect()])
+
+        def v(S, x, node=0):
+            if t["left"][node] < 0:
+                return t["value"][node]
+            f, lft, rgt = t["feat"][node], t["left"][node], t["right"][node]
+            if f in S:
+                return v(S, x, lft if x[f] <= t["thr"][node] else rgt)
+            c = t["cover"]
+            return (c[lft] * v(S, x, lft) + c[rgt] * v(S, x, rgt)) / c[node]
+        got = shap_batch(X, t)
+        for i, x in enumerate(X):
+            for j in range(3):
+                rest = [k for k in range(3) if k != j]
+                exact = sum(math.factorial(len(S)) * math.factorial(2 - len(S)) / 6 * (v(set(S) | {j}, x) - v(set(S), x))
+                            for n in range(3) for S in itertools.combinations(rest, n))
+                assert math.isclose(got[i, j], exact, abs_tol=1e-12)
+        long = SH.shap_values(m, d, cols, "rid", d)
+        tot = long.groupBy("row_id").agg((F.first("base_value") + F.sum("value")).alias("f"))
+        sc = m.transform(d).select(F.col("rid").cast("string").alias("row_id"), out.alias("o"))
+        assert tot.join(sc, "row_id").select(F.max(F.abs(F.col("f") - F.col("o")))).first()[0] < 1e-9
+
+
+def test_kernel_shap_matches_linear_closed_form(spark):
+    import numpy as np
+    from pyspark.ml.regression import LinearRegression
+
+    from tabwise.operators.explain.kernel import kernel_shap, lime
+    from tabwise.operators.split import background_sample
+    d, cols = _toy(spark)
+    lr = LinearRegression(labelCol="y").fit(d)
+    d2 = d.withColumn("rk", F.col("rid").cast("string"))
+    bg = background_sample(d2, "rk", 40)
+    rows = d.limit(10)
+    ks = kernel_shap(lr, rows, bg, cols, "rid", n_samples=64).collect()
+    mu = np.array([r[0] for r in bg.select(vector_to_array("features")).collect()]).mean(axis=0)
+    w = lr.coefficients.toArray()
+    xs = {str(r["rid"]): r["x"] for r in rows.select("rid", vector_to_array("features").alias("x")).collect()}
+    for r in ks:
+        j = r["position"] - 1
+        assert math.isclose(r["value"], w[j] * (xs[r["row_id"]][j] - mu[j]), rel_tol=1e-9, abs_tol=1e-9)
+    out = lime(lr, rows, d, cols, "rid", n_samples=300, top_n=2).collect()
+    assert len(out) == 10 and all(len(r["lime"]) == 2 for r in out)
