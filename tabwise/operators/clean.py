@@ -117,17 +117,21 @@ class ColumnStats:
     rows: int
     nulls: int            # null (or blank when blank_is_missing)
     distinct: int         # distinct non-missing values (string form)
+    mode: str | None = None   # smallest most frequent non-missing value (string form)
 
 
 def column_stats(df: DataFrame, blank_is_missing: bool = False) -> dict[str, ColumnStats]:
-    """One frequency-table job -> per-column null and distinct counts."""
+    """One frequency-table job -> per-column rows, nulls, distinct count and
+    mode (the mode is a combinable ``min(struct(-n, value))``)."""
     freq = value_frequencies(df)
     miss = is_blank_or_null(F.col("value")) if blank_is_missing else F.col("value").isNull()
     per_col = freq.groupBy("column").agg(
         F.sum("n").alias("rows"),
         F.sum(F.when(miss, F.col("n")).otherwise(0)).alias("nulls"),
-        F.count(F.when(~miss, F.lit(1))).alias("distinct"))
-    out = {r["column"]: ColumnStats(r["column"], int(r["rows"]), int(r["nulls"]), int(r["distinct"]))
+        F.count(F.when(~miss, F.lit(1))).alias("distinct"),
+        F.min(F.when(~miss, F.struct((-F.col("n")).alias("k"), F.col("value").alias("v")))).alias("m"))
+    out = {r["column"]: ColumnStats(r["column"], int(r["rows"]), int(r["nulls"]), int(r["distinct"]),
+                                    r["m"]["v"] if r["m"] is not None else None)
            for r in per_col.collect()}
     for c in df.columns:  # empty frame: no rows in the frequency table
         out.setdefault(c, ColumnStats(c, 0, 0, 0))
@@ -387,6 +391,7 @@ def auto_clean(df: DataFrame, target: str | None = None, protected: Sequence[str
 
     types = {f.name: f.dataType for f in out.schema.fields}
     methods: dict[str, str] = {}
+    fills: dict[str, object] = {}
     filled = 0
     for c in out.columns:
         nulls = st1[c].nulls
@@ -399,8 +404,9 @@ def auto_clean(df: DataFrame, target: str | None = None, protected: Sequence[str
         elif isinstance(types[c], T.StringType):
             filled += nulls
             if c != target:
-                methods[c] = "mode"
-    out = apply_fills(out, fill_values(out, methods, exact=exact))
+                fills[c] = st1[c].mode          # from the same statistics pass
+    fills.update(fill_values(out, methods, exact=exact))
+    out = apply_fills(out, fills)
     summary.filled_missing = filled
     if filled > 0:
         summary.notes.append(f"Filled {filled} missing values")

@@ -145,29 +145,44 @@ def dq_report(df: DataFrame) -> DataFrame:
     """One row per column with shape, duplicates, missing, unique,
     numeric statistics (numeric columns) or most common value (others).
 
-    Jobs: the fused numeric/missing aggregate, the frequency table and the
-    duplicate count; all joins are between per-column tables (size bounded
-    by the schema) and are broadcast."""
+    Three scans of the input: one fused aggregate (rows, nulls of every
+    column, mean / sample std / min / max of every numeric column), one
+    value-frequency aggregation that yields unique counts and modes together,
+    and the duplicate count.  The per-column tables they produce are bounded
+    by the schema and are joined by broadcast."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    shape = shape_types(df)
-    miss = missing_counts(df).drop("n_rows")
+    cols = df.columns
+    num = [c for c in cols if is_numeric_type(types[c])]
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(cols):
+        stats = [F.sum(F.when(_q(c).isNull(), 1).otherwise(0)).cast("long").alias("missing_count")]
+        if c in num:
+            x = _num(c, types[c])
+            stats += [F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
+                      F.max(x).alias("max")]
+        else:
+            stats += [F.lit(None).cast("double").alias(k) for k in ("mean", "std", "min", "max")]
+        aggs.append(F.struct(*stats).alias(f"s{i}"))
+    wide = df.agg(*aggs)
+    per_col = wide.select("_n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"),
+                 F.lit(types[c].simpleString()).alias("dtype"), F.col(f"s{i}").alias("s"))
+        for i, c in enumerate(cols)])).alias("r")).select(
+        "r.position", "r.column_name", "r.dtype", F.col("_n").alias("n_rows"), "r.s.*")
     freq = value_frequencies(df)
-    uniq = unique_counts(df, freq)
-    stats = numeric_stats(df)
-    non_numeric = [c for c in df.columns if not is_numeric_type(types[c])]
-    mc = most_common(freq.filter(F.col("column").isin(non_numeric))) if non_numeric else None
+    mode = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("k"), F.col("value").alias("v"))))
+    distinct = freq.groupBy("column").agg(F.count("value").cast("long").alias("unique_values"),
+                                          mode.alias("_mode"))
     dup = duplicate_count(df).select("duplicates")
-    out = (shape.join(F.broadcast(miss), shape.column_name == miss.column, "left").drop("column")
-                .join(F.broadcast(uniq), F.col("column_name") == uniq.column, "left").drop("column")
-                .join(F.broadcast(stats), F.col("column_name") == stats.column, "left").drop("column"))
-    if mc is not None:
-        out = out.join(F.broadcast(mc), F.col("column_name") == mc.column, "left").drop("column")
-    else:
-        out = out.withColumn("most_common", F.lit(None).cast("string"))
+    non_numeric = [c for c in cols if c not in num]
+    out = per_col.join(F.broadcast(distinct), per_col.column_name == distinct.column, "left").drop("column")
     out = attach_one_row(out, dup)
-    return out.select("position", "column_name", "dtype", "n_rows", "n_cols", "duplicates",
-                      "missing_count", "missing_pct", "unique_values", "mean", "std", "min", "max",
-                      "most_common")
+    most_common = F.when(F.col("column_name").isin(*non_numeric), F.col("_mode.v")) if non_numeric else F.lit(None)
+    return out.select(
+        "position", "column_name", "dtype", "n_rows", F.lit(len(cols)).cast("long").alias("n_cols"), "duplicates",
+        "missing_count",
+        F.try_divide(F.col("missing_count") * F.lit(100.0), F.col("n_rows").cast("double")).alias("missing_pct"),
+        "unique_values", "mean", "std", "min", "max", most_common.cast("string").alias("most_common"))
 
 
 # ---------------------------------------------------------------------------
