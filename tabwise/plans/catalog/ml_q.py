@@ -167,3 +167,30 @@ def q_tuning_compare(spark, sf):
     out = TU.compare_before_after(lb.select("model_name", F.col("f1_mean").alias("default_score")),
                                   lb.select("model_name", F.col("f1").alias("best_score")))
     return rounded(out)
+
+
+# J1 on Structured Streaming ----------------------------------------------------
+@register("stream_scoring")
+def q_stream(spark, sf):
+    """Scores the orders table as a file stream (one file per micro-batch)
+    with the naive Bayes predictor of the shared AutoML run; returns the rows
+    the stream wrote to its sink."""
+    import os
+    import uuid
+
+    from tabwise.session import ensure_checkpoint_dir
+    from tabwise.streaming.scoring import score_stream, stream_source
+    predictor = _classification_run(spark, sf).predictor("Naive Bayes")
+    src = os.path.join(sf, "orders.parque[t]")       # glob: the table file as a file-stream source
+    cols = ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority", "c_acctbal", "c_mktsegment"]
+    o = table(spark, sf, "orders")
+    stream = stream_source(spark, src, o.schema)
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    joined = stream.join(c, stream.o_custkey == c.c_custkey).select(*cols)     # stream-static join
+    name = f"scored_{uuid.uuid4().hex[:10]}"
+    ckpt = os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), "streams", name)
+    q = (score_stream(predictor, joined, probabilities=False).writeStream.format("memory").queryName(name)
+         .option("checkpointLocation", ckpt).outputMode("append").start())
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
