@@ -50,10 +50,9 @@ class LabelMap(JsonEstimator):
         col = cfg["label"]
         dt = df.schema[col].dataType
         values = df.select(qcol(col).alias("v")).filter(F.col("v").isNotNull()).distinct()
-        n = values.count()
-        if n > cfg["max_classes"]:
-            raise ValueError(f"{n} classes exceed max_classes={cfg['max_classes']}")
-        vals = [r["v"] for r in values.collect()]
+        vals = [r["v"] for r in values.limit(cfg["max_classes"] + 1).collect()]   # bounded collect
+        if len(vals) > cfg["max_classes"]:
+            raise ValueError(f"more than max_classes={cfg['max_classes']} classes")
         numeric = isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType))
         vals = sorted(vals) if numeric else sorted(str(v) for v in vals)
         labels = [str(v) for v in vals]

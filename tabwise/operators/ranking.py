@@ -60,9 +60,14 @@ def hash_bucket(hex_hash: Column, prefix: int) -> Column:
 
 def hash_rank(df: DataFrame, partition_by: Sequence[str], hex_hash: str, key: str,
               name: str = "rank", with_group_size: str | None = None,
-              prefix: int = 4) -> DataFrame:
+              prefix: int = 5) -> DataFrame:
     """``row_number() over (partition by partition_by order by hex_hash, key)``
-    for a uniformly distributed hex hash column (md5 / sha)."""
+    for a uniformly distributed hex hash column (md5 / sha).
+
+    Sizing: a group of ``n`` rows gives ``16**prefix`` buckets of about
+    ``n / 16**prefix`` rows (the per-bucket window) and a prefix sum over at
+    most ``16**prefix`` bucket counts per group; with 5 hex digits both stay
+    near a million rows even for a class of 10^12 rows."""
     partition_by = list(partition_by)
     b = "_tw_bucket"
     x = df.withColumn(b, hash_bucket(F.col(hex_hash), prefix))

@@ -155,6 +155,29 @@ def q_tune(spark, sf):
     return spark.createDataFrame([(str(p), float(s)) for p, s in r.trials], "params string, cv_f1 double")
 
 
+def _tuning_data(spark, sf):
+    d = order_features(spark, sf)
+    prep = FeaturePreparator(target="band", passthrough=["o_orderkey"], assemble=True).fit(d)
+    data = LabelMap("band", "label").fit(d).transform(prep.transform(d)).select("o_orderkey", "label", "features")
+    return kfold_stratified(data, "label", "o_orderkey").cache()
+
+
+@register("tune_random")
+def q_tune_random(spark, sf):
+    """3 seeded draws from the full logistic-regression grid."""
+    r = TU.tune_model("Logistic Regression", FAST["Logistic Regression"], _tuning_data(spark, sf), "classification",
+                      "random", n_iter=3)
+    return spark.createDataFrame([(str(p), float(s)) for p, s in r.trials], "params string, cv_f1 double")
+
+
+@register("tune_many")
+def q_tune_many(spark, sf):
+    """Random search (2 draws each) for two models; score > 0 kept."""
+    board, _ = TU.tune_many({"Logistic Regression": FAST["Logistic Regression"], "Decision Tree": FAST["Decision Tree"]},
+                            _tuning_data(spark, sf), "classification", "random", n_iter=2)
+    return board.drop("tuning_time")
+
+
 # G18 -------------------------------------------------------------------------
 _CMP_SQL = f"""with lb as ({LEADERBOARD_SQL})
 select model_name, round(f1_mean, 6) as default_score, round(f1, 6) as tuned_score, round(f1 - f1_mean, 6) as improvement,
