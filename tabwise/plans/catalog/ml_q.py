@@ -164,8 +164,8 @@ def _tuning_data(spark, sf):
 
 @register("tune_random")
 def q_tune_random(spark, sf):
-    """3 seeded draws from the full logistic-regression grid."""
-    r = TU.tune_model("Logistic Regression", FAST["Logistic Regression"], _tuning_data(spark, sf), "classification",
+    """3 seeded draws from the full decision-tree grid (224 combinations)."""
+    r = TU.tune_model("Decision Tree", FAST["Decision Tree"], _tuning_data(spark, sf), "classification",
                       "random", n_iter=3)
     return spark.createDataFrame([(str(p), float(s)) for p, s in r.trials], "params string, cv_f1 double")
 
@@ -173,7 +173,7 @@ def q_tune_random(spark, sf):
 @register("tune_many")
 def q_tune_many(spark, sf):
     """Random search (2 draws each) for two models; score > 0 kept."""
-    board, _ = TU.tune_many({"Logistic Regression": FAST["Logistic Regression"], "Decision Tree": FAST["Decision Tree"]},
+    board, _ = TU.tune_many({"Naive Bayes": FAST["Naive Bayes"], "Decision Tree": FAST["Decision Tree"]},
                             _tuning_data(spark, sf), "classification", "random", n_iter=2)
     return board.drop("tuning_time")
 
