@@ -141,7 +141,7 @@ def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 # C7 report
 # ---------------------------------------------------------------------------
 
-def dq_report(df: DataFrame) -> DataFrame:
+def dq_report(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """One row per column with shape, duplicates, missing, unique,
     numeric statistics (numeric columns) or most common value (others).
 
@@ -149,13 +149,20 @@ def dq_report(df: DataFrame) -> DataFrame:
     column, mean / sample std / min / max of every numeric column), one
     value-frequency aggregation that yields unique counts and modes together,
     and the duplicate count.  The per-column tables they produce are bounded
-    by the schema and are joined by broadcast."""
+    by the schema and are joined by broadcast.
+
+    ``approx_distinct=True`` (very wide / high-cardinality tables): unique
+    counts come from HyperLogLog sketches inside the fused aggregate and the
+    frequency table covers only the non-numeric columns (for their modes),
+    so it no longer grows with every distinct number of every column."""
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = df.columns
     num = [c for c in cols if is_numeric_type(types[c])]
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
         stats = [F.sum(F.when(_q(c).isNull(), 1).otherwise(0)).cast("long").alias("missing_count")]
+        if approx_distinct:
+            stats.append(F.approx_count_distinct(_q(c).cast("string"), 0.01).cast("long").alias("approx_unique"))
         if c in num:
             x = _num(c, types[c])
             stats += [F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
@@ -169,13 +176,21 @@ def dq_report(df: DataFrame) -> DataFrame:
                  F.lit(types[c].simpleString()).alias("dtype"), F.col(f"s{i}").alias("s"))
         for i, c in enumerate(cols)])).alias("r")).select(
         "r.position", "r.column_name", "r.dtype", F.col("_n").alias("n_rows"), "r.s.*")
-    freq = value_frequencies(df)
+    non_numeric = [c for c in cols if c not in num]
+    freq_cols = non_numeric if approx_distinct else cols
     mode = F.min(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("k"), F.col("value").alias("v"))))
-    distinct = freq.groupBy("column").agg(F.count("value").cast("long").alias("unique_values"),
-                                          mode.alias("_mode"))
+    if freq_cols:
+        freq = value_frequencies(df, freq_cols)
+        distinct = freq.groupBy("column").agg(F.count("value").cast("long").alias("unique_values"), mode.alias("_mode"))
+    else:
+        distinct = df.sparkSession.createDataFrame([], "column string, unique_values long, "
+                                                       "_mode struct<k:bigint,v:string>")
+    if approx_distinct:
+        per_col = per_col.withColumnRenamed("approx_unique", "_approx_unique")
     dup = duplicate_count(df).select("duplicates")
-    non_numeric = [c for c in cols if c not in num]
     out = per_col.join(F.broadcast(distinct), per_col.column_name == distinct.column, "left").drop("column")
+    if approx_distinct:
+        out = out.withColumn("unique_values", F.col("_approx_unique")).drop("_approx_unique")
     out = attach_one_row(out, dup)
     most_common = F.when(F.col("column_name").isin(*non_numeric), F.col("_mode.v")) if non_numeric else F.lit(None)
     return out.select(

@@ -99,3 +99,13 @@ def test_column_profile_and_recommendation(spark):
     # scores 5 + 10 + 60 + 35 = 110 and outranks "target" (20 + 10 + 60 + 5 = 95)
     assert rec["category"] == (110, 1) and rec["target"] == (95, 2)
     assert rec["id"][1] > 2
+
+
+def test_dq_report_approx_distinct(spark):
+    from tabwise.plans.testviews import dirty_orders
+    d = dirty_orders(spark, "/root/testdata/sf0.001")
+    exact = {r["column_name"]: r for r in P.dq_report(d).collect()}
+    approx = {r["column_name"]: r for r in P.dq_report(d, approx_distinct=True).collect()}
+    for c, r in exact.items():
+        assert abs(approx[c]["unique_values"] - r["unique_values"]) <= max(2, 0.03 * r["unique_values"])
+        assert approx[c]["most_common"] == r["most_common"] and approx[c]["mean"] == r["mean"]
