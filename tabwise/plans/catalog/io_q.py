@@ -146,3 +146,29 @@ def q_image_split(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label")
     split, _, _ = prepare_image_split(e, "label", "vec_id")
     return split.select("vec_id", "label", "label_index", "split")
+
+
+# A2 / A3 / A11 ---------------------------------------------------------------
+@register("csv_ui_read", "select * from part")
+def q_csv_ui(spark, sf):
+    """The upload rule: a ``.csv`` path, header, empty lines skipped, typed."""
+    path = scratch(spark, "part") + ".csv"
+    IO.write_csv(table(spark, sf, "part"), path)
+    return IO.read_csv_ui(spark, path)
+
+
+@register("records_roundtrip", """select o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+  strftime(o_orderdate, '%Y-%m-%d') as o_orderdate, o_orderpriority from orders""")
+def q_records(spark, sf):
+    """JSON records written by Spark and read back in parallel."""
+    o = table(spark, sf, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    path = scratch(spark, "orders-json")
+    o.write.mode("overwrite").json(path)
+    return IO.read_records(spark, path)
+
+
+@register("project_overview_types", f"with lb as ({LEADERBOARD_SQL}) "
+                                    "select 'classification' as task_type, count(distinct project_id) as projects from lb")
+def q_overview_types(spark, sf):
+    states, _ = _states(spark, sf)
+    return PJ.project_overview(states)["types"]
