@@ -54,6 +54,17 @@ def align_schema(df: DataFrame, training_columns: Sequence[str], target: str | N
     return df.select(*[_q(c) for c in training_columns])
 
 
+def column_set_diff(df: DataFrame, training_columns: Sequence[str]) -> DataFrame:
+    """``(column, status)`` with ``missing`` for training columns the
+    frame lacks and ``extra`` for frame columns training did not use
+    (``exceptAll`` on two one-column tables)."""
+    spark = df.sparkSession
+    have = spark.createDataFrame([(c,) for c in df.columns], "column string")
+    want = spark.createDataFrame([(c,) for c in training_columns], "column string")
+    return (want.exceptAll(have).withColumn("status", F.lit("missing"))
+            .unionByName(have.exceptAll(want).withColumn("status", F.lit("extra"))))
+
+
 def drop_leakage(df: DataFrame, leakage: Sequence[str]) -> tuple[DataFrame, dict[str, list[str]]]:
     """Remove named leakage features; report present and absent names."""
     present = [c for c in leakage if c in df.columns]

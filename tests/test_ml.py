@@ -78,3 +78,25 @@ def test_compare_before_after(spark):
     b = spark.createDataFrame([("m", 0.9), ("z", 0.1)], "model_name string, best_score double")
     r = {x["model_name"]: x for x in compare_before_after(a, b).collect()}
     assert math.isclose(r["m"]["improvement_pct"], 12.5) and r["z"]["improvement_pct"] == 0.0
+
+
+def test_zoo_profiles_and_mappings():
+    from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+    f2, f3 = zoo.DataFacts(n=1000, classes=2), zoo.DataFacts(n=1000, classes=3)
+    xgb = zoo.CLASSIFIERS["XGBoost"](f2)
+    assert isinstance(xgb, GBTClassifier) and xgb.getStepSize() == 0.3 and xgb.getMaxDepth() == 6 and xgb.getMaxIter() == 100
+    lgbm = zoo.CLASSIFIERS["LightGBM"](f2)
+    assert lgbm.getStepSize() == 0.1 and lgbm.getMaxDepth() == 5
+    gb = zoo.CLASSIFIERS["Gradient Boosting"](f3)
+    assert isinstance(gb, OneVsRest) and gb.getClassifier().getMaxDepth() == 3
+    et = zoo.CLASSIFIERS["Extra Trees"](f2)
+    assert isinstance(et, RandomForestClassifier) and et.getBootstrap() is False and et.getNumTrees() == 100
+    lr = zoo.CLASSIFIERS["Logistic Regression"](f2)
+    assert math.isclose(lr.getRegParam(), 1 / 1000)
+    ridge = zoo.REGRESSORS["Ridge Regression"](zoo.DataFacts(n=100, label_std=2.0))
+    assert math.isclose(ridge.getRegParam(), 2.0 / 100)
+    assert set(zoo.default_models("classification")) == {"Random Forest", "XGBoost", "LightGBM", "Gradient Boosting",
+                                                         "Logistic Regression", "Extra Trees"}
+    tuned = zoo.to_spark(zoo.CLASSIFIERS["Random Forest"](f2), {"n_estimators": 50, "max_depth": None,
+                                                                 "max_features": "log2"}, f2)
+    assert tuned.getNumTrees() == 50 and tuned.getMaxDepth() == 30 and tuned.getFeatureSubsetStrategy() == "log2"

@@ -109,3 +109,9 @@ def test_dq_report_approx_distinct(spark):
     for c, r in exact.items():
         assert abs(approx[c]["unique_values"] - r["unique_values"]) <= max(2, 0.03 * r["unique_values"])
         assert approx[c]["most_common"] == r["most_common"] and approx[c]["mean"] == r["mean"]
+
+
+def test_column_set_diff(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a long, b long, z long")
+    got = {(r["column"], r["status"]) for r in C.column_set_diff(df, ["a", "b", "c"]).collect()}
+    assert got == {("c", "missing"), ("z", "extra")}
