@@ -80,7 +80,7 @@ def test_compare_before_after(spark):
     assert math.isclose(r["m"]["improvement_pct"], 12.5) and r["z"]["improvement_pct"] == 0.0
 
 
-def test_zoo_profiles_and_mappings():
+def test_zoo_profiles_and_mappings(spark):
     from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
     f2, f3 = zoo.DataFacts(n=1000, classes=2), zoo.DataFacts(n=1000, classes=3)
     xgb = zoo.CLASSIFIERS["XGBoost"](f2)
