@@ -347,8 +347,26 @@ def q_ui_numeric(spark, sf):
     return spark.createDataFrame([(c, c in num) for c in v.columns], "column string, is_numeric boolean")
 
 
-# D17 (composition; rows-only: the one-hot vocabulary order is Spark's own) ----
-@register("generic_preprocess_ui")
+# D17 ------------------------------------------------------------------------
+_PRI = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_GENERIC_SQL = with_dirty(""", d as (select distinct o_orderkey, o_totalprice, o_orderpriority, o_orderstatus, mostly_missing
+   from dirty),
+f as (select cast(o_orderkey as double) as o_orderkey,
+   coalesce(o_totalprice, (select avg(o_totalprice) from d)) as o_totalprice,
+   coalesce(o_orderpriority, (select v from (select o_orderpriority v, count(*) n from d where o_orderpriority is not null
+     group by 1 order by n desc, v limit 1) m), 'Unknown') as o_orderpriority, o_orderstatus from d),
+s as (select avg(o_orderkey) mk, coalesce(nullif(stddev_pop(o_orderkey), 0), 1) sk,
+   avg(o_totalprice) mp, coalesce(nullif(stddev_pop(o_totalprice), 0), 1) sp from f),
+c as (select least(greatest(o_orderkey, mk - 4 * sk), mk + 4 * sk) as o_orderkey,
+   least(greatest(o_totalprice, mp - 4 * sp), mp + 4 * sp) as o_totalprice, o_orderpriority, o_orderstatus from f, s),
+r as (select min(o_orderkey) lk, max(o_orderkey) hk, min(o_totalprice) lp, max(o_totalprice) hp from c)
+select round((o_orderkey - lk) / coalesce(nullif(hk - lk, 0), 1), 6) as o_orderkey,
+  round((o_totalprice - lp) / coalesce(nullif(hp - lp, 0), 1), 6) as o_totalprice, o_orderstatus, """ + ", ".join(
+    f"case when o_orderpriority = '{v}' then 1 else 0 end as \"o_orderpriority__{v.replace(' ', '_')}\"" for v in _PRI) + """
+from c, r""")
+
+
+@register("generic_preprocess_ui", _GENERIC_SQL)
 def q_generic_ui(spark, sf):
     out, _ = C.generic_preprocess_ui(dirty_orders(spark, sf), target="o_orderstatus", protected=["o_orderkey"])
-    return out
+    return rounded(out)
