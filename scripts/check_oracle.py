@@ -1,6 +1,6 @@
 """Run every registered query in Spark and its SQL twin in DuckDB; compare.
 
-    python scripts/check_oracle.py [sf_dir] [name-substring ...]
+    python scripts/check_oracle.py [sf_dir] [--sql-only] [--no-ansi] [name-substring ...]
 
 Compares row count, column names and an order-insensitive hash of the
 values (columns sorted by name, floats rounded to 6 decimals).
@@ -53,15 +53,20 @@ def frame_hash(df: pd.DataFrame) -> str:
 
 def main() -> int:
     args = sys.argv[1:]
+    sql_only = "--sql-only" in args
+    no_ansi = "--no-ansi" in args
+    args = [a for a in args if not a.startswith("--")]
     sf_dir = "/root/testdata/sf0.01"
     if args and os.path.isdir(args[0]):
         sf_dir, args = args[0], args[1:]
     spark = local_session()
+    if no_ansi:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     qs, sqls = queries(), oracle_sql()
-    names = [n for n in qs if not args or any(a in n for a in args)]
+    names = [n for n in qs if (not args or any(a in n for a in args)) and (not sql_only or n in sqls)]
     bad = 0
     for name in names:
         t0 = time.time()
