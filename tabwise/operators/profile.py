@@ -355,7 +355,7 @@ def recommend_target(profile: DataFrame) -> DataFrame:
     scored = profile.select("position", F.col("name").alias("target"), score.cast("int").alias("score"),
                             reasons.alias("reasons"))
     w = Window.orderBy(F.desc("score"), F.asc("position"))
-    return scored.withColumn("rank", F.row_number().over(w))
+    return scored.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 def detect_task_type(df: DataFrame, target: str) -> DataFrame:

@@ -30,7 +30,7 @@ def model_comparison(test_board: DataFrame, metric: str = "f1", n: int = 6,
     """L1: the ``n`` best models of the test leaderboard by ``metric``
     (f1 / r2) with all their metrics; ``is_best`` marks the first."""
     w = Window.partitionBy(*project).orderBy(F.desc(metric), F.asc("model_name"))
-    out = test_board.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
+    out = test_board.withColumn("position", F.row_number().over(w).cast("long")).filter(F.col("position") <= n)
     return out.withColumn("is_best", F.col("position") == 1)
 
 
@@ -115,5 +115,5 @@ def visualization_payload(predictions: DataFrame, importances: DataFrame | None,
         out["predictions"] = confusion_matrix(predictions, label, prediction)
     if importances is not None:
         w = Window.orderBy(F.desc("importance"), F.asc("feature"))
-        out["importance"] = importances.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 20)
+        out["importance"] = importances.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= 20)
     return out

@@ -129,7 +129,7 @@ def composite_scores(board: DataFrame, task: str = "classification", weights: Ma
     if min_performance:
         sc = sc.filter(F.col("raw_performance") >= F.lit(min_performance))
     w = Window.partitionBy(*project).orderBy(F.desc("composite_score"), F.desc("raw_performance"), F.asc("model_name"))
-    return sc.withColumn("selection_rank", F.row_number().over(w))
+    return sc.withColumn("selection_rank", F.row_number().over(w).cast("long"))
 
 
 class NoModelQualifies(ValueError):
@@ -160,14 +160,14 @@ def priority_table(board: DataFrame, task: str = "classification", project: Sequ
         *project, "model_name", "raw_performance", "c.priority", "c.composite_score")
     w = Window.partitionBy(*project, "priority").orderBy(F.desc("composite_score"), F.desc("raw_performance"),
                                                          F.asc("model_name"))
-    return long.withColumn("selection_rank", F.row_number().over(w)).drop("raw_performance")
+    return long.withColumn("selection_rank", F.row_number().over(w).cast("long")).drop("raw_performance")
 
 
 def top_models(board: DataFrame, task: str = "classification", n: int = 3, project: Sequence[str] = ()) -> DataFrame:
     """Top ``n`` by ``f1_mean`` / ``r2_mean`` per project."""
     m = f"{perf_metric(task)}_mean"
     w = Window.partitionBy(*project).orderBy(F.desc(m), F.asc("model_name"))
-    return board.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return board.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
 
 
 def compare_models(board: DataFrame, names: Sequence[str], task: str = "classification",

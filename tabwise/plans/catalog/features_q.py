@@ -91,7 +91,7 @@ def q_encode_all(spark, sf):
 # E7 --------------------------------------------------------------------------
 @register("datetime_features", """select o_orderkey, year(o_orderdate) as o_orderdate_year, month(o_orderdate) as o_orderdate_month,
   day(o_orderdate) as o_orderdate_day, isodow(o_orderdate) - 1 as o_orderdate_dayofweek, quarter(o_orderdate) as o_orderdate_quarter,
-  case when isodow(o_orderdate) - 1 in (5, 6) then 1 else 0 end as o_orderdate_is_weekend from orders""")
+  cast(case when isodow(o_orderdate) - 1 in (5, 6) then 1 else 0 end as bigint) as o_orderdate_is_weekend from orders""")
 def q_datetime(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
     return DatetimeFeatures().transform(o).select(

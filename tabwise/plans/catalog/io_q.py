@@ -149,7 +149,7 @@ def q_image_split(spark, sf):
 
 
 # A2 / A3 / A11 ---------------------------------------------------------------
-@register("csv_ui_read", "select * from part")
+@register("csv_ui_read", "select * replace (cast(p_size as bigint) as p_size) from part")
 def q_csv_ui(spark, sf):
     """The upload rule: a ``.csv`` path, header, empty lines skipped, typed."""
     path = scratch(spark, "part") + ".csv"

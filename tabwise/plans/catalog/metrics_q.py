@@ -455,7 +455,7 @@ def q_topk(spark, sf):
 def q_sortlb(spark, sf):
     lb = leaderboard(spark, sf)
     w = Window.partitionBy("project_id").orderBy(F.desc("f1_mean"), F.asc("model_name"))
-    return rounded(lb.select("project_id", "model_name", "f1_mean", F.row_number().over(w).alias("position")))
+    return rounded(lb.select("project_id", "model_name", "f1_mean", F.row_number().over(w).cast("long").alias("position")))
 
 
 # O5 / O6 / O7 ------------------------------------------------------------------
