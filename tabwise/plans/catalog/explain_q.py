@@ -127,11 +127,10 @@ def q_route(spark, sf):
 # K8 / K13 (model-based, rows-only) -----------------------------------------------
 @register("feature_importance")
 def q_importance(spark, sf):
-    from tabwise.operators.ml.zoo import OPTIONAL_CLASSIFIERS
-    from tabwise.plans.catalog.ml_q import order_features
-    from tabwise.plans.automl import run_automl
-    run = run_automl(order_features(spark, sf), "band", "o_orderkey", "classification",
-                     models={"Decision Tree": OPTIONAL_CLASSIFIERS["Decision Tree"]})
+    """Impurity importances of the decision tree of the shared AutoML run,
+    named by the encoded features."""
+    from tabwise.plans.catalog.ml_q import _classification_run
+    run = _classification_run(spark, sf)
     return SH.feature_importance(run.train.models["Decision Tree"], run.preparator.features, spark, top=20)
 
 
@@ -153,7 +152,19 @@ def q_context(spark, sf):
 
 
 # K3 / K4 / K5 / K9 on the labelled documents (rows-only: no SQL form) -------------
+_DOC_MODELS: dict = {}
+
+
 def _doc_models(spark, sf):
+    """Prepared labelled documents and two fitted models, built once per
+    session and data folder for the explanation queries."""
+    key = (id(spark), sf)
+    if key not in _DOC_MODELS:
+        _DOC_MODELS[key] = _fit_doc_models(spark, sf)
+    return _DOC_MODELS[key]
+
+
+def _fit_doc_models(spark, sf):
     from pyspark.ml.classification import GBTClassifier, NaiveBayes
     from tabwise.operators.features.prepare import FeaturePreparator
     from tabwise.operators.features.target import LabelMap

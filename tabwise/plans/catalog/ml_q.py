@@ -145,17 +145,23 @@ def q_topclass(spark, sf):
 # G15-G17 ---------------------------------------------------------------------
 @register("tune_grid")
 def q_tune(spark, sf):
-    d = order_features(spark, sf)
-    prep = FeaturePreparator(target="band", passthrough=["o_orderkey"], assemble=True).fit(d)
-    x = LabelMap("band", "label").fit(d)
-    data = x.transform(prep.transform(d)).select("o_orderkey", "label", "features")
-    data = kfold_stratified(data, "label", "o_orderkey")
     grid = [{"C": c} for c in (0.1, 1, 10)]
-    r = TU.tune_model("Logistic Regression", FAST["Logistic Regression"], data, "classification", "grid", grid=grid)
+    r = TU.tune_model("Logistic Regression", FAST["Logistic Regression"], _tuning_data(spark, sf), "classification",
+                      "grid", grid=grid)
     return spark.createDataFrame([(str(p), float(s)) for p, s in r.trials], "params string, cv_f1 double")
 
 
+_TUNING: dict = {}
+
+
 def _tuning_data(spark, sf):
+    key = (id(spark), sf)
+    if key not in _TUNING:
+        _TUNING[key] = _build_tuning_data(spark, sf)
+    return _TUNING[key]
+
+
+def _build_tuning_data(spark, sf):
     d = order_features(spark, sf)
     prep = FeaturePreparator(target="band", passthrough=["o_orderkey"], assemble=True).fit(d)
     data = LabelMap("band", "label").fit(d).transform(prep.transform(d)).select("o_orderkey", "label", "features")
