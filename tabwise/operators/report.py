@@ -52,7 +52,8 @@ def histogram(df: DataFrame, value: str, bins: int = 30, group_by: Sequence[str]
     x = F.col(value).cast("double")
     rng = df.groupBy(*g).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     j = df.select(*g, x.alias("_x")).filter(F.col("_x").isNotNull())
-    j = j.join(F.broadcast(rng), g, "inner") if g else attach_one_row(j, rng)
+    # per-group ranges: as many rows as groups, so AQE's size check decides on broadcasting
+    j = j.join(rng, g, "inner") if g else attach_one_row(j, rng)
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_lo")) / width).cast("int")))
@@ -75,7 +76,7 @@ def boxplot(df: DataFrame, value: str, group_by: Sequence[str] = (), exact: bool
                            F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("median"),
                            F.max(F.when(F.col("p") == 0.75, F.col("value"))).alias("q3"))
     j = df.select(*g, x.alias("_v")).filter(F.col("_v").isNotNull())
-    j = j.join(F.broadcast(qw), g, "inner") if g else attach_one_row(j, qw)
+    j = j.join(qw, g, "inner") if g else attach_one_row(j, qw)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     agg = j.groupBy(*g, "q1", "median", "q3").agg(
