@@ -86,3 +86,30 @@ def test_datetime_parts(spark):
     r = m.transform(df).first()
     assert (r["d_year"], r["d_month"], r["d_day"], r["d_dayofweek"], r["d_quarter"], r["d_is_weekend"]) == \
         (2024, 6, 1, 5, 2, 1)
+
+
+def test_prepare_with_interactions_and_selection(spark):
+    from tabwise.operators.features.prepare import feature_info
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select(
+        F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("k"),
+        "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_returnflag",
+        (F.col("l_quantity") > 25).cast("string").alias("big")).dropDuplicates(["k"])
+    m = FeaturePreparator(target="big", passthrough=["k"], create_interactions=True, select_features=True,
+                          k_features=3, selection_method="mutual_info").fit(li)
+    assert any(n == "interactions" for n, _ in m.st["stages"])
+    assert len(m.features) == 3 and "l_quantity" in m.features          # the label is a rule on l_quantity
+    out = m.transform(li)
+    assert out.columns == ["big", "k"] + m.features
+    info = feature_info(m, spark).first()
+    assert info["num_final_features"] == 3 and info["selected_features"] == m.features
+
+
+def test_run_fit_on_train_split(spark):
+    from tabwise.operators.ml import zoo
+    from tabwise.plans.automl import run_automl
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select(
+        "o_orderkey", "o_totalprice", "o_orderpriority",
+        F.when(F.col("o_totalprice") > 250000, "high").otherwise("low").alias("band"))
+    run = run_automl(o, "band", "o_orderkey", "classification", fit_on="train", cv_folds=3,
+                     models={"Naive Bayes": zoo.OPTIONAL_CLASSIFIERS["Naive Bayes"]})
+    assert run.test_board.count() == 1 and run.best_model_name == "Naive Bayes"
