@@ -122,3 +122,29 @@ def test_kernel_shap_matches_linear_closed_form(spark):
         assert math.isclose(r["value"], w[j] * (xs[r["row_id"]][j] - mu[j]), rel_tol=1e-9, abs_tol=1e-9)
     out = lime(lr, rows, d, cols, "rid", n_samples=300, top_n=2).collect()
     assert len(out) == 10 and all(len(r["lime"]) == 2 for r in out)
+
+
+def test_answers_from_context(spark):
+    ctx_type = ("struct<local_explanation:string,global_explanation:string,"
+                "feature_impact:array<struct<name:string,weight:double>>,model_performance:string,"
+                "limitations:string,lime_explanation:string>")
+    ctx = spark.createDataFrame([(("L.", "G.", [("a", 0.5), ("b", -0.25)], "P.", "X.", ""),)], f"c {ctx_type}")
+    qs = ["Why did the model predict this?", "What features matter?", "SHAP values?", "Accuracy?",
+          "Can I trust this model?", "Explain with LIME", "Hello"]
+    rows = ctx.select(*[TX.answer(F.lit(q), F.col("c")).alias(f"a{i}") for i, q in enumerate(qs)]).first()
+    assert rows["a0"] == "L.\n\n(Feature impact: a (+0.500); b (-0.250))"
+    assert rows["a1"] == "G." and rows["a3"] == "P." and rows["a4"] == "X."
+    assert rows["a2"] == "For this prediction, feature contributions (SHAP): a (+0.500); b (-0.250)."
+    assert rows["a5"] == TX.LIME_MISSING
+    assert rows["a6"].startswith("Here’s what we have from SHAP for this model:\n- For this prediction: L.")
+
+
+def test_visualization_payload(spark):
+    from tabwise.operators.report import visualization_payload
+    preds = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], "label double, prediction double")
+    board = spark.createDataFrame([("A", 0.9), ("B", 0.8)], "model_name string, f1 double")
+    imp = spark.createDataFrame([("x", 0.7), ("y", 0.3)], "feature string, importance double")
+    out = visualization_payload(preds, imp, board, "classification")
+    assert set(out) == {"comparison", "predictions", "importance"}
+    assert out["comparison"].filter("is_best").first()["model_name"] == "A"
+    assert out["predictions"].count() == 4 and out["importance"].first()["rank"] == 1
