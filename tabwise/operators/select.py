@@ -138,8 +138,14 @@ class NoModelQualifies(ValueError):
 
 def select_by_criteria(board: DataFrame, task: str = "classification", weights: Mapping[str, float] | None = None,
                        min_performance: float | None = None, project: Sequence[str] = ()) -> DataFrame:
-    """The selected row per project (argmax of the composite)."""
-    return composite_scores(board, task, weights, min_performance, project).filter(F.col("selection_rank") == 1)
+    """The selected row per project (argmax of the composite).  With a
+    ``min_performance`` that no model meets, ``NoModelQualifies`` is raised
+    (with projects: when no project has a qualifying model; a project
+    without one has no row)."""
+    out = composite_scores(board, task, weights, min_performance, project).filter(F.col("selection_rank") == 1)
+    if min_performance and out.limit(1).count() == 0:
+        raise NoModelQualifies("No models meet the minimum performance threshold.")
+    return out
 
 
 def select_by_priority(board: DataFrame, task: str = "classification", priority: str = "balanced",
