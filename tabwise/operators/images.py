@@ -2,8 +2,9 @@
 
 M5 (resize + normalise) is the one step Spark has no built-in for; it runs
 in ``mapInPandas`` on Arrow batches with numpy (bilinear resampling, BGR ->
-RGB, ImageNet mean/std), so decoding stays in the JVM and only the pixel
-arithmetic is Python.  Everything else is column expressions and the split,
+RGB, ImageNet mean/std; or the browser rule: white background, centre crop,
+resize), so decoding stays in the JVM and only the pixel arithmetic is
+Python.  Everything else is column expressions and the split,
 label-map and class-count operators.
 """
 
@@ -44,7 +45,20 @@ def _bilinear(img: np.ndarray, out_h: int, out_w: int) -> np.ndarray:
     return (a * (1 - wy) * (1 - wx) + b * (1 - wy) * wx + c * wy * (1 - wx) + d * wy * wx)
 
 
-def resize_normalize_frame(pdf: pd.DataFrame, size: int = TARGET_SIZE, normalize: bool = True) -> pd.DataFrame:
+def _to_rgb(buf: np.ndarray, ch: int, white_background: bool) -> np.ndarray:
+    """(h, w, ch) decoded bytes (BGR / BGRA / gray) -> RGB floats; with
+    ``white_background`` transparent pixels are composited onto white."""
+    if ch == 1:
+        return np.repeat(buf, 3, axis=2)
+    rgb = buf[:, :, :3][:, :, ::-1]
+    if ch == 4 and white_background:
+        a = buf[:, :, 3:4] / 255.0
+        rgb = rgb * a + 255.0 * (1.0 - a)
+    return rgb
+
+
+def resize_normalize_frame(pdf: pd.DataFrame, size: int = TARGET_SIZE, normalize: bool = True,
+                           ui: bool = False) -> pd.DataFrame:
     out_vals, status = [], []
     for h, w, ch, data in zip(pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"]):
         if h is None or h <= 0 or data is None:
@@ -52,24 +66,31 @@ def resize_normalize_frame(pdf: pd.DataFrame, size: int = TARGET_SIZE, normalize
             st = "corrupted"
         else:
             buf = np.frombuffer(bytes(data), dtype=np.uint8).reshape(int(h), int(w), int(ch)).astype(np.float64)
-            if ch == 1:
-                buf = np.repeat(buf, 3, axis=2)
-            buf = buf[:, :, :3][:, :, ::-1]                        # BGR -> RGB
-            arr = _bilinear(buf, size, size) if (h != size or w != size) else buf
+            buf = _to_rgb(buf, int(ch), white_background=ui)
+            if ui:                                                  # browser rule: centre-crop to a square
+                side = min(buf.shape[0], buf.shape[1])
+                top, left = (buf.shape[0] - side) // 2, (buf.shape[1] - side) // 2
+                buf = buf[top:top + side, left:left + side]
+            bh, bw = buf.shape[:2]
+            arr = _bilinear(buf, size, size) if (bh != size or bw != size) else buf
             st = "resized" if (h != size or w != size) else "unchanged"
         x = arr / 255.0
-        if normalize:
+        if normalize and not ui:
             x = (x - np.array(IMAGENET_MEAN)) / np.array(IMAGENET_STD)
         out_vals.append(x.transpose(2, 0, 1).reshape(-1).astype(np.float32))   # CHW, flattened
         status.append(st)
     return pd.DataFrame({"path": pdf["path"], "tensor": out_vals, "status": status})
 
 
-def resize_normalize(images: DataFrame, size: int = TARGET_SIZE, normalize: bool = True) -> DataFrame:
-    """M5: ``(path, tensor array<float> of 3 x size x size, status)``."""
+def resize_normalize(images: DataFrame, size: int = TARGET_SIZE, normalize: bool = True,
+                     ui: bool = False) -> DataFrame:
+    """M5: ``(path, tensor array<float> of 3 x size x size, status)``.
+    Default: resize then ImageNet-normalise; ``ui=True``: the browser rule --
+    transparent pixels onto white, centre-crop to a square, resize, values
+    in [0, 1]."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield resize_normalize_frame(pdf, size, normalize)
+            yield resize_normalize_frame(pdf, size, normalize, ui)
     return images.select("path", "height", "width", "nChannels", "data").mapInPandas(
         run, "path string, tensor array<float>, status string")
 
@@ -86,6 +107,12 @@ def image_clean_summary(processed: DataFrame, size: int = TARGET_SIZE) -> DataFr
         .withColumn("target_size", F.lit(f"{size}x{size}"))
 
 
+def image_preview(processed: DataFrame, n: int = 8) -> DataFrame:
+    """M6 preview: the first ``n`` processed images by path (a top-n, not a
+    collect of the folder)."""
+    return processed.filter(F.col("status") != "corrupted").orderBy("path").limit(n).select("path", "status")
+
+
 def prepare_image_split(items: DataFrame, label: str, key: str, test_size: float = 0.2,
                         seed: int = 42) -> tuple[DataFrame, list[str], DataFrame]:
     """M7: label index over the sorted class names, stratified split and

@@ -14,10 +14,11 @@ from tabwise.sources.images import load_images, scan_images, validate_images
 
 def _png(path, w, h, rgb):
     raw = b"".join(b"\x00" + bytes(rgb) * w for _ in range(h))
+    color_type = 6 if len(rgb) == 4 else 2
 
     def chunk(t, d):
         return struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d) & 0xFFFFFFFF)
-    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + \
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color_type, 0, 0, 0)) + \
         chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
     with open(path, "wb") as f:
         f.write(data)
@@ -109,3 +110,14 @@ def test_streaming_scores_equal_batch(spark, tmp_dir):
     assert s.count() == o.count()
     diff = s.join(b.withColumnRenamed("band_prediction", "bp"), "o_orderkey").filter("band_prediction <> bp").count()
     assert diff == 0
+
+
+def test_ui_image_rule(spark, tmp_dir):
+    from tabwise.operators.images import image_preview
+    root = os.path.join(tmp_dir, "ui")
+    os.makedirs(root)
+    _png(os.path.join(root, "clear_1.png"), 6, 4, (10, 20, 30, 0))          # fully transparent -> white
+    imgs = load_images(spark, root)
+    t = resize_normalize(imgs, size=4, ui=True).first()
+    assert all(abs(v - 1.0) < 1e-6 for v in t["tensor"])                    # white, cropped, [0, 1]
+    assert image_preview(resize_normalize(imgs, size=4, ui=True), 8).count() == 1
