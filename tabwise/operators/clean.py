@@ -437,6 +437,13 @@ def preview(df: DataFrame, order_by: Sequence[str], n: int = 1000) -> DataFrame:
     return nonfinite_to_null_all(df).orderBy(*[_q(c) for c in order_by]).limit(n)
 
 
+def preview_counts(df: DataFrame, n: int = 1000) -> DataFrame:
+    """One row ``(total_rows, preview_rows)`` -- the preview holds
+    ``min(n, total)`` rows."""
+    return df.agg(F.count(F.lit(1)).alias("total_rows")).select(
+        "total_rows", F.least(F.col("total_rows"), F.lit(n).cast("long")).alias("preview_rows"))
+
+
 # ---------------------------------------------------------------------------
 # D12-D17 browser rules
 # ---------------------------------------------------------------------------

@@ -122,6 +122,11 @@ def q_preview(spark, sf):
     return C.preview(dirty_orders(spark, sf), ["o_orderkey"], 1000)
 
 
+@register("preview_counts", with_dirty("select count(*) as total_rows, least(count(*), 1000) as preview_rows from dirty"))
+def q_preview_counts(spark, sf):
+    return C.preview_counts(dirty_orders(spark, sf), 1000)
+
+
 # D1 / D2 ---------------------------------------------------------------------
 @register("drop_constant", with_dirty("select o_orderkey, o_totalprice, o_orderpriority, o_orderstatus, "
                                       "mostly_missing from dirty"))
