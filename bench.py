@@ -104,11 +104,16 @@ def main() -> None:
         times[f"cv_{r['model_name'].lower().replace(' ', '_')}"] = round(r["training_time"] or -1.0, 3)
         cv_f1[r["model_name"]] = r["f1_mean"]
     cv_total = round(sum(v for k, v in times.items() if k.startswith("cv_")), 3)
+    n_orders = table(spark, sf_dir, "orders").count()
+    n_lines = table(spark, sf_dir, "lineitem").count()
+    rows = {"dq_report": n_orders, "auto_clean": n_orders, "prepare_features": n_orders, "split_folds": 2 * n_lines,
+            "metrics": 4 * n_lines, "profile_describe": n_orders, "selection": n_lines}
+    throughput = {k: int(v / times[k]) for k, v in rows.items() if times.get(k)}
     total = round(sum(times.values()), 3)
     print(json.dumps({"metric": "total_sec", "value": total, "unit": "sec", "queries": times, "sf": sf,
                       "cv_total_sec": cv_total, "cv_models": len(cv_f1), "cv_rows": n_rows,
                       "cv_features": len(prep_m.features), "cv_f1_mean": {k: round(v, 4) for k, v in cv_f1.items()},
-                      "cpus": cpus}))
+                      "rows": rows, "rows_per_sec": throughput, "cpus": cpus}))
 
 
 if __name__ == "__main__":
