@@ -284,14 +284,43 @@ def q_prepare(spark, sf):
     return rounded(m.transform(v))
 
 
-@register("feature_info")
+_FI_FEATS = ["o_custkey", "o_totalprice", "shipping"] + [f"o_orderdate_{p}" for p in _PARTS] + \
+    ["o_orderpriority_2-HIGH", "o_orderpriority_3-MEDIUM", "o_orderpriority_4-NOT SPECIFIED", "o_orderpriority_5-LOW"]
+
+
+def _fi_anova(i: int, c: str) -> str:
+    x = f'cast("{c}" as double)'
+    return (f"select {i} as position, '{c}' as feature, ((sum(nc * mc * mc) - sum(nc * mc) * sum(nc * mc) / sum(nc)) / "
+            f"(count(*) - 1)) / ((sum(qc) - sum(nc * mc * mc)) / (sum(nc) - count(*))) as score "
+            f"from (select count(*) nc, avg({x}) mc, sum({x} * {x}) qc from e group by o_orderstatus) g")
+
+
+_FI_SQL = _PREP_SQL.split("\ns as (")[0].rstrip().rstrip(",") + """,
+kinds as (select 0 as position, 'o_custkey' as col, case when count(distinct o_custkey) = 2 then 'binary' else 'numerical' end as kind from v
+  union all select 1, 'o_totalprice', case when count(distinct o_totalprice) = 2 then 'binary' else 'numerical' end from v
+  union all select 2, 'o_orderdate', 'datetime'
+  union all select 3, 'o_orderpriority', case when count(distinct o_orderpriority) = 2 then 'binary' else 'categorical' end from v
+  union all select 4, 'shipping', case when count(distinct shipping) = 2 then 'binary' else 'categorical' end from v),
+types as (select string_agg(k, ';' order by kind) as feature_types from (
+  select kind, kind || ':' || string_agg(col, ',' order by position) as k from kinds group by kind) t),
+f as (""" + "\nunion all\n".join(_fi_anova(i, c) for i, c in enumerate(_FI_FEATS)) + """),
+sel as (select string_agg(feature, ',' order by position) as selected, count(*) as n from (
+  select *, row_number() over (order by score desc nulls last, position) as rk from f) t where rk <= 5)
+select feature_types, 'standard' as scaling_method,
+  cast((select count(*) from kinds where kind in ('binary', 'categorical')) as integer) as num_encoders,
+  selected, cast(n as integer) as num_final_features from types, sel"""
+
+
+@register("feature_info", _FI_SQL)
 def q_feature_info(spark, sf):
     v = prep_view(spark, sf)
     m = FeaturePreparator(target="o_orderstatus", passthrough=["o_orderkey"], select_features=True, k_features=5,
                           selection_method="f_test").fit(v)
-    return feature_info(m, spark).select(F.to_json("feature_types").alias("feature_types"), "scaling_method",
-                                         "num_encoders", F.array_join("selected_features", ",").alias("selected"),
-                                         "num_final_features")
+    kinds = F.filter(F.array_sort(F.map_entries("feature_types")), lambda e: F.size(e["value"]) > 0)
+    return feature_info(m, spark).select(
+        F.array_join(F.transform(kinds, lambda e: F.concat(e["key"], F.lit(":"), F.array_join(e["value"], ","))), ";")
+        .alias("feature_types"), "scaling_method", "num_encoders",
+        F.array_join("selected_features", ",").alias("selected"), "num_final_features")
 
 
 # E19 -------------------------------------------------------------------------
