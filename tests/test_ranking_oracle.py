@@ -65,3 +65,17 @@ def test_query_matches_sql(spark, duck, name):
     assert len(s) == len(o)
     assert sorted(s.columns) == sorted(o.columns)
     assert _hash(s) == _hash(o)
+
+
+def test_ranks_with_null_groups(spark):
+    o = spark.read.parquet(f"{SF0001}/orders.parquet").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, None).otherwise(F.col("o_orderstatus")).alias("g"),
+        F.md5(F.col("o_orderkey").cast("string")).alias("h"))
+    w = Window.partitionBy("g").orderBy("h", "o_orderkey")
+    ref = o.select("o_orderkey", F.row_number().over(w).alias("r0"), F.count("*").over(Window.partitionBy("g")).alias("n0"))
+    a = hash_rank(o, ["g"], "h", "o_orderkey", name="r1", with_group_size="n1")
+    b = group_rank(o, ["g"], ["h", "o_orderkey"], name="r2", with_group_size="n2", num_partitions=4)
+    j = ref.join(a.select("o_orderkey", "r1", "n1"), "o_orderkey").join(b.select("o_orderkey", "r2", "n2"), "o_orderkey")
+    assert j.count() == o.count()
+    assert j.filter((F.col("r0") != F.col("r1")) | (F.col("r0") != F.col("r2")) |
+                    (F.col("n0") != F.col("n1")) | (F.col("n0") != F.col("n2"))).count() == 0
