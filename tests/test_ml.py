@@ -100,3 +100,22 @@ def test_zoo_profiles_and_mappings(spark):
     tuned = zoo.to_spark(zoo.CLASSIFIERS["Random Forest"](f2), {"n_estimators": 50, "max_depth": None,
                                                                  "max_features": "log2"}, f2)
     assert tuned.getNumTrees() == 50 and tuned.getMaxDepth() == 30 and tuned.getFeatureSubsetStrategy() == "log2"
+
+
+def test_stages_in_pipeline_model_save_load(spark, tmp_dir):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.classification import LogisticRegression
+
+    from tabwise.operators.features.prepare import FeaturePreparator
+    from tabwise.operators.features.target import LabelMap
+    o = _orders(spark).drop("o_orderdate")
+    pipe = Pipeline(stages=[LabelMap("band", "label"),
+                            FeaturePreparator(target="band", passthrough=["o_orderkey", "label"], assemble=True),
+                            LogisticRegression(maxIter=50)])
+    m = pipe.fit(o)
+    m.write().overwrite().save(tmp_dir)
+    m2 = PipelineModel.load(tmp_dir)
+    assert [type(s).__name__ for s in m2.stages] == ["LabelMapModel", "FeaturePreparatorModel", "LogisticRegressionModel"]
+    a = m.transform(o).select("o_orderkey", "prediction")
+    b = m2.transform(o).select("o_orderkey", F.col("prediction").alias("p2"))
+    assert a.join(b, "o_orderkey").filter("prediction <> p2").count() == 0
