@@ -565,6 +565,16 @@ def onehot_ui(df: DataFrame, columns: Sequence[str], max_categories: int = 12) -
     return out.select(*[_q(c) for c in order]), new_cols
 
 
+# fixed values: notes of the browser preprocessing summary
+UI_NOTES = {
+    "duplicates": "Duplicate records were removed to improve data quality.",
+    "filled": "Missing values were filled automatically.",
+    "outliers": "Extreme values were adjusted to reduce noise.",
+    "scaled": "Numerical values were normalized to improve model performance.",
+    "encoded": "Text categories were converted into machine-readable format.",
+}
+
+
 @dataclass
 class UiSummary:
     before_rows: int
@@ -577,6 +587,7 @@ class UiSummary:
     scaled_numeric: bool
     encoded_categorical: bool
     dropped_columns: list[tuple[str, str]]
+    notes: list[str] = field(default_factory=list)
 
 
 def generic_preprocess_ui(df: DataFrame, target: str | None = None, protected: Sequence[str] = ()
@@ -619,6 +630,11 @@ def generic_preprocess_ui(df: DataFrame, target: str | None = None, protected: S
     out, n_capped = cap_sigma(out, num_cols)
     out = minmax_ui(out, num_cols)
     out, _ = onehot_ui(out, cat_cols)
+    notes = [UI_NOTES["duplicates"]] if n0 - n1 > 0 else []
+    notes += [UI_NOTES["filled"]] if filled > 0 else []
+    notes += [UI_NOTES["outliers"]] if n_capped > 0 else []
+    notes += [UI_NOTES["scaled"]]
+    notes += [UI_NOTES["encoded"]] if cat_cols else []
     summ = UiSummary(n0, len(df.columns), n1, len(out.columns), n0 - n1, filled, n_capped,
-                     bool(num_cols), bool(cat_cols), dropped)
+                     bool(num_cols), bool(cat_cols), dropped, notes)
     return out, summ

@@ -115,3 +115,11 @@ def test_column_set_diff(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a long, b long, z long")
     got = {(r["column"], r["status"]) for r in C.column_set_diff(df, ["a", "b", "c"]).collect()}
     assert got == {("c", "missing"), ("z", "extra")}
+
+
+def test_generic_ui_summary(spark):
+    out, summ = C.generic_preprocess_ui(_clean_df(spark), target="target", protected=["id"])
+    assert summ.removed_duplicates == 2 and summ.encoded_categorical
+    assert summ.notes[0] == C.UI_NOTES["duplicates"] and C.UI_NOTES["scaled"] in summ.notes
+    assert ("constant_col", "Constant column") in summ.dropped_columns
+    assert any(c.startswith("category__") for c in out.columns)
