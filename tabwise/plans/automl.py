@@ -168,6 +168,20 @@ class AutoMLRun:
     def feature_info(self, spark: SparkSession) -> DataFrame:
         return feature_info(self.preparator, spark)
 
+    def state(self, spark: SparkSession, project_id: str, test_size: float = 0.2, random_state: int = 42
+              ) -> DataFrame:
+        """This run as one project-state row (CV and test leaderboards as
+        arrays, selected model, dataset counts), ready for
+        ``sources.projects.write_project_state``."""
+        from tabwise.sources.projects import project_states
+        pid = F.lit(project_id).alias("project_id")
+        cv = self.train.leaderboard.select(pid, "*")
+        tb = self.test_board.select(pid, "*")
+        sel = spark.createDataFrame([(project_id, self.best_model_name)], "project_id string, model_name string")
+        ds = spark.createDataFrame([(project_id, *self.counts.values())],
+                                   "project_id string, " + ", ".join(f"{k} long" for k in self.counts))
+        return project_states(cv, tb, sel, self.task, test_size=test_size, random_state=random_state, dataset=ds)
+
 
 def run_automl(df: DataFrame, target: str, key: str, task: str | None = None, test_size: float = 0.2,
                scaling: str | None = None, priority: str = "balanced",
@@ -207,6 +221,8 @@ def run_automl(df: DataFrame, target: str, key: str, task: str | None = None, te
     board = res.leaderboard.filter(F.col("error").isNull())
     sel = select_by_priority(board, task, priority)
     best = sel.first()["model_name"]
-    counts = {"n_train": train_rows.count(), "n_test": test_rows.count(), "n_features": len(prep.features)}
+    n_train, n_test = train_rows.count(), test_rows.count()
+    counts = {"n_samples_total": n_train + n_test, "n_train": n_train, "n_test": n_test,
+              "n_features": len(prep.features)}
     return AutoMLRun(task, target, key, training_columns, prep, label_map, target_scaler, res, test_board,
                      test_preds, sel, best, counts)

@@ -119,3 +119,13 @@ def test_stages_in_pipeline_model_save_load(spark, tmp_dir):
     a = m.transform(o).select("o_orderkey", "prediction")
     b = m2.transform(o).select("o_orderkey", F.col("prediction").alias("p2"))
     assert a.join(b, "o_orderkey").filter("prediction <> p2").count() == 0
+
+
+def test_run_state_roundtrip(spark, tmp_dir):
+    from tabwise.sources import projects as PJ
+    run = run_automl(_orders(spark), "band", "o_orderkey", "classification",
+                     models={"Naive Bayes": FAST["Naive Bayes"]}, cv_folds=3)
+    PJ.write_project_state(run.state(spark, "demo"), tmp_dir)
+    s = PJ.project_summary(PJ.read_project_state(spark, tmp_dir, "demo")).first()
+    assert s["best_model_name"] == "Naive Bayes" and s["dataset"]["n_samples_total"] == _orders(spark).count()
+    assert math.isclose(s["accuracy"], run.test_board.first()["accuracy"])
