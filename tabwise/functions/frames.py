@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 
 def attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate (a global ``agg``) to every
-    row.  The one-row side is broadcast; it is an equi-join on a constant, so
-    each input row meets exactly one row."""
-    k = "_tw_one"
-    return (df.withColumn(k, F.lit(1))
-              .join(F.broadcast(one_row.withColumn(k, F.lit(1))), k)
-              .drop(k))
+    row as scalar subqueries: Spark runs the aggregate once (its columns are
+    merged into one subquery) and inlines the values -- no join at all."""
+    return df.select("*", *[one_row.select(F.col(f"`{c}`")).scalar().alias(c) for c in one_row.columns])
