@@ -60,6 +60,9 @@ def main() -> None:
            "sends one partial row, so that exchange carries at most one row per partition.", "",
            "`checkpoint scans` read data frozen by `checkpoint()` (ranks, de-duplicated tables) or small driver-built "
            "per-column tables.", "",
+           "Counts are for the main plan; one-row statistics attached as scalar subqueries run as separate subquery "
+           "plans (e.g. the duplicate count of `dq_report`, whose total is 3 logical scans -- `tests/test_plans.py`).",
+           "",
            "| query | file scans | checkpoint scans | max columns read | exchanges | single-partition | broadcasts | "
            "codegen stages | python |",
            "|---|---|---|---|---|---|---|---|---|"]
