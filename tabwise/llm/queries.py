@@ -6,12 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwise.llm import rules, urls
+from tabwise.llm import fingerprints, lines, mixing, rules, urls
 from tabwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in the mix of all sources by the square root of
+    their sizes, blocks of 16 documents."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text."""
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every page url: the longest rule, else the n-gram model."""
     model = urls.train(urls.labelled_urls(spark))
@@ -25,7 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_url_filter, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_fingerprints, op5_line_dedup, op7_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
