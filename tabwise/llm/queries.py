@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabwise.llm import fingerprints, lines, mixing, rules, urls
+from tabwise.llm import fingerprints, lines, mixing, packing, rules, urls
 from tabwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces of at most 2048 tokens with their places."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict for every page url: the longest rule, else the n-gram model."""
     model = urls.train(urls.labelled_urls(spark))
@@ -42,7 +47,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_fingerprints, op5_line_dedup, op7_url_filter, op10_quality_rules)}
+    return {f.__name__: f for f in (
+        op1_mix_sources, op3_fingerprints, op5_line_dedup, op6_best_fit_packing, op7_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
