@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,11 +43,24 @@ def share_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-def frozen(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder: later plans read them
-    back, so a lost executor costs a re-read and not the lineage."""
-    share_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as a table in the shared checkpoint folder and read
+    back: later plans start from the files, a lost executor costs a re-read and
+    not the lineage, and the planner knows the table's size. The files go when
+    the session ends."""
+    spark = df.sparkSession
+    share_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tabwise-llm-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.parquet(path)
+
+
+def hinted(df: DataFrame, max_rows: int) -> DataFrame:
+    """A written table with a broadcast hint where it has at most ``max_rows``
+    rows; beyond that the planner joins by shuffle (and splits skewed keys)."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def double_array(values: list[float]) -> Column:

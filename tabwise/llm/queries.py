@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabwise.llm import fingerprints, lines, mixing, packing, rules, urls
+from tabwise.llm import fingerprints, lines, mixing, packing, passages, rules, urls
 from tabwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that no earlier document has in a passage of 50."""
+    return passages.dedup_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines whose template recurs."""
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
@@ -48,7 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_mix_sources, op3_fingerprints, op5_line_dedup, op6_best_fit_packing, op7_url_filter, op10_quality_rules)}
+        op1_mix_sources, op3_fingerprints, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import SEPARATORS, frozen, let, words
+from tabwise.llm.common import SEPARATORS, let, words, written
 
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -151,7 +151,7 @@ class _Sample:
         self.cuts = {f: sorted(set(q)) for f, q in zip(features, found, strict=True)}
         binned = {
             f"b_{f}": (sum(((F.col(f) >= c).cast("int") for c in self.cuts[f]), F.lit(0))) for f in features}
-        self.rows = frozen(rows.withColumns(binned))
+        self.rows = written(rows.withColumns(binned))
 
     def grow_counts(self, where: Column) -> dict[str, list[tuple[int, int]]]:
         """(reject, keep) rows per feature and bin."""
