@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwise.llm import fingerprints, lines, mixing, near, packing, passages, rules, urls
+from tabwise.llm import fingerprints, lines, mixing, near, packing, passages, rules, toxicity, urls
 from tabwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +47,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), model, keep=("page_id",))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, labels of two thirds learned."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class id of every document."""
     return near.near_duplicates(table(spark, sf_dir, "documents"))
@@ -61,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_mix_sources, op3_fingerprints, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_url_filter,
-        op9_near_duplicates, op10_quality_rules)}
+        op8_toxicity, op9_near_duplicates, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
