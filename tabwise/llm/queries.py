@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwise.llm import fingerprints, lines, mixing, near, packing, passages, rules, toxicity, urls
+from tabwise.llm import fingerprints, lines, mixing, near, packing, pages, passages, rules, toxicity, urls
 from tabwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return pages.extract(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its edited text."""
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
@@ -66,8 +72,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_mix_sources, op3_fingerprints, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing, op7_url_filter,
-        op8_toxicity, op9_near_duplicates, op10_quality_rules)}
+        op1_mix_sources, op2_main_text, op3_fingerprints, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing,
+        op7_url_filter, op8_toxicity, op9_near_duplicates, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
