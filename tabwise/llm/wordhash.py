@@ -87,7 +87,7 @@ def whole_windows(offsets: np.ndarray, size: int, n: int) -> np.ndarray:
     return mask
 
 
-def batches(texts: Sequence[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def batches(texts: Sequence[str | None], chars: int = 400_000) -> Iterator[tuple[int, int]]:
     """Index ranges of texts of about ``chars`` characters each, so that the
     arrays of a batch stay small whatever the texts are."""
     start = total = 0
