@@ -6,15 +6,15 @@ Below the leaf a template is either the whole masked line, or, for lines of
 eight tokens and more, the line with one of its four quarters left open
 (``<*>`` for a longer variable field). A template recurs if it is found in
 ``min_docs`` documents or more; every occurrence but the one in the first
-document (smallest id, then text hash) is dropped, so that no passage vanishes
+document (smallest id) is dropped, so that no passage vanishes
 from the corpus. Lines of fewer than ``min_tokens`` tokens, blank ones among
 them, stay.
 
-Only hashes of lines are shuffled (a 64-bit and a 32-bit one); the texts go
-once through the join with the dropped positions. Counts are combined before
-each shuffle, so a line that every third document has costs no more than any
-other; its rows in the one join that spreads by template are split by the
-engine's skew handling.
+The texts are parsed once into a written table of line hashes. Counts are
+combined before each shuffle, so a line that every third document has costs no
+more than any other, and leaves without a recurring line leave first. Tables
+that are joined with lines or texts are broadcast only if their measured size
+is small; else the join is shuffled and the engine splits skewed keys.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import let, words
+from tabwise.llm.common import hinted, let, words, written
 
 LEADING, QUARTERS, OPEN_FROM = 3, 4, 8
 LOWEST = -(2**63)
@@ -59,22 +59,27 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> Data
         *[F.when(n >= OPEN_FROM, quarter(q)).otherwise(F.lit(0)).alias(f"q{q}") for q in range(QUARTERS)])
 
 
+def candidates(lines: DataFrame, min_docs: int, max_rows: int) -> DataFrame:
+    """Lines of the leaves that are in ``min_docs`` places or more and in more
+    than one document: only these can hold a template that recurs."""
+    leaves = lines.groupBy("leaf").agg(
+        F.count(F.lit(1)).alias("c"), F.min("key").alias("low"), F.max("key").alias("high")).filter(
+        (F.col("c") >= min_docs) & (F.col("high") > F.col("low"))).select("leaf")
+    return lines.join(hinted(written(leaves), max_rows), "leaf", "left_semi")
+
+
 def recurring(lines: DataFrame, min_docs: int) -> DataFrame:
     """(m1, m2, docs, first): masked lines with a template that recurs, its
     number of documents and its first document."""
     quarters = [f"q{i}" for i in range(QUARTERS)]
-    once = lines.groupBy("m1", "m2", "leaf", "n", *quarters, "key", "h").agg(F.count(F.lit(1)).alias("c"))
-    by_line = once.groupBy("m1", "m2", "leaf", "n", *quarters).agg(
-        F.count(F.lit(1)).alias("docs"), F.min(F.struct("key", "h")).alias("first"))
+    line = ["m1", "m2", "leaf", "n", *quarters]
+    once = lines.groupBy(*line, "key").agg(F.count(F.lit(1)).alias("c"))
+    by_line = written(once.groupBy(*line).agg(F.count(F.lit(1)).alias("docs"), F.min("key").alias("first")))
     whole = by_line.filter(F.col("docs") >= min_docs).select("m1", "m2", "docs", "first")
-    # open quarters only where a leaf holds several lines in enough documents
-    leaves = by_line.filter(F.col("n") >= OPEN_FROM).groupBy("leaf").agg(
-        F.count(F.lit(1)).alias("lines"), F.sum("docs").alias("leaf_docs"))
-    leaves = leaves.filter((F.col("lines") > 1) & (F.col("leaf_docs") >= min_docs)).select("leaf")
-    several = by_line.filter(F.col("n") >= OPEN_FROM).join(leaves, "leaf").withColumn(
+    several = by_line.filter(F.col("n") >= OPEN_FROM).withColumn(
         "open", F.explode(F.sequence(F.lit(0), F.lit(QUARTERS - 1))))
-    rest = [F.when(F.col("open") == i, F.lit(0)).otherwise(F.col(q)) for i, q in enumerate(quarters)]
-    keyed = several.withColumns({f"r{i}": c for i, c in enumerate(rest)})
+    keyed = several.withColumns({
+        f"r{i}": F.when(F.col("open") == i, F.lit(0)).otherwise(F.col(q)) for i, q in enumerate(quarters)})
     template = ["leaf", "open", *[f"r{i}" for i in range(QUARTERS)]]
     found = keyed.groupBy(*template).agg(
         F.sum("docs").alias("t_docs"), F.count(F.lit(1)).alias("t_lines"), F.min("first").alias("t_first")).filter(
@@ -86,19 +91,20 @@ def recurring(lines: DataFrame, min_docs: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
+                text_col: str = "text", max_rows: int = 1_000_000) -> DataFrame:
     """``docs`` with the text without its dropped lines, plus n_lines and
-    n_dropped (replaced if such columns exist). Null texts stay null; rows
-    that are alike in id and text are one document."""
-    lines = parsed(docs, id_col, text_col, min_tokens)
-    hits = lines.select("key", "h", "pos", "m1", "m2").join(recurring(lines, min_docs), ["m1", "m2"]).filter(
-        (F.col("first.key") != F.col("key")) | (F.col("first.h") != F.col("h")))
-    drops = hits.groupBy("key", "h").agg(F.collect_set("pos").alias("__drops")).select(
-        F.col("key").alias("__key"), F.col("h").alias("__h"), "__drops")
+    n_dropped (replaced if such columns exist). Null texts stay null and a null
+    id counts as the smallest; rows of one id drop nothing from each other.
+    Small tables of hashes (at most ``max_rows`` rows) are broadcast."""
+    lines = candidates(written(parsed(docs, id_col, text_col, min_tokens)), min_docs, max_rows)
+    hits = lines.select("key", "h", "pos", "m1", "m2").join(
+        hinted(written(recurring(lines, min_docs)), max_rows), ["m1", "m2"]).filter(F.col("first") < F.col("key"))
+    drops = written(hits.groupBy("key", "h").agg(F.collect_set("pos").alias("__drops")).select(
+        F.col("key").alias("__key"), F.col("h").alias("__h"), "__drops"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumns({
         "__key": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), "__h": F.xxhash64(text)}).join(
-        drops, ["__key", "__h"], "left")
+        hinted(drops, max_rows), ["__key", "__h"], "left")
 
     def without(all_lines: Column) -> Column:
         kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__drops"))
