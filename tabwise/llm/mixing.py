@@ -135,7 +135,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
     by_source, short = _schedule(plan, sizes, block_rows)
     spark = docs.sparkSession
     table = spark.createDataFrame(
-        by_source, "mix_source string, phases array<struct<first:bigint,last:bigint,start:bigint,"
+        by_source, "mix_source string, __phases array<struct<first:bigint,last:bigint,start:bigint,"
         "period:bigint,weight:bigint,places:array<int>>>")
     before = Window.partitionBy("mix_source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("mix_source", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
@@ -146,7 +146,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
         .join(F.broadcast(table), "mix_source"))  # one row per source of the weight table
     block = F.floor(F.col("__rank") / block_rows).cast("long")
     placed = ranked.withColumn("mix_block", block).withColumn(
-        "__p", F.get(F.filter("phases", lambda p: (p["first"] <= F.col("mix_block")) & (F.col("mix_block") < p["last"])), 0))
+        "__p", F.get(F.filter("__phases", lambda p: (p["first"] <= F.col("mix_block")) & (F.col("mix_block") < p["last"])), 0))
     k, p = F.col("mix_block") - F.col("__p.first"), F.col("__p")
     slot = p["start"] + F.expr("(mix_block - __p.first) div __p.weight") * p["period"] + F.get(
         p["places"], F.pmod(k, p["weight"]).cast("int"))
@@ -158,7 +158,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
             "mix_slot": slot})
         .withColumn("mix_position", F.col("mix_slot") * block_rows + F.pmod(F.col("__rank"), F.lit(block_rows))
                     - _missing_before(short, F.col("mix_slot")))
-        .drop("__order", "__bucket", "__offset", "__rank", "phases", "__p"))
+        .drop("__order", "__bucket", "__offset", "__rank", "__phases", "__p"))
 
 
 def _missing_before(short: list[tuple[int, int]], slot: Column) -> Column:
