@@ -1,7 +1,8 @@
 """Line de-duplication by a log-template tree.
 
 A line is parsed to a fixed depth: its token count, then its first three
-tokens, name a leaf. Tokens with a digit are variable fields and read ``<*>``.
+tokens, name a leaf. Tokens with a digit are variable fields and read ``<*>``
+(not in lines that hold little else).
 Below the leaf a template is either the whole masked line, or, for lines of
 eight tokens and more, the line with one of its four quarters left open
 (``<*>`` for a longer variable field). A template recurs if it is found in
@@ -30,8 +31,17 @@ LOWEST = -(2**63)
 
 def masked(line: Column) -> Column:
     """The line with every token that holds a digit replaced by ``<*>``."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(
-        line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", "<*>")).otherwise(line)
+    return F.regexp_replace(
+        line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", "<*>")
+
+
+def tokens(line: Column) -> Column:
+    """The tokens of the masked line, or, where more than half of them would be
+    variable (a row of numbers, say), of the line as it is."""
+    def mostly_fixed(t: Column) -> Column:
+        return F.when(2 * F.size(F.filter(t, lambda x: x == "<*>")) <= F.size(t), t).otherwise(words(line))
+
+    return F.when(line.rlike("[0-9]"), let(words(masked(line)), mostly_fixed)).otherwise(words(line))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,14 +55,14 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> Data
     """One row per line: document (key, h), pos, leaf, line hashes m1, m2 and
     the hashes of the four quarters."""
     lines = _keyed(docs, id_col, text_col).select("key", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    tokens = lines.select("key", "h", "pos", words(masked(F.col("line"))).alias("t"))
+    split = lines.select("key", "h", "pos", tokens(F.col("line")).alias("t"))
     t, n = F.col("t"), F.size(F.col("t"))
 
     def quarter(q: int) -> Column:
         start = F.expr(f"(size(t) * {q}) div {QUARTERS}")
         return F.hash(F.slice(t, start + 1, F.expr(f"(size(t) * {q + 1}) div {QUARTERS}") - start))
 
-    return tokens.filter(n >= min_tokens).select(
+    return split.filter(n >= min_tokens).select(
         "key", "h", "pos", n.alias("n"),
         F.xxhash64(n, *[F.get(t, i) for i in range(LEADING)]).alias("leaf"),
         F.xxhash64(t).alias("m1"), F.hash(t).alias("m2"),

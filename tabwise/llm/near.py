@@ -23,7 +23,7 @@ two, however large they are.
 
 Exact copies are found by digest first; only one of them is sketched. Rows of
 one id are one document. A row without an id gets one from its text's hash
-(below -2**62). Texts without words are alike only if they are equal.
+(2**62 and more, so other ids come first). Texts without words are alike only if they are equal.
 """
 
 from __future__ import annotations
@@ -40,7 +40,6 @@ from tabwise.llm.common import hinted, written
 from tabwise.llm.wordhash import batches, mix, rolling, whole_windows, word_hashes
 
 K, FUNCTIONS, BAND = 5, 32, 2
-LOWEST = -(2**63)
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**64, FUNCTIONS, dtype=np.uint64)
 _ODD = _rng.integers(0, 2**64, FUNCTIONS, dtype=np.uint64) | np.uint64(1)
@@ -291,7 +290,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def with_node(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``__node``: the id, or for a null id one from the text."""
-    made = F.lit(LOWEST) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2)
+    made = F.lit(2**62) + F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2)
     return docs.withColumn("__node", F.coalesce(F.col(id_col).cast("long"), made))
 
 
