@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwise.functions.frames import nan_to_null
 from tabwise.functions.predicates import is_blank_or_null, safe_number
 from tabwise.operators.profile import is_numeric_type, value_frequencies
 from tabwise.operators.quantiles import quantile_map
@@ -127,26 +128,23 @@ class ColumnStats:
     name: str
     rows: int
     nulls: int            # null (or blank when blank_is_missing)
-    distinct: int         # distinct non-missing values (string form)
-    mode: str | None = None   # smallest most frequent non-missing value (string form)
+    distinct: int         # distinct non-missing values: 0, 1, or 2 for two and more
 
 
 def column_stats(df: DataFrame, blank_is_missing: bool = False) -> dict[str, ColumnStats]:
-    """One frequency-table job -> per-column rows, nulls, distinct count and
-    mode (the mode is a combinable ``min(struct(-n, value))``)."""
-    freq = value_frequencies(df)
-    miss = is_blank_or_null(F.col("value")) if blank_is_missing else F.col("value").isNull()
-    per_col = freq.groupBy("column").agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.when(miss, F.col("n")).otherwise(0)).alias("nulls"),
-        F.count(F.when(~miss, F.lit(1))).alias("distinct"),
-        F.min(F.when(~miss, F.struct((-F.col("n")).alias("k"), F.col("value").alias("v")))).alias("m"))
-    out = {r["column"]: ColumnStats(r["column"], int(r["rows"]), int(r["nulls"]), int(r["distinct"]),
-                                    r["m"]["v"] if r["m"] is not None else None)
-           for r in per_col.collect()}
-    for c in df.columns:  # empty frame: no rows in the frequency table
-        out.setdefault(c, ColumnStats(c, 0, 0, 0))
-    return out
+    """Per-column rows, nulls and whether there are none, one or more values,
+    from one fused aggregate (counts, min and max; no value is shuffled)."""
+    df = nan_to_null(df)
+    comparable = {f.name: not isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema.fields}
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(df.columns):
+        v = _q(c) if comparable[c] else _q(c).cast("string")
+        if blank_is_missing:
+            v = F.when(is_blank_or_null(_q(c)), None).otherwise(v)
+        aggs += [F.count(v).alias(f"n{i}"), F.min(v).eqNullSafe(F.max(v)).alias(f"one{i}")]
+    r = df.agg(*aggs).first()
+    return {c: ColumnStats(c, r["rows"], r["rows"] - r[f"n{i}"], 0 if not r[f"n{i}"] else 1 if r[f"one{i}"] else 2)
+            for i, c in enumerate(df.columns)}
 
 
 # ---------------------------------------------------------------------------
@@ -178,12 +176,8 @@ def drop_constant(df: DataFrame, protected: Sequence[str] = (), ui_rule: bool =
     return df.drop(*cols), cols
 
 
-def dedupe(df: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """D3: drop duplicate rows (nulls equal).  ``max_rows`` mimics the
-    reference's skip above a size (off by default: the hash aggregate spills,
-    so size is no reason to skip)."""
-    if max_rows is not None and df.count() >= max_rows:
-        return df
+def dedupe(df: DataFrame) -> DataFrame:
+    """D3: drop duplicate rows (nulls equal), whatever the size."""
     return df.dropDuplicates()
 
 
@@ -223,6 +217,7 @@ def fill_values(df: DataFrame, methods: Mapping[str, str], exact: bool = True) -
     """Fitted fill value per column for ``mean`` / ``median`` / ``mode``;
     one aggregate for the means, one distributed quantile job for the
     medians, one frequency job for the modes."""
+    df = nan_to_null(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     mean_cols = [c for c, m in methods.items() if m == "mean"]
     med_cols = [c for c, m in methods.items() if m == "median"]
@@ -257,7 +252,8 @@ def _from_string(v: str | None, dt: T.DataType) -> object:
 def apply_fills(df: DataFrame, fills: Mapping[str, object]) -> DataFrame:
     """``coalesce(col, fill)`` in one select; the column keeps its type when
     the fill fits it (an integral column filled with a fractional mean or
-    median becomes double, as in pandas)."""
+    median becomes double, as in pandas).  NaN cells are filled like nulls."""
+    df = nan_to_null(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for c in df.columns:
@@ -298,7 +294,7 @@ def apply_decisions(df: DataFrame, decisions: Mapping) -> tuple[DataFrame, list[
     the point of application, in the given order) -> ``remove_duplicates``
     -> ``drop_columns``.  Returns the frame and the action log."""
     actions: list[str] = []
-    out = df
+    out = nan_to_null(df)
     fm = decisions.get("fill_missing", {}) or {}
     # consecutive fills share one statistics pass unless a drop intervenes
     pending: dict[str, str] = {}
@@ -354,8 +350,7 @@ class CleanSummary:
 
 
 def auto_clean(df: DataFrame, target: str | None = None, protected: Sequence[str] = (),
-               missing_threshold: float = 0.4, dedupe_max_rows: int | None = None,
-               exact: bool = True, materialize: bool = True) -> tuple[DataFrame, CleanSummary]:
+               missing_threshold: float = 0.4, exact: bool = True, materialize: bool = True) -> tuple[DataFrame, CleanSummary]:
     """Constant columns -> duplicates -> columns with > 40 % nulls ->
     median (numeric) / mode (string) fill -> the target is never imputed ->
     rows with a null target dropped.  Returns the cleaned frame and the D11
@@ -366,6 +361,7 @@ def auto_clean(df: DataFrame, target: str | None = None, protected: Sequence[str
     checkpoint folder) so the statistics, median, mode and output passes
     read it instead of repeating the de-duplication shuffle."""
     prot = protected_set(protected, target)
+    df = nan_to_null(df)
     st0 = column_stats(df)
     n0 = next(iter(st0.values())).rows if st0 else 0
     summary = CleanSummary(before_rows=n0, before_cols=len(df.columns))
@@ -377,11 +373,7 @@ def auto_clean(df: DataFrame, target: str | None = None, protected: Sequence[str
     if const:
         summary.notes.append(f"Removed {len(const)} constant columns")
 
-    skip = dedupe_max_rows is not None and n0 >= dedupe_max_rows
-    if skip:
-        summary.notes.append("Skipped duplicate check (large dataset - use manual check if needed)")
-    else:
-        out = out.dropDuplicates()
+    out = out.dropDuplicates()
     if materialize:
         from tabwise.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(out.sparkSession)
@@ -389,10 +381,9 @@ def auto_clean(df: DataFrame, target: str | None = None, protected: Sequence[str
 
     st1 = column_stats(out)
     n1 = next(iter(st1.values())).rows if st1 else 0
-    if not skip:
-        summary.removed_duplicates = n0 - n1
-        if n0 - n1 > 0:
-            summary.notes.append(f"Removed {n0 - n1} duplicate rows")
+    summary.removed_duplicates = n0 - n1
+    if n0 - n1 > 0:
+        summary.notes.append(f"Removed {n0 - n1} duplicate rows")
     sparse = high_missing_columns(out, sorted(prot), missing_threshold, stats=st1)
     for c, share in sparse:
         summary.dropped_columns.append((c, f"Too many missing values ({share * 100:.1f}%)"))
@@ -402,7 +393,6 @@ def auto_clean(df: DataFrame, target: str | None = None, protected: Sequence[str
 
     types = {f.name: f.dataType for f in out.schema.fields}
     methods: dict[str, str] = {}
-    fills: dict[str, object] = {}
     filled = 0
     for c in out.columns:
         nulls = st1[c].nulls
@@ -415,8 +405,8 @@ def auto_clean(df: DataFrame, target: str | None = None, protected: Sequence[str
         elif isinstance(types[c], T.StringType):
             filled += nulls
             if c != target:
-                fills[c] = st1[c].mode          # from the same statistics pass
-    fills.update(fill_values(out, methods, exact=exact))
+                methods[c] = "mode"
+    fills = fill_values(out, methods, exact=exact)
     out = apply_fills(out, fills)
     summary.filled_missing = filled
     if filled > 0:
@@ -542,9 +532,9 @@ def onehot_ui(df: DataFrame, columns: Sequence[str], max_categories: int = 12) -
     s = df.select(*[F.when(is_blank_or_null(_q(c)), F.lit("Unknown")).otherwise(_q(c).cast("string")).alias(c)
                     for c in columns])
     freq = value_frequencies(s, columns)
-    from tabwise.operators.ranking import group_rank
-    ranked = group_rank(freq.select("column", "value"), ["column"], ["value"], name="_r")
-    vocab_rows = ranked.filter(F.col("_r") <= max_categories).select("column", "value").collect()
+    smallest = F.row_number().over(Window.partitionBy("column").orderBy("value"))   # a window group limit, not a sort
+    vocab_rows = freq.select("column", "value", smallest.alias("_r")).filter(
+        F.col("_r") <= max_categories).select("column", "value").collect()
     vocab: dict[str, list[str]] = {}
     for r in vocab_rows:
         vocab.setdefault(r["column"], []).append(r["value"])

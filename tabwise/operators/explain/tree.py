@@ -63,7 +63,7 @@ def _tree_arrays(nodes: list, classification_probs: bool, class_index: int) -> d
 def tree_tables(model: Model, class_index: int = 1) -> tuple[list[dict], list[float], str]:
     """``(trees, weights, output)`` read from the model's saved node table."""
     spark = SparkSession.getActiveSession()
-    path = os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), "tabwise-models", uuid.uuid4().hex)
+    path = os.path.join(ensure_checkpoint_dir(spark), "tabwise-models", uuid.uuid4().hex)
     model.write().overwrite().save(path)
     data = spark.read.parquet(os.path.join(path, "data"))
     name = type(model).__name__

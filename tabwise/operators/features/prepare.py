@@ -26,7 +26,7 @@ from tabwise.operators.features.encode import CategoricalEncoder, EncoderModel
 from tabwise.operators.features.impute import Imputer, ImputerModel
 from tabwise.operators.features.selection import SelectKBest, SelectKBestModel
 from tabwise.operators.features.transforms import DatetimeFeatures, Interactions, InteractionsModel, Scaler, ScalerModel
-from tabwise.operators.profile import feature_types
+from tabwise.operators.profile import feature_types, is_numeric_type
 
 
 def feature_type_lists(df: DataFrame, exclude: Sequence[str] = ()) -> dict[str, list[str]]:
@@ -63,6 +63,14 @@ class FeaturePreparator(JsonEstimator):
             imp = Imputer(cfg["handle_missing"], X.columns, exact=cfg["exact"]).fit(X)
             X = imp.transform(X)
             add("impute", imp)
+            # a number column without any value has nothing to learn from (and would reach the learners as NaN)
+            fills = imp.fill_values
+            empty = [c for c in X.columns if c in fills and fills[c] is None
+                     and is_numeric_type(X.schema[c].dataType, bool_numeric=False)]
+            if empty:
+                X = X.drop(*empty)
+                types = {k: [c for c in v if c not in empty] for k, v in types.items()}
+                stages.append(("drop", json.dumps({"columns": empty})))
         X = DatetimeFeatures(types["datetime"]).transform(X)
         stages.append(("datetime", json.dumps({"columns": types["datetime"]})))
         enc = CategoricalEncoder(types["binary"], types["categorical"]).fit(X)
@@ -104,6 +112,8 @@ def _apply(df: DataFrame, stages: list, types: dict, keep: Sequence[str]) -> Dat
         st = json.loads(state)
         if name == "impute":
             X = ImputerModel(state=st).transform(X)
+        elif name == "drop":
+            X = X.drop(*st["columns"])
         elif name == "datetime":
             X = DatetimeFeatures(st["columns"]).transform(X)
         elif name == "encode":

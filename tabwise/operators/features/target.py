@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwise.functions.frames import nan_to_null
 from tabwise.operators.features.base import JsonEstimator, StateModel, qcol
 
 
@@ -42,20 +43,19 @@ class LabelMap(JsonEstimator):
     as numbers, others as text); the index column is a double, as Spark ML
     classifiers expect."""
 
-    def __init__(self, label: str = "label", output: str = "label_index", max_classes: int = 10000):
-        super().__init__(label=label, output=output, max_classes=max_classes)
+    def __init__(self, label: str = "label", output: str = "label_index"):
+        super().__init__(label=label, output=output)
 
     def _fit(self, df: DataFrame) -> "LabelMapModel":
         cfg = self.cfg
         col = cfg["label"]
         dt = df.schema[col].dataType
-        values = df.select(qcol(col).alias("v")).filter(F.col("v").isNotNull()).distinct()
-        vals = [r["v"] for r in values.limit(cfg["max_classes"] + 1).collect()]   # bounded collect
-        if len(vals) > cfg["max_classes"]:
-            raise ValueError(f"more than max_classes={cfg['max_classes']} classes")
-        numeric = isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType))
-        vals = sorted(vals) if numeric else sorted(str(v) for v in vals)
-        labels = [str(v) for v in vals]
+        numeric = isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                                  T.DecimalType))
+        # the text form is Spark's own, as the lookup casts with Spark; the list is the model's classes
+        values = nan_to_null(df.select(qcol(col).alias("v"))).filter("v is not null").select(
+            "v", F.col("v").cast("string").alias("s")).distinct().collect()
+        labels = [r["s"] for r in sorted(values, key=lambda r: r["v"] if numeric else r["s"])]
         return LabelMapModel(state={"labels": labels, "numeric": numeric, "dtype": dt.simpleString()},
                              label=col, output=cfg["output"])
 

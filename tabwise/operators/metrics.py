@@ -49,18 +49,16 @@ def pair_counts(df: DataFrame, label: str = "label", prediction: str = "predicti
 
 
 def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction",
-                     group_by: Sequence[str] | None = None, max_classes: int = 10000) -> DataFrame:
+                     group_by: Sequence[str] | None = None) -> DataFrame:
     """H2: counts for every ``(actual, predicted)`` over the union of the
-    labels, zero cells included.  The class list is collected (it is the
-    label vocabulary, bounded by the number of classes) and the K x K grid
-    of each group is generated with ``explode``; observed counts are joined
-    onto it."""
+    labels, zero cells included: a dense K x K grid per group, made with
+    ``explode`` from the collected class list, for the few classes that are
+    looked at as a matrix.  For many classes take :func:`pair_counts`, the
+    cells that occur."""
     g = _g(group_by)
     pc = pair_counts(df, label, prediction, g)
     classes = [r[0] for r in pc.select(F.col("actual").alias("c")).union(pc.select("predicted"))
-               .distinct().limit(max_classes + 1).collect()]               # bounded collect
-    if len(classes) > max_classes:
-        raise ValueError(f"more than max_classes={max_classes} classes")
+               .distinct().collect()]
     classes = sorted(classes, key=lambda v: (v is None, v))
     base = pc.select(*g).distinct() if g else df.sparkSession.range(1).select()
     lits = F.array(*[F.lit(v) for v in classes])

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tabwise.operators import metrics as M
 from tabwise.operators.ml.zoo import DataFacts, Factory
+from tabwise.session import default_parallelism
 
 CLASS_METRICS = ["accuracy", "precision", "recall", "f1"]
 REG_METRICS = ["r2", "mse", "rmse", "mae"]
@@ -111,36 +112,15 @@ class TrainResult:
     times: dict[str, float] = field(default_factory=dict)
 
 
-TARGET_PARTITION_BYTES = 64 * 1024 * 1024
-
-
-def size_partitions(data: DataFrame, rows: int, n_features: int) -> DataFrame:
-    """Repartition the training frame to ~64 MB partitions (at least one).
-    Spark ML runs one job per iteration over every partition, so a small
-    frame spread over many partitions pays the task overhead many times; a
-    large one still gets as many partitions as its size needs."""
-    row_bytes = 8 * (n_features + 4)
-    n = max(1, -(-rows * row_bytes // TARGET_PARTITION_BYTES))
-    return data.repartition(int(n))
-
-
-def _n_features(data: DataFrame) -> int:
-    meta = data.schema["features"].metadata.get("ml_attr", {})
-    if "num_attrs" in meta:
-        return int(meta["num_attrs"])
-    r = data.select("features").first()
-    return int(r[0].size) if r else 1
-
-
 def train_all(data: DataFrame, task: str, models: Mapping[str, Factory], k: int = 5, parallelism: int = 5,
               refit: bool = True, persist: bool = True) -> TrainResult:
     """CV every model (timed), refit on all training rows, skip and
     record failures, leaderboard sorted by f1_mean / r2_mean.  The training
-    frame is sized into ~64 MB partitions and persisted once."""
+    frame is dealt into the session's number of partitions, whatever its
+    size, and persisted once."""
     spark = data.sparkSession
     if persist:
-        rows = data.count()
-        data = size_partitions(data, rows, _n_features(data))
+        data = data.repartition(default_parallelism(spark))
     cached = data.persist(StorageLevel.MEMORY_AND_DISK) if persist else data
     try:
         facts = data_facts(cached, task)

@@ -11,7 +11,7 @@ GBT is binary in Spark; more classes go through ``OneVsRest``.  Penalties
 follow the sklearn objectives: logistic ``C`` -> ``regParam = 1 / (C n)``
 (and sklearn's convergence tolerance 1e-4 for the linear solvers),
 ridge ``alpha`` -> ``regParam = alpha * std_pop(y) / n`` (Spark divides the
-penalty by the label's standard deviation).
+penalty by the label's standard deviation), Lasso / ElasticNet: :func:`elastic_net`.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
                                    RandomForestRegressor)
 
 SEED = 42
-TREE_DEPTH = 12          # sklearn grows trees without a depth limit; Spark caps at 30
+TREE_DEPTH = 30          # no depth limit: Spark's maximum
 # node statistics of more nodes per pass (fewer passes over the data) and
 # cached node ids (checkpointed every 10 iterations into the shared folder)
 TREE_KW = dict(maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
@@ -100,8 +100,8 @@ OPTIONAL_CLASSIFIERS: dict[str, Factory] = {
 OPTIONAL_REGRESSORS: dict[str, Factory] = {
     "Decision Tree": lambda f: DecisionTreeRegressor(maxDepth=TREE_DEPTH, seed=SEED, **TREE_KW),
     "Linear Regression": lambda f: LinearRegression(regParam=0.0),
-    "Lasso Regression": lambda f: LinearRegression(regParam=1.0, elasticNetParam=1.0, standardization=False),
-    "ElasticNet": lambda f: LinearRegression(regParam=1.0, elasticNetParam=0.5, standardization=False),
+    "Lasso Regression": lambda f: _elastic(1.0)(f),
+    "ElasticNet": lambda f: _elastic(0.5)(f),
 }
 
 
@@ -219,17 +219,41 @@ def to_spark(est: Estimator, params: dict, facts: DataFacts) -> Estimator:
             _set(inner, "elasticNetParam", 1.0 if v == "l1" else 0.0)
         elif k == "max_iter":
             _set(inner, "maxIter", int(v))
-        elif k == "alpha":
-            _set(inner, "regParam", float(v) * facts.label_std / max(facts.n, 1))
-        elif k == "l1_ratio":
-            _set(inner, "elasticNetParam", float(v))
+        elif k in ("alpha", "l1_ratio") and isinstance(inner, LinearRegression):
+            pass  # together, below
         # solver, kernel (linear only), gamma, n_neighbors, weights, metric and
         # var_smoothing have no Spark counterpart and are ignored
+    if isinstance(inner, LinearRegression) and ("alpha" in params or "l1_ratio" in params):
+        mix = inner.getElasticNetParam()
+        alpha = float(params.get("alpha", 1.0))
+        if mix == 0.0 and "l1_ratio" not in params:
+            _set(inner, "regParam", alpha * facts.label_std / max(facts.n, 1))
+        else:
+            l1 = float(params.get("l1_ratio", 1.0 if mix == 1.0 else 0.5))
+            reg, mix = elastic_net(alpha, l1, facts.label_std)
+            inner._set(regParam=reg, elasticNetParam=mix)
     if isinstance(est, OneVsRest):
         return est.copy().setClassifier(inner)
     return inner
 
 
+def elastic_net(alpha: float, l1_ratio: float, label_std: float) -> tuple[float, float]:
+    """(regParam, elasticNetParam) of sklearn's Lasso / ElasticNet objective,
+    which is a mean over rows (no division by n).  Spark divides the whole
+    penalty by the label's standard deviation after scaling the label by it:
+    the absolute part keeps its weight, the square part has to be multiplied."""
+    absolute, square = alpha * l1_ratio, alpha * (1.0 - l1_ratio) * label_std
+    total = absolute + square
+    return (total, absolute / total) if total else (0.0, 0.0)
+
+
+def _elastic(l1_ratio: float) -> Factory:
+    def make(f: DataFacts) -> Estimator:
+        reg, mix = elastic_net(1.0, l1_ratio, f.label_std)
+        return LinearRegression(regParam=reg, elasticNetParam=mix, standardization=False)
+    return make
+
+
 def _set(est: Estimator, name: str, value) -> bool:
     if est.hasParam(name):
         est._set(**{name: value})

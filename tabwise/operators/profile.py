@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwise.functions.frames import attach_one_row
+from tabwise.functions.frames import attach_one_row, nan_to_null
 from tabwise.functions.predicates import is_blank_or_null, looks_like_date, safe_number
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -51,6 +51,7 @@ def value_frequencies(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     """Long table ``(column, value, n)`` over the string form of each value;
     null values are kept as a row with ``value = null``."""
     cols = list(columns) if columns is not None else df.columns
+    df = nan_to_null(df.select(*[_q(c) for c in cols]))
     as_str = df.select(*[_q(c).cast("string").alias(c) for c in cols])
     long = as_str.unpivot([], cols, "column", "value")
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -91,6 +92,8 @@ def shape_types(df: DataFrame) -> DataFrame:
 def missing_counts(df: DataFrame, blank_is_missing: bool = False) -> DataFrame:
     """C2 (all columns): ``(column, missing_count, missing_pct, n_rows)`` in one
     pass.  ``blank_is_missing`` adds the UI rule (blank strings)."""
+    df = nan_to_null(df)
+
     def miss(c: str) -> Column:
         cond = is_blank_or_null(_q(c)) if blank_is_missing else _q(c).isNull()
         return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
@@ -120,6 +123,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def numeric_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Mean, sample std, min, max per numeric column (bool counts as
     numeric); all-null column -> nulls.  One fused aggregate."""
+    df = nan_to_null(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(columns) if columns is not None else numeric_columns(df)
     if not cols:
@@ -155,6 +159,7 @@ def dq_report(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
     counts come from HyperLogLog sketches inside the fused aggregate and the
     frequency table covers only the non-numeric columns (for their modes),
     so it no longer grows with every distinct number of every column."""
+    df = nan_to_null(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = df.columns
     num = [c for c in cols if is_numeric_type(types[c])]
@@ -209,6 +214,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
     max per numeric column.  Quartiles are exact through the distributed
     rank (``exact=False``: ``percentile_approx`` in the same aggregate)."""
     from tabwise.operators.quantiles import column_quantiles
+    df = nan_to_null(df)
     types = {f.name: f.dataType for f in df.schema.fields}
     cols = list(columns) if columns is not None else numeric_columns(df)
     aggs = []

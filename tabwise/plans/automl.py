@@ -89,7 +89,8 @@ class Predictor:
         meta = {"task": self.task, "target": self.target, "training_columns": self.training_columns,
                 "model_name": self.model_name,
                 "model_class": f"{type(self.model).__module__}.{type(self.model).__name__}",
-                "labels": self.label_map.labels if self.label_map else None}
+                "labels": self.label_map.labels if self.label_map else None,
+                "target_scaler": self.target_scaler is not None}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite") \
             .parquet(os.path.join(path, "metadata"))
 
@@ -99,9 +100,7 @@ class Predictor:
         mod, cls = meta["model_class"].rsplit(".", 1)
         model = getattr(importlib.import_module(mod), cls).load(os.path.join(path, "model"))
         lm = LabelMapModel.load(os.path.join(path, "label_map")) if meta["task"] == "classification" else None
-        ts = None
-        if meta["task"] == "regression" and os.path.exists(os.path.join(path, "target_scaler")):
-            ts = TargetScalerModel.load(os.path.join(path, "target_scaler"))
+        ts = TargetScalerModel.load(os.path.join(path, "target_scaler")) if meta["target_scaler"] else None
         return Predictor(meta["task"], meta["target"], meta["training_columns"],
                          FeaturePreparatorModel.load(os.path.join(path, "preparator")), model, meta["model_name"], lm, ts)
 

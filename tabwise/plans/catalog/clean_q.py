@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tabwise.functions.predicates import is_blank_or_null, nonfinite_to_null, safe_number
 from tabwise.operators import clean as C
 from tabwise.plans.catalog.common import rounded
-from tabwise.plans.testviews import dirty_orders, with_dirty
+from tabwise.plans.testviews import dirty_orders, nan_orders, with_dirty
 from tabwise.registry import register
 from tabwise.sources.tables import table
 
@@ -247,6 +247,13 @@ def q_auto_clean(spark, sf):
     return out
 
 
+@register("auto_clean_nan", _AUTO_SQL)
+def q_auto_clean_nan(spark, sf):
+    """NaN cells are filled like nulls."""
+    out, _ = C.auto_clean(nan_orders(spark, sf), target="o_orderstatus", protected=["o_orderkey"])
+    return out
+
+
 _SUMMARY_SQL = with_dirty(""", d as (select distinct * from dirty)
 select (select count(*) from dirty) as before_rows, cast(6 as bigint) as before_cols,
   (select count(*) from d) as after_rows, cast(4 as bigint) as after_cols,

@@ -343,3 +343,19 @@ def q_label_map(spark, sf):
     m = LabelMap("l_returnflag", "label_index").fit(li)
     out = m.transform(li)
     return m.decode(out, "label_index", "decoded").select("l_orderkey", "l_linenumber", "label_index", "decoded")
+
+
+@register("label_map_boolean", """select o_orderkey, case when o_totalprice > 150000 then 1.0 else 0.0 end as label_index,
+  o_totalprice > 150000 as decoded from orders""")
+def q_label_map_boolean(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") > 150000).alias("big"))
+    m = LabelMap("big", "label_index").fit(o)
+    return m.decode(m.transform(o), "label_index", "decoded").select("o_orderkey", "label_index", "decoded")
+
+
+@register("label_map_doubles", """with v as (select l_orderkey, l_linenumber, (l_linenumber - 1) / 100000.0 as y from lineitem)
+select l_orderkey, l_linenumber, cast(dense_rank() over (order by y) - 1 as double) as label_index from v""")
+def q_label_map_doubles(spark, sf):
+    """Labels whose text form depends on who prints them (1.0E-5)."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_linenumber") - 1) / 100000.0).alias("y"))
+    return LabelMap("y", "label_index").fit(li).transform(li).select("l_orderkey", "l_linenumber", "label_index")

@@ -21,7 +21,7 @@ from tabwise.sources.tables import table
 
 def scratch(spark, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
-    root = ensure_checkpoint_dir(spark).replace("file:", "")
+    root = ensure_checkpoint_dir(spark)
     return os.path.join(root, "tabwise-out", f"{name}-{uuid.uuid4().hex[:12]}")
 
 

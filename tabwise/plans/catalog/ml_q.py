@@ -208,7 +208,7 @@ def q_stream(spark, sf):
     import uuid
 
     from tabwise.session import ensure_checkpoint_dir
-    from tabwise.streaming.scoring import score_stream, stream_source
+    from tabwise.streaming.scoring import score_stream, stream_source, write_scores
     predictor = _classification_run(spark, sf).predictor("Naive Bayes")
     src = os.path.join(sf, "orders.parque[t]")       # glob: the table file as a file-stream source
     cols = ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority", "c_acctbal", "c_mktsegment"]
@@ -217,9 +217,6 @@ def q_stream(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     joined = stream.join(c, stream.o_custkey == c.c_custkey).select(*cols)     # stream-static join
     name = f"scored_{uuid.uuid4().hex[:10]}"
-    ckpt = os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), "streams", name)
-    q = (score_stream(predictor, joined, probabilities=False).writeStream.format("memory").queryName(name)
-         .option("checkpointLocation", ckpt).outputMode("append").start())
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name)
+    out = os.path.join(ensure_checkpoint_dir(spark), "tabwise-out", name)
+    write_scores(score_stream(predictor, joined, probabilities=False), out, name, trigger_once=True).awaitTermination()
+    return spark.read.parquet(out)

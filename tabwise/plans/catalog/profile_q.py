@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabwise.operators import profile as P
 from tabwise.plans.catalog.common import DUCK_TYPE, rounded
-from tabwise.plans.testviews import dirty_orders, with_dirty
+from tabwise.plans.testviews import dirty_orders, nan_orders, with_dirty
 from tabwise.registry import register
 from tabwise.sources.tables import table
 
@@ -116,6 +116,12 @@ def q_report(spark, sf):
     return rounded(P.dq_report(dirty_orders(spark, sf)))
 
 
+@register("dq_report_nan", _REPORT_SQL)
+def q_report_nan(spark, sf):
+    """NaN cells are missing cells."""
+    return rounded(P.dq_report(nan_orders(spark, sf)))
+
+
 # C8 --------------------------------------------------------------------------
 _DESC_COLS = ["o_totalprice", "mostly_missing"]
 _DESCRIBE_SQL = with_dirty(_union([

@@ -46,6 +46,13 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(base.filter(k % 50 == 0))
 
 
+def nan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dirty view with NaN in place of its null prices: NaN is missing, so
+    every twin of the dirty view holds here as well."""
+    d = dirty_orders(spark, sf_dir)
+    return d.withColumn("o_totalprice", F.coalesce("o_totalprice", F.lit(float("nan"))))
+
+
 # pseudo-predictions for metric operators: label = return flag, prediction by
 # a fixed rule on quantity/discount (no model needed on either side)
 PSEUDO_CLASS_SQL = """select l_orderkey, l_linenumber, l_linestatus, l_returnflag as label,

@@ -44,11 +44,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder comes from the cluster configuration and is
-    shared storage.  Only when nothing is configured (a bare local test run)
-    a scratch folder is created.
+    shared storage; without one this raises.  Only a local session (one
+    machine, as in tests) gets a scratch folder when nothing is configured.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tabwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     try:

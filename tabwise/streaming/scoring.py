@@ -17,11 +17,14 @@ from tabwise.plans.automl import Predictor
 from tabwise.session import ensure_checkpoint_dir
 
 
-def stream_source(spark: SparkSession, path: str, schema, max_files_per_trigger: int = 1,
+def stream_source(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None,
                   fmt: str = "parquet") -> DataFrame:
-    """A file source (new files under ``path`` become micro-batches)."""
-    return (spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-            .load(path))
+    """A file source (new files under ``path`` become micro-batches, all that
+    are there at once unless ``max_files_per_trigger`` says otherwise)."""
+    reader = spark.readStream.format(fmt).schema(schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.load(path)
 
 
 def score_stream(predictor: Predictor, stream: DataFrame, probabilities: bool = True) -> DataFrame:
@@ -34,7 +37,7 @@ def write_scores(scored: DataFrame, out_path: str, name: str, trigger_once: bool
     """Append the scored rows as parquet; the checkpoint lives below the
     shared checkpoint folder under ``name``."""
     spark = scored.sparkSession
-    ckpt = os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), "streams", name)
+    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
     w = scored.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", ckpt) \
         .outputMode("append")
     if trigger_once:

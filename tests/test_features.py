@@ -113,3 +113,29 @@ def test_run_fit_on_train_split(spark):
     run = run_automl(o, "band", "o_orderkey", "classification", fit_on="train", cv_folds=3,
                      models={"Naive Bayes": zoo.OPTIONAL_CLASSIFIERS["Naive Bayes"]})
     assert run.test_board.count() == 1 and run.best_model_name == "Naive Bayes"
+
+
+def test_nan_and_empty_columns(spark):
+    from tabwise.operators.clean import auto_clean, column_stats
+    from tabwise.operators.features.prepare import FeaturePreparator
+    from tabwise.operators.profile import dq_report
+    d = spark.createDataFrame(
+        [(i, [1.0, float("nan"), 3.0, None][i % 4], None, "a" if i % 2 else "b") for i in range(40)],
+        "k long, x double, nothing double, y string")
+    r = {r["column_name"]: r for r in dq_report(d).collect()}
+    assert r["x"]["missing_count"] == 20 and r["x"]["mean"] == 2.0 and r["x"]["unique_values"] == 2
+    assert column_stats(d)["x"].nulls == 20
+    out, summary = auto_clean(d, target="y", protected=["k"], missing_threshold=0.6)
+    assert out.filter("x is null or isnan(x)").count() == 0 and summary.filled_missing == 20
+    m = FeaturePreparator(target="y", passthrough=["k"], assemble=True).fit(d)
+    assert "nothing" not in m.features
+    assert all(v == v for row in m.transform(d).select("features").collect() for v in row[0].toArray())
+
+
+def test_labels_are_spark_text(spark):
+    from tabwise.operators.features.target import LabelMap
+    for values, kind in (([True, False], "boolean"), ([1e-5, 2.0, 1e20], "double"), ([3, 20], "int")):
+        d = spark.createDataFrame([(v,) for v in values * 3], f"y {kind}")
+        m = LabelMap("y", "i").fit(d)
+        out = m.decode(m.transform(d), "i", "back").collect()
+        assert all(r["i"] == sorted(values).index(r["y"]) and r["back"] == r["y"] for r in out)

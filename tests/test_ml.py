@@ -129,3 +129,42 @@ def test_run_state_roundtrip(spark, tmp_dir):
     s = PJ.project_summary(PJ.read_project_state(spark, tmp_dir, "demo")).first()
     assert s["best_model_name"] == "Naive Bayes" and s["dataset"]["n_samples_total"] == _orders(spark).count()
     assert math.isclose(s["accuracy"], run.test_board.first()["accuracy"])
+
+
+def test_regression_scale_survives_a_uri(spark, tmp_dir):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    d = li.select(F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate").alias("k"),
+                  "l_quantity", (F.col("l_quantity") * 10 + 500).alias("y")).dropDuplicates(["k"])
+    run = run_automl(d, "y", "k", "regression", models={"Ridge Regression": zoo.REGRESSORS["Ridge Regression"]}, cv_folds=3)
+    p = run.predictor()
+    p.save("file://" + tmp_dir)
+    for path in (tmp_dir, "file://" + tmp_dir):
+        q = Predictor.load(spark, path)
+        both = p.predict(d).select("k", "y_prediction").join(q.predict(d).select("k", F.col("y_prediction").alias("b")), "k")
+        assert both.filter(F.abs(F.col("y_prediction") - F.col("b")) > 1e-9).count() == 0
+        assert both.agg(F.min("b")).first()[0] > 400
+
+
+def test_penalties_follow_the_model_family():
+    facts = zoo.DataFacts(n=10000, label_std=2.0)
+    make = zoo.all_models("regression")
+    ridge = zoo.to_spark(make["Ridge Regression"](facts), {"alpha": 1.0}, facts)
+    assert math.isclose(ridge.getRegParam(), 2.0 / 10000) and ridge.getElasticNetParam() == 0.0
+    lasso = zoo.to_spark(make["Lasso Regression"](facts), {"alpha": 0.1}, facts)
+    assert math.isclose(lasso.getRegParam(), 0.1) and lasso.getElasticNetParam() == 1.0
+    net = zoo.to_spark(make["ElasticNet"](facts), {"alpha": 0.1, "l1_ratio": 0.3}, facts)
+    assert math.isclose(net.getRegParam() * net.getElasticNetParam(), 0.03)
+    assert math.isclose(net.getRegParam() * (1 - net.getElasticNetParam()), 0.07 * 2.0)
+
+
+def test_lasso_minimises_the_mean_objective(spark):
+    """One feature: the Lasso slope is soft-thresholded covariance over variance."""
+    rows = [(float(i % 17), 3.0 * (i % 17) + (i * 7 % 5)) for i in range(400)]
+    d = spark.createDataFrame(rows, "x double, label double")
+    from pyspark.ml.feature import VectorAssembler
+    d = VectorAssembler(inputCols=["x"], outputCol="features").transform(d)
+    s = d.agg(F.covar_pop("x", "label").alias("c"), F.var_pop("x").alias("v"), F.stddev_pop("label").alias("s")).first()
+    facts = zoo.DataFacts(n=400, label_std=s["s"])
+    est = zoo.to_spark(zoo.all_models("regression")["Lasso Regression"](facts), {"alpha": 5.0}, facts)
+    m = est.setMaxIter(500).setTol(1e-12).fit(d)
+    assert math.isclose(m.coefficients[0], (s["c"] - 5.0) / s["v"], rel_tol=1e-4)
