@@ -97,7 +97,7 @@ def main() -> None:
 
     models = dict(zoo.default_models("classification"))
     models.update(zoo.OPTIONAL_CLASSIFIERS)
-    res = T.train_all(data, "classification", models, k=5, parallelism=5, refit=False)
+    res = T.train_all(data, "classification", models, k=5, parallelism=5, refit=False, partitions=1)
     data.unpersist()
     cv_f1 = {}
     for r in res.leaderboard.collect():

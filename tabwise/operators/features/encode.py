@@ -8,12 +8,15 @@
   columns (null or unseen -> all false), appended after the other columns.
 * the choice (one-hot for <= 10 categories, else label) is fixed at fit.
 
-Vocabularies come from one frequency job over all encoded columns and are
-checked against ``max_categories`` before they are kept in the model.
+Vocabularies come from one frequency job over all encoded columns. Those of
+more than ``INLINE`` categories stay tables in the shared folder (the model
+keeps their path) and are joined when the model is applied.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml.feature import StringIndexerModel
@@ -23,20 +26,49 @@ from pyspark.sql import types as T
 
 from tabwise.operators.features.base import JsonEstimator, StateModel, qcol
 from tabwise.operators.profile import DATETIME_TYPES, value_frequencies
+from tabwise.operators.ranking import group_rank
+from tabwise.session import ensure_checkpoint_dir
 
 
-def _vocabularies(df: DataFrame, cols: Sequence[str], limit: int) -> dict[str, list[str]]:
+#: A column with more categories keeps its vocabulary as a table.
+INLINE = 100_000
+
+
+def _vocabularies(df: DataFrame, cols: Sequence[str], inline: int = INLINE
+                  ) -> tuple[dict[str, list[str]], dict[str, str]]:
+    """Sorted categories per column, and for columns with more than ``inline``
+    of them the path of a table (value, code) in the session's shared folder
+    instead; its codes come from a distributed rank."""
     if not cols:
-        return {}
+        return {}, {}
     freq = value_frequencies(df, cols).filter(F.col("value").isNotNull())
     sizes = {r["column"]: r["k"] for r in freq.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
-    too_big = {c: k for c, k in sizes.items() if k > limit}
-    if too_big:
-        raise ValueError(f"too many categories to keep in the model (limit {limit}): {too_big}")
-    vocab: dict[str, list[str]] = {c: [] for c in cols}
-    for r in freq.select("column", "value").collect():
+    big = [c for c in cols if sizes.get(c, 0) > inline]
+    vocab: dict[str, list[str]] = {c: [] for c in cols if c not in big}
+    small = freq.filter(~F.col("column").isin(big)) if big else freq
+    for r in small.select("column", "value").collect():
         vocab[r["column"]].append(r["value"])
-    return {c: sorted(v) for c, v in vocab.items()}
+    tables = {}
+    if big:
+        root = os.path.join(ensure_checkpoint_dir(df.sparkSession), "tabwise-vocabularies", uuid.uuid4().hex)
+        ranked = group_rank(freq.filter(F.col("column").isin(big)).select("column", "value"), ["column"], ["value"], name="r")
+        ranked.select("column", "value", (F.col("r") - 1).alias("code")).write.parquet(root)
+        tables = {c: root for c in big}
+    return {c: sorted(v) for c, v in vocab.items()}, tables
+
+
+def table_codes(df: DataFrame, tables: dict[str, str]) -> DataFrame:
+    """Codes of columns whose vocabulary is a table, by a join (the planner
+    chooses how); unseen / null -> -1."""
+    order = df.columns
+    for i, (c, root) in enumerate(tables.items()):
+        if c not in order:
+            continue
+        codes = df.sparkSession.read.parquet(root).filter(F.col("column") == c).select(
+            F.col("value").alias(f"__value_{i}"), F.col("code").alias(f"__code_{i}"))
+        df = df.join(codes, qcol(c).cast("string") == F.col(f"__value_{i}"), "left").withColumn(
+            c, F.coalesce(F.col(f"__code_{i}"), F.lit(-1)).cast("int")).drop(f"__value_{i}", f"__code_{i}")
+    return df.select(*[qcol(c) for c in order])
 
 
 def label_codes(df: DataFrame, vocab: dict[str, list[str]], suffix: str = "") -> DataFrame:
@@ -75,27 +107,28 @@ def onehot_columns(col: str, categories: Sequence[str]) -> list[tuple[str, str]]
 
 
 class LabelEncoder(JsonEstimator):
-    """``LabelEncoder(columns, max_categories=100000)``."""
+    """``LabelEncoder(columns)``."""
 
-    def __init__(self, columns: Sequence[str] = (), max_categories: int = 100000):
-        super().__init__(columns=list(columns), max_categories=max_categories)
+    def __init__(self, columns: Sequence[str] = (), inline: int = INLINE):
+        super().__init__(columns=list(columns), inline=inline)
 
     def _fit(self, df: DataFrame) -> "EncoderModel":
         cfg = self.cfg
-        vocab = _vocabularies(df, cfg["columns"], cfg["max_categories"])
-        return EncoderModel(state={"label": vocab, "onehot": {}, "order": cfg["columns"]})
+        vocab, tables = _vocabularies(df, cfg["columns"], cfg["inline"])
+        return EncoderModel(state={"label": vocab, "tables": tables, "onehot": {}, "order": cfg["columns"]})
 
 
 class OneHotEncoder(JsonEstimator):
-    """Drop-first one-hot of the sorted categories."""
+    """Drop-first one-hot of the sorted categories (a column of the result
+    each, so all of them are in the model)."""
 
-    def __init__(self, columns: Sequence[str] = (), max_categories: int = 10000):
-        super().__init__(columns=list(columns), max_categories=max_categories)
+    def __init__(self, columns: Sequence[str] = ()):
+        super().__init__(columns=list(columns))
 
     def _fit(self, df: DataFrame) -> "EncoderModel":
         cfg = self.cfg
-        vocab = _vocabularies(df, cfg["columns"], cfg["max_categories"])
-        return EncoderModel(state={"label": {}, "onehot": vocab, "order": cfg["columns"]})
+        vocab, _ = _vocabularies(df, cfg["columns"], 2**62)
+        return EncoderModel(state={"label": {}, "tables": {}, "onehot": vocab, "order": cfg["columns"]})
 
 
 class CategoricalEncoder(JsonEstimator):
@@ -104,9 +137,8 @@ class CategoricalEncoder(JsonEstimator):
     any other string column -> label codes (fallback)."""
 
     def __init__(self, binary: Sequence[str] = (), categorical: Sequence[str] = (), onehot_max: int = 10,
-                 max_categories: int = 100000):
-        super().__init__(binary=list(binary), categorical=list(categorical), onehot_max=onehot_max,
-                         max_categories=max_categories)
+                 inline: int = INLINE):
+        super().__init__(binary=list(binary), categorical=list(categorical), onehot_max=onehot_max, inline=inline)
 
     def _fit(self, df: DataFrame) -> "EncoderModel":
         cfg = self.cfg
@@ -115,22 +147,17 @@ class CategoricalEncoder(JsonEstimator):
         categorical = [c for c in cfg["categorical"] if c in df.columns]
         leftovers = [c for c in df.columns if isinstance(types[c], T.StringType)
                      and c not in binary and c not in categorical]
-        vocab = _vocabularies(df, binary + categorical + leftovers, cfg["max_categories"])
-        label = {c: vocab[c] for c in binary}
-        onehot = {}
-        for c in categorical:
-            if len(vocab[c]) <= cfg["onehot_max"]:
-                onehot[c] = vocab[c]
-            else:
-                label[c] = vocab[c]
-        label.update({c: vocab[c] for c in leftovers})
-        return EncoderModel(state={"label": label, "onehot": onehot, "order": categorical})
+        vocab, tables = _vocabularies(df, binary + categorical + leftovers, max(cfg["inline"], cfg["onehot_max"]))
+        onehot = {c: vocab[c] for c in categorical if c in vocab and len(vocab[c]) <= cfg["onehot_max"]}
+        label = {c: v for c, v in vocab.items() if c not in onehot}
+        return EncoderModel(state={"label": label, "tables": tables, "onehot": onehot, "order": categorical})
 
 
 class EncoderModel(StateModel):
     def _transform(self, df: DataFrame) -> DataFrame:
         st = self.st
         out = label_codes(df, {c: v for c, v in st["label"].items() if c in df.columns})
+        out = table_codes(out, st.get("tables", {}))
         onehot = {c: v for c, v in st["onehot"].items() if c in df.columns}
         if not onehot:
             return out
@@ -145,7 +172,7 @@ class EncoderModel(StateModel):
     @property
     def encoded_columns(self) -> dict:
         st = self.st
-        return {"label": sorted(st["label"]), "onehot": sorted(st["onehot"])}
+        return {"label": sorted([*st["label"], *st.get("tables", {})]), "onehot": sorted(st["onehot"])}
 
 
 def non_feature_types(types: dict[str, T.DataType]) -> list[str]:

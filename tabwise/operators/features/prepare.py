@@ -101,7 +101,7 @@ class FeaturePreparator(JsonEstimator):
 
 def _num_encoders(enc: EncoderModel) -> int:
     st = enc.st
-    return len(st["label"]) + len(st["onehot"])
+    return len(st["label"]) + len(st["onehot"]) + len(st.get("tables", {}))
 
 
 def _apply(df: DataFrame, stages: list, types: dict, keep: Sequence[str]) -> DataFrame:

@@ -113,14 +113,14 @@ class TrainResult:
 
 
 def train_all(data: DataFrame, task: str, models: Mapping[str, Factory], k: int = 5, parallelism: int = 5,
-              refit: bool = True, persist: bool = True) -> TrainResult:
+              refit: bool = True, persist: bool = True, partitions: int | None = None) -> TrainResult:
     """CV every model (timed), refit on all training rows, skip and
     record failures, leaderboard sorted by f1_mean / r2_mean.  The training
-    frame is dealt into the session's number of partitions, whatever its
-    size, and persisted once."""
+    frame is dealt into ``partitions`` (default: the session's number),
+    whatever its size, and persisted once."""
     spark = data.sparkSession
     if persist:
-        data = data.repartition(default_parallelism(spark))
+        data = data.repartition(partitions or default_parallelism(spark))
     cached = data.persist(StorageLevel.MEMORY_AND_DISK) if persist else data
     try:
         facts = data_facts(cached, task)

@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import hashlib
 import time
+import traceback
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwise.operators.ml import train as T
-from tabwise.operators.ml.zoo import DataFacts, Factory, param_grid, to_spark
+from tabwise.operators.ml.zoo import DataFacts, Factory, distinct_settings, param_grid, to_spark
 
 
 @dataclass
@@ -29,6 +30,8 @@ class TuneResult:
     tuning_time: float
     n_iterations: int
     trials: list[tuple[dict, float]]
+    ignored: list[str] = field(default_factory=list)     # parameters without a Spark counterpart
+    error: str | None = None
 
 
 def sample_grid(grid: Sequence[dict], n_iter: int, seed: int = 42) -> list[dict]:
@@ -50,7 +53,9 @@ def _cv_score(name: str, make: Factory, data: DataFrame, task: str, k: int, para
 def tune_model(name: str, make: Factory, data: DataFrame, task: str, method: str = "random", n_iter: int = 20,
                grid: Sequence[dict] | None = None, k: int = 5, parallelism: int = 5, seed: int = 42) -> TuneResult:
     """Best parameters by mean CV score; an empty grid scores the
-    default model; a failing search returns an empty result with score 0."""
+    default model; a failing search returns an empty result with score 0 and
+    its error.  Combinations that come to the same Spark settings are fitted
+    once."""
     facts = T.data_facts(data, task)
     if grid is None:
         grid = param_grid(name, small=(method == "grid"), task=task)
@@ -59,16 +64,18 @@ def tune_model(name: str, make: Factory, data: DataFrame, task: str, method: str
         if not grid:
             s = _cv_score(name, make, data, task, k, parallelism, facts)
             return TuneResult(name, {}, s, 0.0, 1, [({}, s)])
-        cands = list(grid) if method == "grid" else sample_grid(grid, n_iter, seed)
+        distinct, ignored = distinct_settings(make(facts), list(grid), facts)
+        cands = distinct if method == "grid" else sample_grid(distinct, n_iter, seed)
         trials = []
         for params in cands:
             def factory(f: DataFacts, p=params):
                 return to_spark(make(f), p, f)
             trials.append((params, _cv_score(name, factory, data, task, k, parallelism, facts)))
         best = max(trials, key=lambda t: (t[1] if t[1] == t[1] else float("-inf")))
-        return TuneResult(name, best[0], best[1], time.time() - t0, len(trials), trials)
-    except Exception:  # noqa: BLE001 - the reference reports a failed search as score 0
-        return TuneResult(name, {}, 0.0, time.time() - t0, 0, [])
+        return TuneResult(name, best[0], best[1], time.time() - t0, len(trials), trials, ignored)
+    except Exception as e:  # noqa: BLE001 - a failed search scores 0 and keeps its error, as a failed model does
+        traceback.print_exc()
+        return TuneResult(name, {}, 0.0, time.time() - t0, 0, [], error=f"{type(e).__name__}: {e}")
 
 
 def tune_many(models: Mapping[str, Factory], data: DataFrame, task: str, method: str = "random", n_iter: int = 20,

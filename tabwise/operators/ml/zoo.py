@@ -17,6 +17,7 @@ penalty by the label's standard deviation), Lasso / ElasticNet: :func:`elastic_n
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 
 from pyspark.ml import Estimator
@@ -189,52 +190,80 @@ def param_grid(model_name: str, small: bool = False, task: str = "classification
 def to_spark(est: Estimator, params: dict, facts: DataFacts) -> Estimator:
     """Map sklearn-style parameters onto a Spark estimator (``OneVsRest``
     forwards to its inner classifier)."""
-    inner = est.getClassifier() if isinstance(est, OneVsRest) else est
-    inner = inner.copy()
+    inner = (est.getClassifier() if isinstance(est, OneVsRest) else est).copy()
+    inner._set(**spark_params(inner, params, facts))
+    if isinstance(est, OneVsRest):
+        return est.copy().setClassifier(inner)
+    return inner
+
+
+def spark_params(inner: Estimator, params: dict, facts: DataFacts) -> dict:
+    """The Spark settings that the parameters come to; names without a Spark
+    counterpart (solver, kernel, gamma, n_neighbors, weights, metric,
+    var_smoothing, or a setting the estimator lacks) give none."""
+    out: dict = {}
+
+    def put(name: str, value) -> bool:
+        if inner.hasParam(name):
+            out[name] = value
+            return True
+        return False
+
     for k, v in params.items():
         if k == "n_estimators":
-            _set(inner, "numTrees", v) or _set(inner, "maxIter", v)
+            put("numTrees", v) or put("maxIter", v)
         elif k == "max_depth":
-            _set(inner, "maxDepth", 30 if v is None else (10 if v == -1 else int(v)))
+            put("maxDepth", 30 if v is None else (10 if v == -1 else int(v)))
         elif k in ("min_samples_leaf", "min_child_weight", "min_child_samples"):
-            _set(inner, "minInstancesPerNode", int(v))
+            put("minInstancesPerNode", int(v))
         elif k == "min_samples_split":
-            _set(inner, "minInstancesPerNode", max(1, (int(v) + 1) // 2))
+            put("minInstancesPerNode", max(1, (int(v) + 1) // 2))
         elif k == "max_features":
-            _set(inner, "featureSubsetStrategy", {"sqrt": "sqrt", "log2": "log2", None: "all"}.get(v, str(v)))
+            put("featureSubsetStrategy", {"sqrt": "sqrt", "log2": "log2", None: "all"}.get(v, str(v)))
         elif k == "learning_rate":
-            _set(inner, "stepSize", float(v))
+            put("stepSize", float(v))
         elif k == "subsample":
-            _set(inner, "subsamplingRate", float(v))
+            put("subsamplingRate", float(v))
         elif k == "colsample_bytree":
-            _set(inner, "featureSubsetStrategy", str(float(v)) if float(v) < 1 else "all")
+            put("featureSubsetStrategy", str(float(v)) if float(v) < 1 else "all")
         elif k == "num_leaves":
-            import math
-            _set(inner, "maxDepth", max(1, math.ceil(math.log2(int(v)))))
+            put("maxDepth", max(1, math.ceil(math.log2(int(v)))))
         elif k == "criterion":
-            _set(inner, "impurity", {"squared_error": "variance", "friedman_mse": "variance"}.get(v, v))
+            put("impurity", {"squared_error": "variance", "friedman_mse": "variance"}.get(v, v))
         elif k == "C":
-            _set(inner, "regParam", 1.0 / (float(v) * max(facts.n, 1)))
+            put("regParam", 1.0 / (float(v) * max(facts.n, 1)))
         elif k == "penalty":
-            _set(inner, "elasticNetParam", 1.0 if v == "l1" else 0.0)
+            put("elasticNetParam", 1.0 if v == "l1" else 0.0)
         elif k == "max_iter":
-            _set(inner, "maxIter", int(v))
-        elif k in ("alpha", "l1_ratio") and isinstance(inner, LinearRegression):
-            pass  # together, below
-        # solver, kernel (linear only), gamma, n_neighbors, weights, metric and
-        # var_smoothing have no Spark counterpart and are ignored
+            put("maxIter", int(v))
     if isinstance(inner, LinearRegression) and ("alpha" in params or "l1_ratio" in params):
         mix = inner.getElasticNetParam()
         alpha = float(params.get("alpha", 1.0))
         if mix == 0.0 and "l1_ratio" not in params:
-            _set(inner, "regParam", alpha * facts.label_std / max(facts.n, 1))
+            put("regParam", alpha * facts.label_std / max(facts.n, 1))
         else:
-            l1 = float(params.get("l1_ratio", 1.0 if mix == 1.0 else 0.5))
-            reg, mix = elastic_net(alpha, l1, facts.label_std)
-            inner._set(regParam=reg, elasticNetParam=mix)
-    if isinstance(est, OneVsRest):
-        return est.copy().setClassifier(inner)
-    return inner
+            reg, mix = elastic_net(alpha, float(params.get("l1_ratio", 1.0 if mix == 1.0 else 0.5)), facts.label_std)
+            put("regParam", reg)
+            put("elasticNetParam", mix)
+    return out
+
+
+def distinct_settings(est: Estimator, grid: list[dict], facts: DataFacts) -> tuple[list[dict], list[str]]:
+    """The grid without combinations that come to the same Spark settings (the
+    first of each stays), and the parameter names that change nothing."""
+    inner = est.getClassifier() if isinstance(est, OneVsRest) else est
+    keys = [tuple(sorted(spark_params(inner, p, facts).items())) for p in grid]
+    first: dict = {}
+    for p, key in zip(grid, keys):
+        first.setdefault(key, p)
+    ignored = []
+    for name in grid[0] if grid else []:
+        by_rest: dict = {}
+        for p, key in zip(grid, keys):
+            by_rest.setdefault(tuple((k, v) for k, v in p.items() if k != name), set()).add(key)
+        if all(len(v) == 1 for v in by_rest.values()):
+            ignored.append(name)
+    return list(first.values()), ignored
 
 
 def elastic_net(alpha: float, l1_ratio: float, label_std: float) -> tuple[float, float]:
@@ -252,10 +281,3 @@ def _elastic(l1_ratio: float) -> Factory:
         reg, mix = elastic_net(1.0, l1_ratio, f.label_std)
         return LinearRegression(regParam=reg, elasticNetParam=mix, standardization=False)
     return make
-
-
-def _set(est: Estimator, name: str, value) -> bool:
-    if est.hasParam(name):
-        est._set(**{name: value})
-        return True
-    return False

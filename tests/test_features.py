@@ -139,3 +139,17 @@ def test_labels_are_spark_text(spark):
         m = LabelMap("y", "i").fit(d)
         out = m.decode(m.transform(d), "i", "back").collect()
         assert all(r["i"] == sorted(values).index(r["y"]) and r["back"] == r["y"] for r in out)
+
+
+def test_large_vocabularies_are_tables(spark):
+    from tabwise.operators.features.encode import CategoricalEncoder
+    n = 120_000
+    d = spark.range(n).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("s"),
+                              (F.col("id") % 3).cast("string").alias("small"))
+    m = CategoricalEncoder(categorical=["s", "small"]).fit(d)
+    assert m.encoded_columns["label"] == ["s"] and list(m.st["tables"]) == ["s"]
+    want = sorted(f"v{i}" for i in range(n))
+    got = {r["id"]: r["s"] for r in m.transform(d).filter("id % 1000 = 0").collect()}
+    assert all(want[code] == f"v{i}" for i, code in got.items()) and len(got) == 120
+    unseen = m.transform(d.limit(2).withColumn("s", F.when(F.col("id") == 0, "new")))
+    assert {r["s"] for r in unseen.collect()} == {-1}

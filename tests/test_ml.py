@@ -168,3 +168,20 @@ def test_lasso_minimises_the_mean_objective(spark):
     est = zoo.to_spark(zoo.all_models("regression")["Lasso Regression"](facts), {"alpha": 5.0}, facts)
     m = est.setMaxIter(500).setTol(1e-12).fit(d)
     assert math.isclose(m.coefficients[0], (s["c"] - 5.0) / s["v"], rel_tol=1e-4)
+
+
+def test_grids_are_fitted_once_per_setting():
+    facts = zoo.DataFacts(n=1000, classes=2)
+    for name, total, distinct, ignored in (("Logistic Regression", 96, 48, ["solver"]),
+                                           ("Naive Bayes", 5, 1, ["var_smoothing"])):
+        grid = zoo.param_grid(name)
+        assert len(grid) == total
+        kept, names = zoo.distinct_settings(zoo.all_models("classification")[name](facts), grid, facts)
+        assert (len(kept), names) == (distinct, ignored)
+
+
+def test_failed_search_keeps_its_error(spark):
+    from tabwise.operators.ml.tune import tune_model
+    d = spark.createDataFrame([("a", 1.0, 0)], "features string, label double, fold int")
+    r = tune_model("Naive Bayes", FAST["Naive Bayes"], d, "classification", "grid")
+    assert r.best_score == 0.0 and r.error
