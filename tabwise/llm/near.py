@@ -13,13 +13,14 @@ other. Classes are the connected components; a class's id is its smallest
 document id.
 
 No bucket is expanded into pairs. A bucket's leader is compared with its
-members; those that are linked leave, the others choose a new leader, until
-none is left. For that, shingles that no other document of any bucket has are
-counted: with s shared and u own shingles, two texts are at most
-min(s) / (max(s) + u + u') alike, so the leader is the member with the fewest
-own shingles, and whoever is too far from it by that bound is too far from
-everyone and leaves too. Families of copies of one text end after a round or
-two, however large they are.
+members; members that are linked to it are settled. For that, shingles that no
+other document of any bucket has are counted: with s shared and u own
+shingles, two texts are at most min(s) / (max(s) + u + u') alike, so the leader
+is the member with the fewest own shingles, and whoever is too far from it by
+that bound is too far from everyone and leaves. Members that may be linked to
+someone but not to the leader are looked at in blocks of 256 against blocks of
+all members, by one matrix product a pair of blocks that emits only links
+between different classes; so no link inside a bucket is lost.
 
 Exact copies are found by digest first; only one of them is sketched. Rows of
 one id are one document. A row without an id gets one from its text's hash
@@ -40,6 +41,7 @@ from tabwise.llm.common import hinted, written
 from tabwise.llm.wordhash import batches, mix, rolling, whole_windows, word_hashes
 
 K, FUNCTIONS, BAND = 5, 32, 2
+BLOCK = 256
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**64, FUNCTIONS, dtype=np.uint64)
 _ODD = _rng.integers(0, 2**64, FUNCTIONS, dtype=np.uint64) | np.uint64(1)
@@ -147,14 +149,14 @@ def _word_table(rows: DataFrame) -> DataFrame:
     return rows.select("node", "text").mapInPandas(run, "node bigint, words binary, shingles array<bigint>")
 
 
+def _shingles(w: np.ndarray) -> np.ndarray:
+    """The set of five-word shingles of a word array."""
+    return np.unique(rolling(w.astype(np.uint64), min(K, len(w)), 6))
+
+
 def shingle_similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of the five-word shingles of two word arrays."""
-    def of(w: np.ndarray) -> np.ndarray:
-        if len(w) <= K:
-            return np.array([hash(w.tobytes())])
-        return np.unique(rolling(w.astype(np.uint64), K, 6))
-
-    x, y = of(a), of(b)
+    x, y = _shingles(a), _shingles(b)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both)
 
@@ -210,18 +212,23 @@ def linked(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return within_edits(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9))
 
 
-def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """The (leader, node) pairs that are linked."""
+def _verified(pairs: DataFrame, words: DataFrame, similarity: float, max_nodes: int) -> DataFrame:
+    """The (leader, node) pairs that are linked. Few pairs are broadcast, so
+    that only the words they need are shuffled."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             ok = [linked(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), similarity)
                   for a, b in zip(frame["leader_words"], frame["words"], strict=True)]
             yield frame.loc[ok, ["leader", "node"]]
 
-    texts = words.select("node", "words")
+    pairs = written(pairs.select("leader", "node").distinct())
+    small = pairs.count() <= max_nodes
+    texts = words.select("node", "words").join(F.broadcast(pairs) if small else pairs, "node")
     leaders = words.select(F.col("node").alias("leader"), F.col("words").alias("leader_words"))
-    return pairs.join(texts, "node").join(leaders, "leader").select(
-        "leader", "node", "leader_words", "words").mapInPandas(run, "leader bigint, node bigint").distinct()
+    if small:
+        leaders = leaders.join(F.broadcast(pairs.select("leader").distinct()), "leader", "left_semi")
+    return written(texts.join(leaders, "leader").select("leader", "node", "leader_words", "words").mapInPandas(
+        run, "leader bigint, node bigint").distinct())
 
 
 def _own_shingles(words: DataFrame) -> DataFrame:
@@ -244,28 +251,100 @@ def _can_link(similarity: float) -> tuple[Column, Column]:
     return pair, anyone
 
 
+def _led(left: DataFrame, words: DataFrame, similarity: float, max_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """Every bucket's leader against its members (key, node, s, u): the links,
+    and the members (key, node) that are not linked to their leader but may be
+    to another one."""
+    pair, anyone = _can_link(similarity)
+    leader = left.groupBy("key").agg(F.min(F.struct("u", "node", "s")).alias("l"))
+    leader = leader.select("key", F.col("l.node").alias("leader"), F.col("l.u").alias("lu"), F.col("l.s").alias("ls"))
+    members = written(left.join(leader, "key").filter(F.col("node") != F.col("leader")).filter(anyone)
+                      .withColumn("try", pair))
+    new = _verified(members.filter("try"), words, similarity, max_nodes)
+    return new, written(members.join(hinted(new, max_nodes), ["leader", "node"], "left_anti").select("key", "node"))
+
+
+def _unsettled(rest: DataFrame, buckets: DataFrame, words: DataFrame, label: DataFrame, similarity: float,
+               max_nodes: int) -> DataFrame:
+    """Links of the members left over with all members of their buckets. Both
+    sides of a bucket are dealt into blocks of about ``BLOCK`` and each pair of
+    blocks is one group, so no group grows with the data; inside, one matrix
+    product gives all shingle similarities, and of those that reach the bound
+    only pairs of different classes are aligned."""
+    sides = rest.groupBy("key").agg(F.count(F.lit(1)).alias("f")).join(
+        buckets.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "key").select(
+        "key", F.ceil(F.col("f") / BLOCK).cast("int").alias("fs"), F.ceil(F.col("k") / BLOCK).cast("int").alias("ks"))
+    sides = hinted(written(sides), max_nodes)
+    hashed = F.xxhash64("node", "key")
+    mine = rest.join(sides, "key").select(
+        "key", "node", F.lit(True).alias("open"), F.pmod(hashed, F.col("fs")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("ks") - 1)).alias("j"))
+    mates = buckets.join(sides, "key").select(
+        "key", "node", F.lit(False).alias("open"), F.explode(F.sequence(F.lit(0), F.col("fs") - 1)).alias("i"),
+        F.pmod(hashed, F.col("ks")).cast("int").alias("j"))
+    rows = written(mine.unionByName(mates).join(hinted(label, max_nodes), "node", "left").select(
+        "key", "i", "j", "node", "open", F.coalesce("class", "node").alias("class")))
+    few = words.join(hinted(written(rows.select("node").distinct()), max_nodes), "node", "left_semi")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        found = _block_links(frame, similarity)
+        return pd.DataFrame(found, columns=["leader", "node"]).astype("int64")
+
+    return written(rows.join(few.select("node", "words"), "node").groupBy("key", "i", "j").applyInPandas(
+        run, "leader bigint, node bigint").distinct())
+
+
+def _block_links(frame: pd.DataFrame, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect classes, between the open rows and the others."""
+    a, b = (x.drop_duplicates("node") for x in (frame[frame["open"]], frame[~frame["open"]]))
+    texts = [np.frombuffer(w, "<u4") for w in [*a["words"], *b["words"]]]
+    sets = [_shingles(w) for w in texts]
+    sizes = np.array([len(x) for x in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.empty(0, int)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(ids, kind="stable")
+    ids, row = ids[order], row[order]
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for start in range(0, int(ids[-1]) + 1 if len(ids) else 0, 4096):  # a slice of the shingles at a time
+        lo, hi = np.searchsorted(ids, [start, start + 4096])
+        one = np.zeros((len(sets), 4096), np.float32)
+        one[row[lo:hi], ids[lo:hi] - start] = 1
+        shared += one[:len(a)] @ one[len(a):].T
+    total = sizes[:len(a), None] + sizes[None, len(a):] - shared
+    i, j = np.nonzero(shared >= similarity * total - 1e-6)
+    nodes = np.concatenate([a["node"].to_numpy(), b["node"].to_numpy()])
+    parent = {int(c): int(c) for c in frame["class"]}
+    label = [int(c) for c in [*a["class"], *b["class"]]]
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for k in np.argsort(-(shared[i, j] / total[i, j]), kind="stable"):
+        x, y = int(i[k]), len(a) + int(j[k])
+        if nodes[x] == nodes[y] or root(label[x]) == root(label[y]):
+            continue
+        if linked(texts[x], texts[y], similarity):
+            parent[root(label[x])] = root(label[y])
+            out.append((min(int(nodes[x]), int(nodes[y])), max(int(nodes[x]), int(nodes[y]))))
+    return out
+
+
 def links(rows: DataFrame, similarity: float = 0.8, max_nodes: int = 1_000_000) -> DataFrame:
-    """(leader, node) of linked documents of ``rows`` (node, text), enough of
-    them to connect what a bucket connects."""
+    """(leader, node) of linked documents of ``rows`` (node, text): enough of
+    them to connect all that are linked and share a bucket."""
     keyed = written(_bands(rows)).select("node", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     buckets = written(keyed.join(shared, "key"))
     nodes = written(buckets.select("node").distinct())
     words = written(_word_table(rows.join(hinted(nodes, max_nodes), "node", "left_semi")))
-    left = written(buckets.join(_own_shingles(words), "node"))
-    pair, anyone = _can_link(similarity)
-    found = None
-    while True:
-        leader = left.groupBy("key").agg(F.min(F.struct("u", "node", "s")).alias("l"), F.count(F.lit(1)).alias("n"))
-        leader = leader.filter("n > 1").select(
-            "key", F.col("l.node").alias("leader"), F.col("l.u").alias("lu"), F.col("l.s").alias("ls"))
-        members = written(left.join(leader, "key").filter(F.col("node") != F.col("leader")).filter(anyone)
-                          .withColumn("try", pair))
-        if members.isEmpty():
-            return found if found is not None else members.select("leader", "node")
-        new = written(_verified(members.filter("try").select("leader", "node").distinct(), words, similarity))
-        found = new if found is None else found.unionByName(new)
-        left = members.join(new, ["leader", "node"], "left_anti").select("key", "node", "s", "u")
+    found, rest = _led(written(buckets.join(_own_shingles(words), "node")), words, similarity, max_nodes)
+    if rest.isEmpty():
+        return found
+    return found.unionByName(_unsettled(rest, buckets, words, components(found), similarity, max_nodes))
 
 
 def components(edges: DataFrame) -> DataFrame:
