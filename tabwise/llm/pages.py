@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import hinted, written
+from tabwise.llm.common import hinted, small_batches, written
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -278,10 +278,16 @@ def align(shape: str, wrapper: str) -> dict[int, int]:
     return out
 
 
-def host(url: str | None) -> str:
-    """Host of a url in lower case; empty if there is none."""
-    m = re.match(r"(?s).*?://([^/?#]*)", url or "")
-    return m[1].lower() if m else ""
+def places(wrapper: str) -> tuple[set[int], set[int]]:
+    """Nodes inside an article or main element, and headings."""
+    labels, children = tree(wrapper)
+    inside, todo = set(), [i for i, x in enumerate(labels) if x.split(".")[0] in ("article", "main")]
+    while todo:
+        node = todo.pop()
+        if node not in inside:
+            inside.add(node)
+            todo += children[node]
+    return inside, {i for i, x in enumerate(labels) if re.match(r"h[1-6](\.|$)", x)}
 
 
 def _hash(text: str) -> int:
@@ -292,7 +298,9 @@ def wrappers(pages: DataFrame, min_pages: int = 5, variety: float = 0.3, max_hos
     """(host, wrapper, template): the commonest tree of every host and the
     nodes of it that are template: found with ``min_pages`` different main
     texts or more, with at most ``variety`` different texts for each of them.
-    ``pages``: host, html."""
+    Inside an article it takes twice the pages and next to no variety, and
+    headings are never template, so that pages whose articles have much in
+    common keep them. ``pages``: host, html."""
     def shapes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = Counter(zip(frame["host"], (Page(h).shape() for h in frame["html"]), strict=True))
@@ -305,6 +313,7 @@ def wrappers(pages: DataFrame, min_pages: int = 5, variety: float = 0.3, max_hos
 
     def slots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple[str, str], dict[int, int]] = {}
+        kinds: dict[str, tuple[set[int], set[int]]] = {}
         for frame in frames:
             rows = set()
             for name, source, wrapper in zip(frame["host"], frame["html"], frame["wrapper"], strict=True):
@@ -315,15 +324,26 @@ def wrappers(pages: DataFrame, min_pages: int = 5, variety: float = 0.3, max_hos
                         known.clear()
                     known[shape, wrapper] = align(shape, wrapper)
                 to, body = known[shape, wrapper], _hash(page.main_text())
-                rows.update((name, to[n], _hash(t), body) for n, t in page.texts().items() if n in to)
-            yield pd.DataFrame(sorted(rows), columns=["host", "node", "text", "body"])
+                if wrapper not in kinds:
+                    if len(kinds) > 10_000:
+                        kinds.clear()
+                    kinds[wrapper] = places(wrapper)
+                inside, headings = kinds[wrapper]
+                rows.update((name, to[n], to[n] in inside, _hash(t), body) for n, t in page.texts().items()
+                            if n in to and to[n] not in headings)
+            if rows:
+                yield pd.DataFrame(sorted(rows), columns=["host", "node", "inside", "text", "body"])
 
     found = pages.join(hinted(common, max_hosts), "host").select("host", "html", "wrapper").mapInPandas(
-        slots, "host string, node int, text bigint, body bigint")
-    once = found.groupBy("host", "node", "text", "body").agg(F.count(F.lit(1)).alias("c"))
-    by_text = once.groupBy("host", "node", "text").agg(F.count(F.lit(1)).alias("bodies"))
-    by_node = by_text.groupBy("host", "node").agg(F.sum("bodies").alias("bodies"), F.count(F.lit(1)).alias("texts"))
-    template = by_node.filter((F.col("bodies") >= min_pages) & (F.col("texts") <= variety * F.col("bodies"))).groupBy(
+        slots, "host string, node int, inside boolean, text bigint, body bigint")
+    once = found.groupBy("host", "node", "inside", "text", "body").agg(F.count(F.lit(1)).alias("c"))
+    by_text = once.groupBy("host", "node", "inside", "text").agg(F.count(F.lit(1)).alias("bodies"))
+    by_node = by_text.groupBy("host", "node", "inside").agg(
+        F.sum("bodies").alias("bodies"), F.count(F.lit(1)).alias("texts"))
+    recurs = F.when(F.col("inside"), (F.col("bodies") >= 2 * min_pages) & (
+        F.col("texts") <= F.greatest(F.lit(1.0), F.lit(variety / 15) * F.col("bodies")))).otherwise(
+        (F.col("bodies") >= min_pages) & (F.col("texts") <= variety * F.col("bodies")))
+    template = by_node.filter(recurs).groupBy(
         "host").agg(F.array_sort(F.collect_list("node")).alias("template"))
     return written(common.join(template, "host", "left").select(
         "host", "wrapper", F.coalesce("template", F.array().cast("array<int>")).alias("template")))
@@ -336,6 +356,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     name = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"(?s)\A.*?://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col), F.col(url_col), name.alias("host"),
                         F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    small_batches(pages.sparkSession)
     found = wrappers(rows, max_hosts=max_hosts)
     kind = pages.schema[id_col].dataType.simpleString()
 

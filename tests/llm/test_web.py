@@ -57,6 +57,17 @@ def test_copies_do_not_make_a_template(spark):
     assert {r["text"] for r in pages.extract(page_table(spark, rows)).collect()} == {prose(1, 30)}
 
 
+def test_articles_keep_what_they_share(spark):
+    rows, want = [], {}
+    for i in range(12):
+        first, rest = prose(77, 20), prose(i, 20)
+        rows.append((i, "http://h.example.com/", f"<article><h1>Same title</h1><p>{first if i % 2 else rest}</p><ul><li>{rest}</li>"
+                     f"</ul><div class=x>Print this page</div></article>"))
+        want[i] = f"Same title\n\n{first if i % 2 else rest}\n\n{rest}"
+    got = {r["page_id"]: r["text"] for r in pages.extract(page_table(spark, rows)).collect()}
+    assert got == want
+
+
 def test_page_edges(spark):
     rows = [(1, None, None), (None, "no scheme", "<p>a"), (2, "http://h/", ""), (3, "http://h/", "<p>" + "long " * 200000),
             (4, "", "<p>b"), (4, "", "<p>b")]
