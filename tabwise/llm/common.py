@@ -43,6 +43,15 @@ def share_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows for Python stages over whole
+    texts (the default of 10,000 documents a batch is kept several times over
+    by an executor and its workers). A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows written as a table in the shared checkpoint folder and read
     back: later plans start from the files, a lost executor costs a re-read and
