@@ -113,9 +113,16 @@ def q_perf_text(spark, sf):
 
 
 # K14 -------------------------------------------------------------------------
-_ROUTE_SQL = "select conv_id, turn, case " + " ".join(
-    f"when regexp_matches(lower(trim(text)), '{rx}') then '{name}'" for name, rx in TX.ROUTES) + \
-    " else 'default' end as route from conversations where role = 'user'"
+# the routes as literal text, not from the operator's own table
+_ROUTE_CASE = r"""case when regexp_matches(q, '\blime\b|\balternative\b|\banother (way|explanation)\b') then 'lime'
+  when regexp_matches(q, '\bwhy\b|\bpredict|prediction|result\b|\bexplain\b|\bhow (did|does)\b') then 'local'
+  when regexp_matches(q, '\b(feature|important|matter|drive|influence|top|driver|overall)\b') then 'global'
+  when regexp_matches(q, '\b(impact|contribution|contributions|shap|value|weight)\b') then 'impact'
+  when regexp_matches(q, '\b(performance|accuracy|precision|recall|how good|metric)\b') then 'performance'
+  when regexp_matches(q, '\b(limit|limitation|limitations|trust|caveat|caveats|rely|reliable|generaliz|generalize|error)\b')
+    then 'limitations' else 'default' end"""
+_ROUTE_SQL = (f"with c as (select *, lower(trim(text)) as q from conversations where role = 'user') "
+              f"select conv_id, turn, {_ROUTE_CASE} as route from c")
 
 
 @register("route_question", _ROUTE_SQL)
@@ -124,6 +131,48 @@ def q_route(spark, sf):
     return c.select("conv_id", "turn", TX.route(F.col("text")).alias("route"))
 
 
+# K14 answers: a question by rule before each user turn (the turns themselves ask nothing), a context from the row
+_QUESTIONS = ["Why did the model predict this?", "What features matter?", "SHAP values?", "How good is the accuracy?",
+              "Can I trust this model?", "Explain with LIME", "Hello", "Another way?"]
+_ANSWER_SQL = r"""with c as (select conv_id, turn, lower(trim((['Why did the model predict this?', 'What features matter?',
+    'SHAP values?', 'How good is the accuracy?', 'Can I trust this model?', 'Explain with LIME', 'Hello',
+    'Another way?'])[cast((conv_id + turn) % 8 as int) + 1] || ' ' || text)) as q,
+  'Turn ' || turn || '.' as l, 'Conversation ' || conv_id || '.' as g, 'Length ' || length(text) || '.' as p,
+  'One turn.' as x, case when turn % 4 = 0 then '' else 'LIME ' || repeat('x', cast(turn * 60 as int)) end as lime,
+  'turn (' || printf('%+.3f', turn * 0.5) || '); conv (' || printf('%+.3f', -0.25 * (conv_id % 4 + 1)) || ')' as fi
+  from conversations where role = 'user'),
+r as (select *, @@ as route from c)
+select conv_id, turn, case when conv_id % 11 = 0 then 'No explanation context is available. Run the explainability API first (e.g. get_explanation_context or explain_prediction) with your trained model and data, then ask again. The chatbot answers from that SHAP/LIME context.'
+  when route = 'lime' then case when lime <> '' then lime else 'LIME explanation was not computed for this context. Use explainability_api with LIME enabled.' end
+  when route = 'local' then l || chr(10) || chr(10) || '(Feature impact: ' || fi || ')'
+  when route = 'global' then g
+  when route = 'impact' then 'For this prediction, feature contributions (SHAP): ' || fi || '.'
+  when route = 'performance' then p when route = 'limitations' then x
+  else 'Here’s what we have from SHAP for this model:' || chr(10) || '- For this prediction: ' || l || chr(10)
+    || '- Overall important features: ' || g || chr(10) || '- Model performance: ' || p || chr(10) || '- Limitations: ' || x
+    || chr(10) || case when lime <> '' then '- LIME (alternative): ' || case when length(lime) > 200 then lime[1:200] || '...' else lime end
+       || chr(10) else '' end
+    || chr(10) || 'Ask: “Why did the model predict this?”, “What features matter?”, “How good is the model?”, “Limitations?”, or “Explain with LIME”.'
+  end as answer from r""".replace("@@", _ROUTE_CASE)
+
+
+@register("answer_question", _ANSWER_SQL)
+def q_answer(spark, sf):
+    c = table(spark, sf, "conversations").filter(F.col("role") == "user")
+    ask = F.get(F.array(*[F.lit(x) for x in _QUESTIONS]), ((F.col("conv_id") + F.col("turn")) % 8).cast("int"))
+    text = {"local_explanation": F.concat(F.lit("Turn "), F.col("turn").cast("string"), F.lit(".")),
+            "global_explanation": F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"), F.lit(".")),
+            "model_performance": F.concat(F.lit("Length "), F.length("text").cast("string"), F.lit(".")),
+            "limitations": F.lit("One turn."),
+            "lime_explanation": F.when(F.col("turn") % 4 == 0, "").otherwise(
+                F.concat(F.lit("LIME "), F.repeat(F.lit("x"), (F.col("turn") * 60).cast("int"))))}
+    impact = F.array(F.struct(F.lit("turn").alias("name"), (F.col("turn") * 0.5).alias("weight")),
+                     F.struct(F.lit("conv").alias("name"), (-0.25 * (F.col("conv_id") % 4 + 1)).alias("weight")))
+    ctx = F.struct(*[v.alias(k) for k, v in text.items()], impact.alias("feature_impact"))
+    rows = c.withColumn("ctx", F.when(F.col("conv_id") % 11 != 0, ctx))
+    return rows.select("conv_id", "turn", TX.answer(F.concat(ask, F.lit(" "), F.col("text")), F.col("ctx")).alias("answer"))
+
+
 # K8 / K13 (model-based, rows-only) -----------------------------------------------
 @register("feature_importance")
 def q_importance(spark, sf):

@@ -17,7 +17,7 @@ from tabwise.operators.features.prepare import FeaturePreparator
 from tabwise.operators.features.target import LabelMap
 from tabwise.operators.ml.zoo import CLASSIFIERS, OPTIONAL_CLASSIFIERS, OPTIONAL_REGRESSORS, REGRESSORS
 from tabwise.operators.split import kfold_stratified, split_stratified
-from tabwise.plans.automl import run_automl, top_class
+from tabwise.plans.automl import Predictor, run_automl, top_class
 from tabwise.plans.catalog.common import rounded
 from tabwise.plans.testviews import LEADERBOARD_SQL, leaderboard
 from tabwise.registry import register
@@ -142,6 +142,32 @@ def q_topclass(spark, sf):
     return t.select("vec_id", F.col("t.label").alias("label"), F.round("t.confidence", 6).alias("confidence"))
 
 
+# J2 / A13 (invariants that SQL can state) ----------------------------------------
+@register("predict_proba_total", """select o_orderkey, 1.0 as total, 0 as outside from orders join customer on o_custkey = c_custkey""")
+def q_proba(spark, sf):
+    """Class probabilities of every row: their sum, and how many lie outside 0 to 1."""
+    scored = _classification_run(spark, sf).predictor("Logistic Regression").predict(order_features(spark, sf))
+    probs = [F.col(f"`{c}`") for c in scored.columns if c.startswith("probability_class_")]
+    return scored.select("o_orderkey", F.round(sum(probs, F.lit(0.0)), 6).alias("total"),
+                         sum(((p < 0) | (p > 1)).cast("int") for p in probs).alias("outside"))
+
+
+@register("saved_predictor", """select o_orderkey, true as same from orders join customer on o_custkey = c_custkey""")
+def q_saved(spark, sf):
+    """Predictions of a saved and reloaded predictor against the fitted one's."""
+    import os
+    import uuid
+
+    from tabwise.session import ensure_checkpoint_dir
+    fitted = _classification_run(spark, sf).predictor("Decision Tree")
+    path = os.path.join(ensure_checkpoint_dir(spark), "tabwise-out", f"predictor-{uuid.uuid4().hex[:12]}")
+    fitted.save(path)
+    rows = order_features(spark, sf)
+    a = fitted.predict(rows).select("o_orderkey", F.col("band_prediction").alias("a"))
+    b = Predictor.load(spark, path).predict(rows).select("o_orderkey", F.col("band_prediction").alias("b"))
+    return a.join(b, "o_orderkey").select("o_orderkey", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
 # G15-G17 ---------------------------------------------------------------------
 @register("tune_grid")
 def q_tune(spark, sf):
