@@ -28,6 +28,20 @@ def test_banded_alignment():
         assert near.within_edits(np.array(a, "<u4"), np.array(b, "<u4"), most) == (distance(a, b) <= most)
 
 
+def test_chains_bound_the_distance():
+    rng = random.Random(2)
+    for _ in range(60):
+        a = [rng.randrange(60) for _ in range(rng.randrange(30, 90))]
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(b))
+            b[i:i + rng.randrange(9)] = [rng.randrange(60) for _ in range(rng.randrange(9))]
+        x, y, d = np.array(a, "<u4"), np.array(b, "<u4"), distance(a, b)
+        assert near._chained(x, y) >= d
+        for most in (d - 1, d, d + 1):
+            assert near.within_edits(x, y, most) == (d <= most) == near._banded(x, y, most)
+
+
 def edited(text, share, seed):
     rng, words = random.Random(seed), text.split()
     for i in rng.sample(range(len(words)), int(share * len(words))):
