@@ -163,23 +163,78 @@ def shingle_similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 def within_edits(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """Whether at most ``most`` words must be inserted, deleted or replaced to
-    turn ``a`` into ``b``: alignment along the diagonals within ``most`` of the
-    main one, by furthest-reaching points."""
+    turn ``a`` into ``b``. Common ends are cut off; a chain of shingles that
+    both have once gives an alignment, which settles most pairs that are
+    alike; the rest is aligned exactly in a band."""
     if abs(len(a) - len(b)) > most:
         return False
-    if len(a) == len(b) and np.count_nonzero(a != b) <= most:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(a[len(a) - n + head:][::-1] != b[len(b) - n + head:][::-1])
+    tail = int(differ[0]) if len(differ) else n - head
+    a, b = a[head:len(a) - tail], b[head:len(b) - tail]
+    if max(len(a), len(b)) <= most or _chained(a, b) <= most:
         return True
-    breaks: dict[int, list[int]] = {}  # diagonal -> positions in a where the words differ, then the end
+    return _banded(a, b, most)
+
+
+def _chained(a: np.ndarray, b: np.ndarray) -> int:
+    """Edits of an alignment along shingles that occur once in both texts, in
+    an order that rises in both: never below the edit distance."""
+    if len(a) < K or len(b) < K:
+        return max(len(a), len(b))
+    once = []
+    for w in (a, b):
+        x, at, n = np.unique(rolling(w.astype(np.uint64), K, 6), return_index=True, return_counts=True)
+        once.append((x[n == 1], at[n == 1]))
+    _, i, j = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    i, j = once[0][1][i], once[1][1][j]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    ends: list[int] = []  # longest rising chain of j: last element, and the one before each
+    last: list[int] = []
+    before = np.full(len(j), -1)
+    for k, y in enumerate(j.tolist()):
+        p = bisect_left(ends, y)
+        before[k] = last[p - 1] if p else -1
+        ends[p:p + 1], last[p:p + 1] = [y], [k]
+    chain = []
+    k = last[-1] if last else -1
+    while k >= 0:
+        chain.append(k)
+        k = int(before[k])
+    edits, x, y = 0, 0, 0  # the next words to align
+    for k in [*chain[::-1], -1]:
+        to_x, to_y = (len(a), len(b)) if k < 0 else (int(i[k]), int(j[k]))
+        if to_x < x or to_y < y:  # the shingle begins inside the one before
+            if to_x - x == to_y - y:
+                x, y = max(x, to_x + K), max(y, to_y + K)
+            continue
+        if to_x - x == to_y - y:
+            edits += int(np.count_nonzero(a[x:to_x] != b[y:to_y]))
+        else:
+            edits += max(to_x - x, to_y - y)
+        if k >= 0:
+            x, y = to_x + K, to_y + K
+    return edits
+
+
+def _banded(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """The same by furthest-reaching points along the diagonals that a path of
+    at most ``most`` edits can touch."""
+    breaks: dict[int, np.ndarray] = {}  # diagonal -> positions in a where the words differ, then the end
+    goal = len(b) - len(a)
 
     def slide(i: int, d: int) -> int:
         """Furthest position in ``a`` from i along diagonal d (b = a + d)."""
         if d not in breaks:
             lo, hi = max(0, -d), min(len(a), len(b) - d)
             differ = np.flatnonzero(a[lo:hi] != b[lo + d:hi + d]) + lo if hi > lo else np.empty(0, np.int64)
-            breaks[d] = [*differ.tolist(), max(hi, lo)]
-        return max(i, breaks[d][min(bisect_left(breaks[d], i), len(breaks[d]) - 1)])
+            breaks[d] = np.append(differ, max(hi, lo)).astype(np.int32)
+        at = breaks[d]
+        return max(i, int(at[min(int(np.searchsorted(at, i)), len(at) - 1)]))
 
-    goal = len(b) - len(a)
     reach = {0: slide(0, 0)}
     for edits in range(most + 1):
         if reach.get(goal, -1) >= len(a):
@@ -187,9 +242,9 @@ def within_edits(a: np.ndarray, b: np.ndarray, most: int) -> bool:
         if edits == most:
             return False
         following = {}
-        for d in range(-min(edits + 1, len(a)), min(edits + 1, len(b)) + 1):
-            if abs(goal - d) > most - edits - 1:  # too far from the end for the edits left
-                continue
+        for d in range(max(-edits - 1, -len(a)), min(edits + 1, len(b)) + 1):
+            if abs(goal - d) > most - edits - 1 or abs(d) + abs(goal - d) > most:
+                continue  # too far from the end, or from the straight way, for the edits there are
             options = []
             if d in reach:
                 options.append(reach[d] + 1)  # replace
@@ -201,6 +256,8 @@ def within_edits(a: np.ndarray, b: np.ndarray, most: int) -> bool:
                 i = min(max(options), len(a), len(b) - d)
                 if i >= max(0, -d):
                     following[d] = slide(i, d)
+        for d in [d for d in breaks if d not in following and abs(d) + abs(goal - d) > most - edits]:
+            del breaks[d]
         reach = following
     return False
 
