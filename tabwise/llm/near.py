@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import hinted, written
+from tabwise.llm.common import hinted, small_batches, written
 from tabwise.llm.wordhash import batches, mix, rolling, whole_windows, word_hashes
 
 K, FUNCTIONS, BAND = 5, 32, 2
@@ -434,6 +434,7 @@ def classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", te
             max_nodes: int = 1_000_000) -> DataFrame:
     """(node, class) of every document whose class has a smaller id than its
     own; all other documents are the first of their class."""
+    small_batches(docs.sparkSession)
     rows = with_node(docs, id_col, text_col).select(
         F.col("__node").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     slim = rows.select("node", F.md5("text").alias("digest")).distinct()

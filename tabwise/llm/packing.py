@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwise.llm.common import small_batches
+
 TOKENIZER = "byte_bpe_50k"
 PIECES = ("doc_id bigint, copy bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 PLACED = PIECES + ", group long, bin long, offset long"
@@ -124,6 +126,7 @@ def pack(docs: DataFrame, capacity: int = 2048, group_rows: int = 65536, id_col:
          text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """``PIECES`` without ``copy``, sequence_id and offset. Null texts are
     empty (one id). An empty table has no pieces."""
+    small_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_rows))
     found = pieces(docs, capacity, id_col, text_col, tokenizer).withColumn(
         "group", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(groups)))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import hinted, written
+from tabwise.llm.common import hinted, small_batches, written
 from tabwise.llm.wordhash import batches, mix, rolling, whole_windows, word_hashes
 
 ROWS, WIDTH_BITS = 2, 40
@@ -194,6 +194,7 @@ def dedup_passages(docs: DataFrame, size: int = 50, gram: int = 25, id_col: str
     kept_text (kept words joined by one space) of every row. A null text has no
     words; a null id counts as smaller than any other; rows that share an id
     take nothing from each other."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select(F.coalesce("id", F.lit(LOWEST)).alias("doc_id"), F.xxhash64("text").alias("h"), "id", "text")
     slim = rows.select("doc_id", "h", F.md5("text").alias("digest"))
