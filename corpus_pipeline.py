@@ -4,7 +4,7 @@ one document of each near-duplicate class stays, the sources are put in the
 order of their mix, and the documents are packed into sequences.
 
 A stage works on all rows of the one before and returns the columns it got (the
-last one: its pieces and their places). Rows with nulls pass every stage by the
+mix adds mix_position; the last one: its pieces and their places). Rows with nulls pass every stage by the
 operators' rules; an empty table gives an empty result.
 """
 
@@ -44,12 +44,14 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def in_mix_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, sorted (over the files in the order of their names) by
-    their place in the mix of the sources."""
-    return mixing.mix(docs).orderBy("mix_position").select(*docs.columns)
+    their place in the mix of the sources, which the packing reads."""
+    columns = [c for c in docs.columns if c != "mix_position"]
+    return mixing.mix(docs).orderBy("mix_position").select(*columns, "mix_position")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens and their places in sequences."""
+    """Pieces of at most 2048 tokens and their places in sequences, which are
+    made of and numbered by consecutive places of the mix."""
     return packing.pack(docs)
 
 

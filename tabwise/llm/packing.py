@@ -2,12 +2,17 @@
 
 Documents are tokenised in Arrow batches on the executors (an id 0 ends each);
 longer ones than a sequence are cut so that only the first piece is shorter.
-Full pieces are sequences by themselves. The other pieces are dealt into groups
-of about ``group_rows`` by a hash of their document; inside a group, by
-size classes from the largest, each goes where the sum over all gaps of (open bins with that gap)**2
+Full pieces are sequences by themselves and never grouped. The other pieces are
+dealt into groups of at most about ``group_rows``: consecutive places of the
+mix where the documents have them (``mix_position``), else by a hash of their
+document. Inside a group, by size classes from the largest (in a class by
+place), each goes where the sum over all gaps of (open bins with that gap)**2
 becomes smallest, a new bin counting as a choice. Of equal choices the
-smallest gap wins. A group is a bounded table of lengths (about 40 bytes a
+smallest gap wins. A group is a bounded table of lengths (about 50 bytes a
 row); the texts are read once and never shuffled.
+
+With places, sequences are numbered by the place of their earliest document
+(and the piece), so their ascending numbers follow the mix.
 """
 
 from __future__ import annotations
@@ -22,11 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwise.llm.common import small_batches
+from tabwise.llm.common import small_batches, written
 
 TOKENIZER = "byte_bpe_50k"
-PIECES = ("doc_id bigint, copy bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
-PLACED = PIECES + ", group long, bin long, offset long"
+PIECES = ("doc_id bigint, copy bigint, piece int, start bigint, length bigint, ids_crc32 bigint, place bigint")
+PLACED = PIECES + ", group long, sequence_id long, offset long"
+LONGEST = 2**31  # bytes of a text, so also the most ids it can have
 
 
 @lru_cache(maxsize=1)
@@ -72,21 +78,24 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text",
-           tokenizer: str = TOKENIZER) -> DataFrame:
+           tokenizer: str = TOKENIZER, place_col: str | None = None) -> DataFrame:
     """One row per piece of every document (``PIECES``). ``copy`` tells rows of
-    one id apart: a hash of the whole row, and alike rows keep their number."""
+    one id apart: a hash of the whole row, and alike rows keep their number.
+    ``place`` is the document's (null without ``place_col``)."""
+    place = F.col(place_col) if place_col else F.lit(None)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.xxhash64(F.col(id_col), F.col(text_col)).alias("copy"), F.col(text_col).alias("text"))
+                       F.xxhash64(F.col(id_col), F.col(text_col)).alias("copy"), F.col(text_col).alias("text"),
+                       place.cast("long").alias("place"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, copy, text in zip(batch["doc_id"], batch["copy"], batch["text"], strict=True):
+            for doc, copy, text, at in zip(batch["doc_id"], batch["copy"], batch["text"], batch["place"], strict=True):
                 ids = token_ids(text, tokenizer)
-                out += [(doc, copy, k, start, length, zlib.crc32(ids[start:start + length].tobytes()))
+                out += [(doc, copy, k, start, length, zlib.crc32(ids[start:start + length].tobytes()), at)
                         for k, (start, length) in enumerate(cut(len(ids), capacity))]
-            frame = pd.DataFrame(out, columns=["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
-            yield frame.astype({"doc_id": "Int64"})
+            frame = pd.DataFrame(out, columns=["doc_id", "copy", "piece", "start", "length", "ids_crc32", "place"])
+            yield frame.astype({"doc_id": "Int64", "place": "Int64"})
 
     return rows.mapInPandas(run, PIECES)
 
@@ -123,23 +132,37 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 
 def pack(docs: DataFrame, capacity: int = 2048, group_rows: int = 65536, id_col: str = "doc_id",
-         text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``PIECES`` without ``copy``, sequence_id and offset. Null texts are
-    empty (one id). An empty table has no pieces."""
+         text_col: str = "text", tokenizer: str = TOKENIZER, place_col: str = "mix_position") -> DataFrame:
+    """``PIECES`` without ``copy`` and ``place``, sequence_id and offset. Null
+    texts are empty (one id). An empty table has no pieces. ``place_col``, where
+    ``docs`` has it, is each document's own place 0, 1, ... in the mix."""
     small_batches(docs.sparkSession)
-    groups = max(1, -(-docs.count() // group_rows))
-    found = pieces(docs, capacity, id_col, text_col, tokenizer).withColumn(
-        "group", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(groups)))
+    ordered = place_col in docs.columns
+    found = written(pieces(docs, capacity, id_col, text_col, tokenizer, place_col if ordered else None))
+    full, rest = found.filter(F.col("length") == capacity), found.filter(F.col("length") < capacity)
+    bits = (LONGEST // capacity).bit_length()
+    n, last = found.filter("piece = 0").agg(F.count(F.lit(1)), F.max("place")).first()
+    groups = max(1, -(-n // group_rows))
+    if ordered:
+        width = -(-((last or 0) + 1) // groups)
+        rest = rest.withColumn("group", F.expr(f"place div {width}L"))
+        alone = F.shiftleft("place", bits) + F.col("piece")
+    else:
+        rest = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(groups)))
+        alone = 2 * F.monotonically_increasing_id() + 1  # odd numbers; shared sequences have even ones
 
     def place(batch: pd.DataFrame) -> pd.DataFrame:
         # size classes of half an octave, largest first; mixed lengths inside a class fill gaps better than sorted ones
         batch = batch.assign(size=-np.floor(2 * np.log2(batch["length"])))
-        batch = batch.sort_values(["size", "ids_crc32", "doc_id", "copy", "piece"]).drop(columns="size")
+        inside = ["place"] if ordered else ["ids_crc32", "doc_id", "copy", "piece"]
+        batch = batch.sort_values(["size", *inside]).drop(columns="size")
         bins, offsets = sum_of_squares(batch["length"].to_numpy(), capacity)
-        return batch.assign(bin=bins, offset=offsets)
+        if ordered:
+            number = batch["place"].groupby(bins).transform("min").to_numpy(dtype=np.int64) << bits
+        else:
+            number = 2 * (bins * groups + batch["group"].to_numpy())
+        return batch.assign(sequence_id=number, offset=offsets)
 
-    placed = found.groupBy("group").applyInPandas(place, PLACED)
-    # ids without gaps would need a count over all groups; any number will do
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("bin") * F.lit(groups) + F.col("group")).alias("sequence_id"), "offset")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    shared = rest.groupBy("group").applyInPandas(place, PLACED).select(*names)
+    return full.withColumns({"sequence_id": alone, "offset": F.lit(0).cast("long")}).select(*names).unionByName(shared)

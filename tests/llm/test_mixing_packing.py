@@ -135,3 +135,26 @@ def test_sum_of_squares_choice(lengths):
         gaps[b] = gaps.get(b, 20) - size
         assert total(gaps) == min(options)
         opened = max(opened, b + 1)
+
+
+def test_pack_follows_the_mix(spark):
+    docs = frame(spark, [(i, prose(i, 20 + i * 7 % 60), "ab"[i % 2]) for i in range(120)] + [(500, prose(500, 400), "a")])
+
+    def sequences(weights):
+        mixed = mixing.mix(docs, weights=weights, block_rows=1)
+        place = {r["doc_id"]: r["mix_position"] for r in mixed.collect()}
+        found = defaultdict(list)
+        for r in packing.pack(mixed, capacity=128, group_rows=20).collect():
+            found[r["sequence_id"]].append((place[r["doc_id"]], r["doc_id"], r["piece"]))
+        return [sorted(found[k]) for k in sorted(found)]
+
+    one, other = sequences({"a": 1, "b": 9}), sequences({"a": 9, "b": 1})
+    assert one != other
+    for got in (one, other):
+        assert [min(s)[0] for s in got] == sorted(min(s)[0] for s in got)
+        assert all(max(s)[0] - min(s)[0] < 20 for s in got)
+
+    def share(got):
+        return sum(d % 2 == 0 for s in got[:10] for _, d, _ in s) / sum(len(s) for s in got[:10])
+
+    assert share(one) < 0.5 < share(other)
