@@ -148,7 +148,10 @@ def pack(docs: DataFrame, capacity: int = 2048, group_rows: int = 65536, id_col:
         rest = rest.withColumn("group", F.expr(f"place div {width}L"))
         alone = F.shiftleft("place", bits) + F.col("piece")
     else:
-        rest = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(groups)))
+        # alike rows are told apart by a number, so that they do not meet in one group
+        rest = rest.groupBy(*rest.columns).agg(F.count(F.lit(1)).alias("n")).withColumn(
+            "nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        rest = rest.withColumn("group", F.pmod(F.xxhash64("doc_id", "copy", "piece", "nth"), F.lit(groups))).drop("n", "nth")
         alone = 2 * F.monotonically_increasing_id() + 1  # odd numbers; shared sequences have even ones
 
     def place(batch: pd.DataFrame) -> pd.DataFrame:

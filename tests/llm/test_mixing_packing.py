@@ -158,3 +158,12 @@ def test_pack_follows_the_mix(spark):
         return sum(d % 2 == 0 for s in got[:10] for _, d, _ in s) / sum(len(s) for s in got[:10])
 
     assert share(one) < 0.5 < share(other)
+
+
+def test_alike_rows_and_full_pieces_are_not_one_group(spark):
+    docs = frame(spark, [(1, "alike", "a")] * 64 + [(2, prose(2, 3000), "a")])
+    rows = packing.pack(docs, capacity=64, group_rows=16).collect()
+    full = [r["sequence_id"] for r in rows if r["length"] == 64]
+    assert len(full) == len(set(full)) > 100 and not set(full) & {r["sequence_id"] for r in rows if r["length"] < 64}
+    groups = -(-65 // 16)
+    assert len({r["sequence_id"] // 2 % groups for r in rows if r["doc_id"] == 1}) > 1
