@@ -9,7 +9,7 @@ The vector has three parts:
 
 * 16 lanes modulo 2**32 from the paragraph's SHA-512 (equality);
 * the number of its word shingles (three words, shorter at its end) mod 2**32;
-* 128 lanes modulo 2**16 that count the one bits of the shingles' hashes.
+* 128 lanes modulo 2**32 that count the one bits of the shingles' hashes.
   With the number of shingles they give sums of +-1 projections, whose
   normalised inner product estimates the cosine of two shingle multisets
   (:func:`likeness`, error about 1/sqrt(128)).
@@ -33,7 +33,7 @@ from tabwise.llm.common import let, words
 EQUALITY, SIGNS = 16, 128
 BUCKET = 512
 LOWEST = -(2**63)
-MOD32, MOD16 = 2**32, 2**16
+MOD32 = 2**32
 
 
 def paragraphs(text: Column) -> Column:
@@ -75,37 +75,28 @@ def _lanes(prefix: str) -> Column:
     return F.array(
         *[F.col(f"{prefix}e{i}") for i in range(EQUALITY)],
         F.pmod(F.col(f"{prefix}n"), F.lit(MOD32)),
-        *[F.pmod(x, F.lit(MOD16)) for x in packed],
-        *[F.pmod(F.shiftrightunsigned(x, 32), F.lit(MOD16)) for x in packed])
+        *[F.pmod(x, F.lit(MOD32)) for x in packed],
+        *[F.shiftrightunsigned(x, 32) for x in packed])
 
 
 def combine(a: Column, b: Column, remove: bool = False) -> Column:
     """Fingerprint lanes of the paragraphs of both (or of ``a`` without those
     of ``b``)."""
-    def one(x: Column, y: Column, mod: int) -> Column:
-        return F.pmod(x - y if remove else x + y, F.lit(mod))
-
-    head = EQUALITY + 1
-    wide = F.zip_with(F.slice(a, 1, head), F.slice(b, 1, head), lambda x, y: one(x, y, MOD32))
-    narrow = F.zip_with(F.slice(a, head + 1, SIGNS), F.slice(b, head + 1, SIGNS), lambda x, y: one(x, y, MOD16))
-    return F.concat(wide, narrow)
+    return F.zip_with(a, b, lambda x, y: F.pmod(x - y if remove else x + y, F.lit(MOD32)))
 
 
 def to_hex(lanes: Column) -> Column:
     """Fixed-width lower-case hex text of the lanes."""
-    head = EQUALITY + 1
-    wide = F.transform(F.slice(lanes, 1, head), lambda x: F.lpad(F.hex(x), 8, "0"))
-    narrow = F.transform(F.slice(lanes, head + 1, SIGNS), lambda x: F.lpad(F.hex(x), 4, "0"))
-    return F.lower(F.concat(F.array_join(wide, ""), F.array_join(narrow, "")))
+    return F.lower(F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
 def _signed(lanes: Column) -> Column:
-    """Sums of +-1 recovered from bit counts: 2 c - n, modulo 2**16, signed."""
+    """Sums of +-1 recovered from bit counts: 2 c - n, modulo 2**32, signed."""
     head = EQUALITY + 1
     n = F.get(lanes, EQUALITY)
     return F.transform(
         F.slice(lanes, head + 1, SIGNS),
-        lambda c: (F.pmod(2 * c - n + F.lit(MOD16 // 2), F.lit(MOD16)) - F.lit(MOD16 // 2)).cast("double"))
+        lambda c: (F.pmod(2 * c - n + F.lit(MOD32 // 2), F.lit(MOD32)) - F.lit(MOD32 // 2)).cast("double"))
 
 
 def _dot(a: Column, b: Column) -> Column:

@@ -57,6 +57,19 @@ def test_fingerprints_combine(spark):
     assert r["near"] > 0.5 > r["far"]
 
 
+def test_likeness_of_many_equal_shingles(spark):
+    docs = frame(spark, [(1, "\n".join(["same"] * 80000), "x"), (2, "another short text", "x"),
+                         (3, "\n".join(["same"] * 140000), "x")])
+    rows = {r["doc_id"]: r for r in fingerprints.compare_with_edits(docs).collect()}
+    assert rows[1]["near_edited"] > 0.99 and rows[3]["near_edited"] > 0.99
+    assert rows[3]["near_next"] > 0.99 and rows[1]["near_next"] < 0.5
+    found = {r["doc_id"]: r["lanes"] for r in fingerprints.fingerprint(docs).collect()}
+    one = spark.createDataFrame([(found[1], found[3])], "a array<long>, c array<long>")
+    r = one.select(fingerprints.combine(F.col("a"), F.col("c")).alias("plus"), fingerprints.likeness(
+        F.col("a"), fingerprints.combine(F.col("c"), F.col("a"), remove=True)).alias("near")).first()
+    assert max(r["plus"]) < 2**32 and r["near"] > 0.99
+
+
 def passages_by_force(rows, size):
     order = in_order(rows)
     first = {}
