@@ -6,10 +6,10 @@ tokens, name a leaf. Tokens with a digit are variable fields and read ``<*>``
 Below the leaf a template is either the whole masked line, or, for lines of
 eight tokens and more, the line with one of its four quarters left open
 (``<*>`` for a longer variable field). A template recurs if it is found in
-``min_docs`` documents or more; every occurrence but the one in the first
-document (smallest id) is dropped, so that no passage vanishes
-from the corpus. Lines of fewer than ``min_tokens`` tokens, blank ones among
-them, stay.
+``min_docs`` documents or more, and a line as it stands if it is in two; every
+occurrence but the one in the first document (smallest id) is dropped, so that
+no passage vanishes from the corpus. Lines of fewer than ``min_tokens`` tokens
+stay; with ``min_tokens`` 1 these are the blank ones only.
 
 The texts are parsed once into a written table of line hashes. Counts are
 combined before each shuffle, so a line that every third document has costs no
@@ -52,10 +52,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def parsed(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
-    """One row per line: document (key, h), pos, leaf, line hashes m1, m2 and
-    the hashes of the four quarters."""
+    """One row per line: document (key, h), pos, leaf, hash e of the line as it
+    stands, hashes m1, m2 of the masked one and of its four quarters."""
     lines = _keyed(docs, id_col, text_col).select("key", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    split = lines.select("key", "h", "pos", tokens(F.col("line")).alias("t"))
+    split = lines.select("key", "h", "pos", F.xxhash64("line").alias("e"), tokens(F.col("line")).alias("t"))
     t, n = F.col("t"), F.size(F.col("t"))
 
     def quarter(q: int) -> Column:
@@ -63,7 +63,7 @@ def parsed(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> Data
         return F.hash(F.slice(t, start + 1, F.expr(f"(size(t) * {q + 1}) div {QUARTERS}") - start))
 
     return split.filter(n >= min_tokens).select(
-        "key", "h", "pos", n.alias("n"),
+        "key", "h", "pos", "e", n.alias("n"),
         F.xxhash64(n, *[F.get(t, i) for i in range(LEADING)]).alias("leaf"),
         F.xxhash64(t).alias("m1"), F.hash(t).alias("m2"),
         *[F.when(n >= OPEN_FROM, quarter(q)).otherwise(F.lit(0)).alias(f"q{q}") for q in range(QUARTERS)])
@@ -78,6 +78,13 @@ def candidates(lines: DataFrame, min_docs: int, max_rows: int) -> DataFrame:
     return lines.join(hinted(written(leaves), max_rows), "leaf", "left_semi")
 
 
+def repeated(lines: DataFrame) -> DataFrame:
+    """(m1, e, first): lines that stand alike in two documents or more, and
+    their first document."""
+    return lines.groupBy("m1", "e").agg(F.min("key").alias("first"), F.max("key").alias("high")).filter(
+        F.col("high") > F.col("first")).drop("high")
+
+
 def recurring(lines: DataFrame, min_docs: int) -> DataFrame:
     """(m1, m2, docs, first): masked lines with a template that recurs, its
     number of documents and its first document."""
@@ -106,9 +113,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, id_col:
     n_dropped (replaced if such columns exist). Null texts stay null and a null
     id counts as the smallest; rows of one id drop nothing from each other.
     Small tables of hashes (at most ``max_rows`` rows) are broadcast."""
-    lines = candidates(written(parsed(docs, id_col, text_col, min_tokens)), min_docs, max_rows)
+    every = written(parsed(docs, id_col, text_col, min_tokens))
+    lines = candidates(every, min_docs, max_rows)
     hits = lines.select("key", "h", "pos", "m1", "m2").join(
         hinted(written(recurring(lines, min_docs)), max_rows), ["m1", "m2"]).filter(F.col("first") < F.col("key"))
+    alike = every.select("key", "h", "pos", "m1", "e").join(
+        hinted(written(repeated(every)), max_rows), ["m1", "e"]).filter(F.col("first") < F.col("key"))
+    hits = hits.select("key", "h", "pos").unionByName(alike.select("key", "h", "pos"))
     drops = written(hits.groupBy("key", "h").agg(F.collect_set("pos").alias("__drops")).select(
         F.col("key").alias("__key"), F.col("h").alias("__h"), "__drops"))
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -5,6 +5,8 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from tabwise.llm import fingerprints, lines, passages, rules
+from tabwise.llm.queries import queries as corpus_queries
+from tests.conftest import SF0001
 from tests.llm.conftest import frame, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -121,6 +123,27 @@ def test_line_templates(spark):
         assert rows[i]["text"] == docs[i][1].split("\n")[0] + "\n\nshort" and rows[i]["n_dropped"] == 2
 
 
+def test_equal_lines_of_two_documents(spark):
+    long, cjk = prose(90, 12), "\u3053\u306e\u30da\u30fc\u30b8\u306e\u5148\u982d\u3078\u623b\u308b" * 4
+    docs = [(i, f"{prose(i, 6)}\n{long}\n{cjk}\n\nTo\nPage {i} of {i + 3} in this one report", "a") for i in range(2)]
+    rows = {r["doc_id"]: r for r in lines.dedup_lines(frame(spark, docs), min_tokens=1).collect()}
+    parts = docs[1][1].split("\n")
+    assert rows[0]["text"] == docs[0][1] and rows[0]["n_dropped"] == 0
+    assert rows[1]["text"] == "\n".join([parts[0], "", parts[-1]]) and rows[1]["n_dropped"] == 3
+    default = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(spark, docs)).collect()}
+    assert long not in default[1] and cjk in default[1]
+
+
+def test_registered_line_dedup_leaves_no_equal_lines(spark):
+    rows = corpus_queries()["op5_line_dedup"](spark, SF0001).collect()
+    found = defaultdict(set)
+    for r in rows:
+        for x in (r["text"] or "").split("\n"):
+            if x.strip():
+                found[x].add(r["doc_id"])
+    assert not [x for x, ids in found.items() if len(ids) > 1]
+
+
 def counts_by_force(text):
     text = text or ""
     w = WORD.findall(text)
