@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwise.llm import fingerprints, lines, mixing, near, packing, pages, passages, rules, toxicity, urls
+from tabwise.llm import fingerprints, lines, mixing, near, packing, pages, passages, pii, rules, toxicity, urls
 from tabwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,10 +70,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, rules.learn(rules.labelled_sample(docs, labels)))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data of every document."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_mix_sources, op2_main_text, op3_fingerprints, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing,
-        op7_url_filter, op8_toxicity, op9_near_duplicates, op10_quality_rules)}
+        op7_url_filter, op8_toxicity, op9_near_duplicates, op10_quality_rules,
+        op11_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
