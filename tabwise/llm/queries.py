@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwise.llm import fingerprints, lines, mixing, near, packing, pages, passages, pii, rules, toxicity, urls
+from tabwise.llm import fingerprints, lines, mixing, near, negatives, packing, pages, passages, pii, rules, toxicity, urls
 from tabwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,11 +75,18 @@ def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; a seventh of the labels is moved on first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_mix_sources, op2_main_text, op3_fingerprints, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing,
         op7_url_filter, op8_toxicity, op9_near_duplicates, op10_quality_rules,
-        op11_personal_data)}
+        op11_personal_data, op12_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
