@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwise.llm import fingerprints, lines, mixing, near, negatives, packing, pages, passages, pii, rules, toxicity, urls
+from tabwise.llm import (
+    fingerprints, lines, mixing, near, negatives, packing, pages, passages, pii, rules, spelling, toxicity, urls)
 from tabwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,11 +83,17 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word of the documents; one run in 31 loses a letter first."""
+    words = spelling.corpus_words(table(spark, sf_dir, "documents"), drop_one_in=31)
+    return spelling.group_spellings(words, ratio=10)
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_mix_sources, op2_main_text, op3_fingerprints, op4_substring_dedup, op5_line_dedup, op6_best_fit_packing,
         op7_url_filter, op8_toxicity, op9_near_duplicates, op10_quality_rules,
-        op11_personal_data, op12_hard_negatives)}
+        op11_personal_data, op12_hard_negatives, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
