@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwise.llm import (
-    fingerprints, lines, mixing, near, negatives, packing, pages, passages, pii, rules, spelling, toxicity, urls)
+    fingerprints, lines, mixing, near, negatives, packing, pages, passages, pii, rules, spelling, toxicity, twins,
+    urls)
 from tabwise.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,4 +98,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others are models, sketches, 64-bit hashes, positions or packing
+    heuristics, which DuckDB has no form for."""
+    return {"op4_substring_dedup": twins.OP4_SUBSTRING_DEDUP, "op12_hard_negatives": twins.OP12_HARD_NEGATIVES,
+            "op13_spelling_variants": twins.OP13_SPELLING_VARIANTS}
