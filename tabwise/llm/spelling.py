@@ -125,7 +125,8 @@ def near_words(numbered: DataFrame) -> DataFrame:
     many, and the smallest number among them."""
     long = numbered.filter(F.char_length("word") >= TEXT_KEY).select("word", "r").mapInArrow(
         _digest_rotations, "key string, r long, kind int")
-    ranges = _text_rotations(numbered).unionByName(long).groupBy("key").agg(
+    # nearly every key is unique, so that combining before the exchange would only cost a sort
+    ranges = _text_rotations(numbered).unionByName(long).repartition("key").groupBy("key").agg(
         F.collect_list(F.struct("r", "kind")).alias("entries")).filter(F.size("entries") > 1)
     scanned = ranges.select("entries", F.explode("entries").alias("e"))
     r, kind = F.col("e.r"), F.col("e.kind")
