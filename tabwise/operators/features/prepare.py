@@ -14,7 +14,7 @@ vector for Spark ML estimators.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -127,6 +127,20 @@ def _apply(df: DataFrame, stages: list, types: dict, keep: Sequence[str]) -> Dat
     return X
 
 
+def with_tables(st: dict, change: Callable[[str], str]) -> dict:
+    """The state with ``change(path)`` for every table that a stage reads
+    (large vocabularies, the fitted rows of k-NN imputation)."""
+    stages = []
+    for name, text in st["stages"]:
+        stage = json.loads(text)
+        if stage.get("tables"):
+            stage["tables"] = {c: change(path) for c, path in stage["tables"].items()}
+        if stage.get("knn"):
+            stage["knn"]["table"] = change(stage["knn"]["table"])
+        stages.append((name, json.dumps(stage)))
+    return {**st, "stages": stages}
+
+
 class FeaturePreparatorModel(StateModel):
     def _transform(self, df: DataFrame) -> DataFrame:
         st, cfg = self.st, self.cfg

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwise.operators.clean import SchemaMismatch
-from tabwise.operators.features.prepare import FeaturePreparator, FeaturePreparatorModel, feature_info
+from tabwise.operators.features.prepare import FeaturePreparator, FeaturePreparatorModel, feature_info, with_tables
 from tabwise.operators.features.target import LabelMap, LabelMapModel, TargetScaler, TargetScalerModel
 from tabwise.operators.ml import train as T
 from tabwise.operators.ml.zoo import Factory, default_models
@@ -77,15 +77,24 @@ class Predictor:
         return scored.select(*out)
 
     def save(self, path: str) -> None:
-        """Fitted preparation, label map / target scaler, model, and a
-        one-row metadata table."""
-        self.preparator.write().overwrite().save(os.path.join(path, "preparator"))
+        """Fitted preparation with the tables that it reads, label map /
+        target scaler, model, and a one-row metadata table. Nothing saved points
+        outside ``path``, which may be moved."""
+        spark = SparkSession.getActiveSession()
+        copies: dict[str, str] = {}
+
+        def copied(table: str) -> str:
+            if table not in copies:
+                copies[table] = f"tables/{len(copies)}"
+                spark.read.parquet(table).write.mode("overwrite").parquet(os.path.join(path, copies[table]))
+            return copies[table]
+        preparator = FeaturePreparatorModel(state=with_tables(self.preparator.st, copied), **self.preparator.cfg)
+        preparator.write().overwrite().save(os.path.join(path, "preparator"))
         self.model.write().overwrite().save(os.path.join(path, "model"))
         if self.label_map is not None:
             self.label_map.write().overwrite().save(os.path.join(path, "label_map"))
         if self.target_scaler is not None:
             self.target_scaler.write().overwrite().save(os.path.join(path, "target_scaler"))
-        spark = SparkSession.getActiveSession()
         meta = {"task": self.task, "target": self.target, "training_columns": self.training_columns,
                 "model_name": self.model_name,
                 "model_class": f"{type(self.model).__module__}.{type(self.model).__name__}",
@@ -101,8 +110,9 @@ class Predictor:
         model = getattr(importlib.import_module(mod), cls).load(os.path.join(path, "model"))
         lm = LabelMapModel.load(os.path.join(path, "label_map")) if meta["task"] == "classification" else None
         ts = TargetScalerModel.load(os.path.join(path, "target_scaler")) if meta["target_scaler"] else None
-        return Predictor(meta["task"], meta["target"], meta["training_columns"],
-                         FeaturePreparatorModel.load(os.path.join(path, "preparator")), model, meta["model_name"], lm, ts)
+        saved = FeaturePreparatorModel.load(os.path.join(path, "preparator"))
+        preparator = FeaturePreparatorModel(state=with_tables(saved.st, lambda table: os.path.join(path, table)), **saved.cfg)
+        return Predictor(meta["task"], meta["target"], meta["training_columns"], preparator, model, meta["model_name"], lm, ts)
 
 
 def probability_columns(scored: DataFrame, labels: Sequence[str]) -> list[Column]:
@@ -186,7 +196,11 @@ def run_automl(df: DataFrame, target: str, key: str, task: str | None = None, te
                scaling: str | None = None, priority: str = "balanced",
                models: Mapping[str, Factory] | None = None, cv_folds: int = 5, fit_on: str = "all",
                create_interactions: bool = False, select_features: bool = False, k_features="all",
-               parallelism: int = 5, seed: int = 42) -> AutoMLRun:
+               parallelism: int = 5, seed: int = 42, handle_missing: str | None = "auto",
+               min_performance: float | None = None, custom_models: Mapping[str, Factory] | None = None) -> AutoMLRun:
+    """One run. ``models`` replaces the default zoo, ``custom_models`` is added
+    to it; ``handle_missing`` is the imputation strategy (None: none);
+    a ``min_performance`` that no model meets raises ``NoModelQualifies``."""
     spark = df.sparkSession
     if task is None:
         task = detect_task_type(df, target).first()["task_type"]
@@ -197,7 +211,7 @@ def run_automl(df: DataFrame, target: str, key: str, task: str | None = None, te
              else split_random(df, key, test_size, seed))
     training_columns = [c for c in df.columns if c not in (target, key)]
     prep_est = FeaturePreparator(target=target, task=task, scaling=scaling, passthrough=[key, "split"],
-                                 create_interactions=create_interactions, select_features=select_features,
+                                 handle_missing=handle_missing, create_interactions=create_interactions, select_features=select_features,
                                  k_features=k_features, assemble=True)
     prep = prep_est.fit(split if fit_on == "all" else split.filter(F.col("split") == "train"))
     prepared = prep.transform(split)
@@ -213,12 +227,13 @@ def run_automl(df: DataFrame, target: str, key: str, task: str | None = None, te
     test_rows = prepared.filter(F.col("split") == "test").drop("split")
     train_rows = (kfold_stratified(train_rows, "label", key, cv_folds, seed) if task == "classification"
                   else kfold(train_rows, key, cv_folds, seed))
-    res = T.train_all(train_rows, task, models or default_models(task), cv_folds, parallelism)
+    zoo = {**(models or default_models(task)), **(custom_models or {})}
+    res = T.train_all(train_rows, task, zoo, cv_folds, parallelism)
     unscale = target_scaler.unscale if target_scaler is not None else None
     test_board, test_preds = T.test_all(res.models, test_rows, task, unscale)
     test_board = spark.createDataFrame(test_board.collect(), test_board.schema)
     board = res.leaderboard.filter(F.col("error").isNull())
-    sel = select_by_priority(board, task, priority)
+    sel = select_by_priority(board, task, priority, min_performance)
     best = sel.first()["model_name"]
     n_train, n_test = train_rows.count(), test_rows.count()
     counts = {"n_samples_total": n_train + n_test, "n_train": n_train, "n_test": n_test,

@@ -1,4 +1,4 @@
-"""Feature-engineering queries."""
+"""Feature-engineering queries."""
 
 from __future__ import annotations
 
@@ -10,8 +10,9 @@ from tabwise.operators.features.prepare import FeaturePreparator, feature_info,
 from tabwise.operators.features.selection import SelectKBest, f_classif, f_regression, mutual_info
 from tabwise.operators.features.target import LabelMap, TargetScaler
 from tabwise.operators.features.transforms import DatetimeFeatures, Interactions, Scaler
+from tabwise.operators.neighbors import knn_self_join
 from tabwise.plans.catalog.common import rounded
-from tabwise.plans.testviews import dirty_orders, with_dirty
+from tabwise.plans.testviews import CUSTOMER_FIGURES_SQL, FIGURES, customer_figures, dirty_orders, with_dirty
 from tabwise.registry import register
 from tabwise.sources.tables import table
 
@@ -58,6 +59,34 @@ def q_impute_drop(spark, sf):
     return Imputer("drop").fit(d).transform(d)
 
 
+# E2 / N5 ---------------------------------------------------------------------
+_SHARED = " + ".join(f"(case when q.{c} is null or r.{c} is null then 0 else 1 end)" for c in FIGURES)
+_SQUARES = " + ".join(f"coalesce((q.{c} - r.{c}) * (q.{c} - r.{c}), 0.0)" for c in FIGURES)
+_PAIRS_SQL = f"""with figures as (\n{CUSTOMER_FIGURES_SQL}\n),
+pairs as (
+  select q.c_custkey as k, r.c_custkey as neighbor, r.balance, r.orders, r.largest, r.smallest,
+         cast({_SQUARES} as double) * {len(FIGURES)} / ({_SHARED}) as d
+  from figures q join figures r on q.c_custkey <> r.c_custkey where ({_SHARED}) > 0)
+"""
+
+
+def _knn_fill(c: str) -> str:
+    return f"""round(coalesce(f.{c}, (select avg(v) from (select p.{c} as v from pairs p where p.k = f.c_custkey and p.{c} is not null
+    order by p.d, p.neighbor limit 5) n), (select avg({c}) from figures)), 6) as {c}"""
+
+
+@register("knn_impute", _PAIRS_SQL + "select c_custkey, " + ", ".join(_knn_fill(c) for c in FIGURES) + " from figures f")
+def q_knn_impute(spark, sf):
+    d = customer_figures(spark, sf)
+    return rounded(Imputer("knn", ["c_custkey", *FIGURES], key="c_custkey").fit(d).transform(d))
+
+
+@register("knn_self_join", _PAIRS_SQL + """select k as c_custkey, cast(row_number() over (partition by k order by d, neighbor) as integer) as rank,
+  neighbor, round(sqrt(d), 6) as distance from pairs qualify rank <= 5""")
+def q_knn_self_join(spark, sf):
+    return rounded(knn_self_join(customer_figures(spark, sf), FIGURES, "c_custkey", 5))
+
+
 # E3 / E4 ---------------------------------------------------------------------
 @register("label_encode", """select p_partkey, cast(dense_rank() over (order by p_brand) - 1 as integer) as p_brand,
   cast(dense_rank() over (order by cast(p_size as varchar)) - 1 as integer) as p_size from part""")

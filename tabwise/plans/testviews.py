@@ -53,6 +53,29 @@ def nan_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("o_totalprice", F.coalesce("o_totalprice", F.lit(float("nan"))))
 
 
+# customers with figures of their orders and injected nulls (customers without
+# orders have nulls of their own); same text in Spark SQL and DuckDB
+CUSTOMER_FIGURES_SQL = """select c_custkey,
+       case when c_custkey % 7 = 0 then null else c_acctbal end as balance,
+       case when c_custkey % 5 = 0 then null else cast(n as double) end as orders,
+       case when c_custkey % 3 = 0 then null else high end as largest,
+       low as smallest
+from customer left join (
+  select o_custkey, count(*) as n, max(o_totalprice) as high, min(o_totalprice) as low from orders group by o_custkey) o
+on c_custkey = o_custkey"""
+
+FIGURES = ["balance", "orders", "largest", "smallest"]
+
+
+def customer_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"))
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        k, F.when(k % 7 != 0, F.col("c_acctbal")).alias("balance"), F.when(k % 5 != 0, F.col("n").cast("double")).alias("orders"),
+        F.when(k % 3 != 0, F.col("high")).alias("largest"), F.col("low").alias("smallest"))
+
+
 # pseudo-predictions for metric operators: label = return flag, prediction by
 # a fixed rule on quantity/discount (no model needed on either side)
 PSEUDO_CLASS_SQL = """select l_orderkey, l_linenumber, l_linestatus, l_returnflag as label,
