@@ -1,13 +1,18 @@
-"""Exact quantiles with linear interpolation (pandas / numpy default).
-
-Spark's exact ``percentile`` keeps a map of every distinct value per group
-and merges it in one task -- unbounded for a continuous column on a large
-table.  Here each column's values are ranked with the distributed
-``group_rank`` (range sort, no single-task group) and only the one or two
-rows around each requested position are kept:
+"""Exact quantiles with linear interpolation (pandas / numpy default) by
+distributed selection.
 
     pos = 1 + (n - 1) * p,  q = x[floor(pos)] + (pos - floor(pos)) * (x[ceil(pos)] - x[floor(pos)])
 
+Spark's exact ``percentile`` keeps a map of every distinct value per group
+and merges it in one task, and ranking a table sorts all of it. Here no row
+moves: a mergeable sketch (one aggregate) brackets every requested rank by two
+values, the next aggregate counts the rows below and inside the bracket and
+sketches the inside again, until a bracket holds at most ``BRACKET`` rows or
+one value. Only the distinct values inside the last brackets, with their counts,
+are ranked. A bracket is about a two-hundredth of the one before, so 10^12 rows
+take five scans. A bracket that the counts show to be wrong is taken back and
+drawn wider, so the result does not rest on the sketch's error bound.
+
 ``exact=False`` uses ``percentile_approx`` in one aggregate instead.
 """
 
@@ -15,11 +20,89 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwise.operators.ranking import group_rank
+from tabwise.session import written
+
+#: Rows that a bracket may keep for ranking, cells of the sketched grid, the
+#: sketch's accuracy, and the cells by which a bracket is wider than its rank.
+BRACKET, GRID, ACCURACY, MARGIN = 200_000, 1000, 10_000, 2
+
+
+def _grid(value: Column) -> Column:
+    cells = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
+    return F.percentile_approx(value, cells, ACCURACY)
+
+
+def _inside(value: Column) -> Column:
+    return (F.col("lo").isNull() | (value >= F.col("lo"))) & (F.col("hi").isNull() | (value <= F.col("hi")))
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null groups meet each other."""
+    renamed = right.select(*[F.col(c).alias(f"_of_{c}") if c in keys else F.col(c) for c in right.columns])
+    return left.join(renamed, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys], how).drop(*[f"_of_{c}" for c in keys])
+
+
+def _narrowed(state: DataFrame) -> DataFrame:
+    """The bracket of the next pass. ``open`` says that it has to be counted."""
+    def cell(rank: Column) -> Column:
+        return F.col("grid_size") * (rank - F.col("below")) / F.col("m")
+    low = F.floor(cell(F.col("r1") - 1)).cast("int") - F.col("margin")
+    high = F.ceil(cell(F.col("r2"))).cast("int") + F.col("margin")
+    tried = state.withColumn("grid_size", F.lit(GRID)).withColumns({
+        "next_lo": F.when(low > 0, F.get("grid", low)).otherwise(F.col("lo")),
+        "next_hi": F.when(high < GRID, F.get("grid", high)).otherwise(F.col("hi"))})
+    small = (F.col("m") <= BRACKET) | (F.col("lo") == F.col("hi"))
+    same = F.col("next_lo").eqNullSafe(F.col("lo")) & F.col("next_hi").eqNullSafe(F.col("hi"))
+    return tried.withColumn("open", ~(F.coalesce(small, F.lit(False)) | same)).drop("grid_size")
+
+
+def _counted(long: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Count the next brackets: those that hold their ranks are taken, the
+    others are drawn wider from the bracket before."""
+    by = [*keys, "p"]
+    tried = state.filter("open").select(*by, F.col("next_lo").alias("lo"), F.col("next_hi").alias("hi"))
+    value = F.col("value")
+    found = _joined(long, tried, keys).groupBy(*by).agg(
+        F.count_if(value < F.col("lo")).alias("new_below"), F.count_if(_inside(value)).alias("new_m"),
+        _grid(F.when(_inside(value), value)).alias("new_grid"))
+    held = F.col("open") & (F.col("new_below") < F.col("r1")) & (F.col("new_below") + F.col("new_m") >= F.col("r2"))
+    out = _joined(state, found, by, "left").withColumn("held", F.coalesce(held, F.lit(False)))
+    return out.select(
+        *by, "pos", "r1", "r2", F.when(F.col("held"), F.col("next_lo")).otherwise(F.col("lo")).alias("lo"),
+        F.when(F.col("held"), F.col("next_hi")).otherwise(F.col("hi")).alias("hi"),
+        *[F.when(F.col("held"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("below", "m", "grid")],
+        F.when(F.col("held"), MARGIN).when(F.col("open"), F.col("margin") * 10).otherwise(F.col("margin")).alias("margin"))
+
+
+def _select(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(keys..., p, value) by selection in ``long`` (keys..., value)."""
+    first = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), _grid(F.col("value")).alias("grid"))
+    pos = [F.struct(F.lit(float(p)).alias("p"), (F.lit(1.0) + (F.col("m") - 1) * F.lit(float(p))).alias("pos"))
+           for p in probs]
+    state = first.select(*keys, "m", "grid", F.explode(F.array(*pos)).alias("q")).select(
+        *keys, "q.p", "q.pos", F.floor("q.pos").alias("r1"), F.ceil("q.pos").alias("r2"),
+        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0).cast("long").alias("below"),
+        "m", "grid", F.lit(MARGIN).alias("margin"))
+    # one row a key and probability: written, so that no pass repeats an earlier one
+    state = written(_narrowed(state))
+    while state.filter("open").limit(1).count():
+        state = written(_narrowed(_counted(long, state, keys)))
+    by = [*keys, "p"]
+    left = _joined(long, state.select(*by, "lo", "hi"), keys).filter(_inside(F.col("value")))
+    values = left.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = _joined(values.withColumn("upto", F.sum("c").over(upto)), state.select(*by, "pos", "r1", "r2", "below"), by)
+    last, rank = F.col("below") + F.col("upto"), F.col("below") + F.col("upto") - F.col("c")
+
+    def at(r: str) -> Column:
+        return F.max(F.when((F.col(r) > rank) & (F.col(r) <= last), F.col("value")))
+    agg = ranked.groupBy(*by, "pos").agg(at("r1").alias("_lo"), at("r2").alias("_hi"))
+    frac = F.col("pos") - F.floor("pos")
+    return agg.select(*by, (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("value"))
 
 
 def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -57,24 +140,7 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
         lit_ps = F.array(*[F.lit(p) for p in ps])
         return (pa.select(*keys, F.explode(F.arrays_zip(lit_ps.alias("p"), F.col("qs").alias("value"))).alias("z"))
                   .select(*keys, F.col("z.p").alias("p"), F.col("z.value").alias("value")))
-    # unique tie-break so equal values spread over range partitions
-    long = long.withColumn("_tb", F.monotonically_increasing_id())
-    ranked = group_rank(long, keys, ["value", "_tb"], name="_r", with_group_size="_n")
-    n = F.col("_n")
-    cands = F.array(*[F.struct(F.lit(float(p)).alias("p"),
-                               (F.lit(1.0) + (n - F.lit(1)) * F.lit(float(p))).alias("pos"))
-                      for p in probs])
-    r = F.col("_r")
-    hits = F.filter(cands, lambda s: (F.floor(s["pos"]) == r) | (F.ceil(s["pos"]) == r))
-    wanted = (ranked.withColumn("_h", hits).filter(F.size("_h") > 0)
-                    .select(*keys, "_r", "value", F.explode("_h").alias("_h"))
-                    .select(*keys, "_r", "value", F.col("_h.p").alias("p"), F.col("_h.pos").alias("_pos")))
-    agg = wanted.groupBy(*keys, "p").agg(
-        F.max(F.when(F.col("_r") == F.floor("_pos"), F.col("value"))).alias("_lo"),
-        F.max(F.when(F.col("_r") == F.ceil("_pos"), F.col("value"))).alias("_hi"),
-        F.first("_pos").alias("_pos"))
-    frac = F.col("_pos") - F.floor("_pos")
-    return agg.select(*keys, "p", (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("value"))
+    return _select(long, keys, probs)
 
 
 def quantile_map(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the library relies on.  ANSI stays on (Spark 4 default): every
 # division in the library goes through ``try_divide`` or a guarded CASE.
@@ -61,6 +62,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows written as a table in the shared folder and read back. Unlike a
+    checkpoint, whose plan keeps the size estimates of everything that led to
+    it, the table tells the planner its true size. The files go with the
+    session."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tabwise-written/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    except AttributeError:  # Spark Connect: the server has no such handle
+        pass
+    return spark.read.parquet(path)
+
+
 def default_parallelism(spark: SparkSession) -> int:
     """Partition count for explicit range exchanges: the shuffle setting,
     never below the cluster's core count."""
