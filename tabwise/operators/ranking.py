@@ -10,7 +10,8 @@ folds do.  The first hex digits of the hash cut each group into
 ``(group, bucket) -> rows`` gives each bucket its offset inside its group by a
 prefix sum, and ``row_number`` only runs inside one ``(group, bucket)``.
 The bucket is a function of the row itself, so any recomputation after an
-executor loss yields the same numbers.
+executor loss yields the same numbers.  ``hash_cut`` -- the row at one place of
+that order (a split needs no other rank): no row outside its bucket moves.
 
 ``group_rank`` / ``group_running_sum`` -- arbitrary order (values with heavy
 ties included).  ``repartitionByRange`` spreads the sorted key space over
@@ -25,12 +26,12 @@ The order must be strict within a group (append a unique key).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwise.session import default_parallelism, ensure_checkpoint_dir
+from tabwise.session import default_parallelism, ensure_checkpoint_dir, written
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -83,6 +84,30 @@ def hash_rank(df: DataFrame, partition_by: Sequence[str], hex_hash: str, key: st
     return out.drop(b, "_tw_off")
 
 
+def hash_cut(df: DataFrame, partition_by: Sequence[str], hex_hash: str, key: str, cut: Callable[[Column], Column],
+             prefix: int = 5) -> DataFrame:
+    """(partition_by..., _tw_cut_hash, _tw_cut_key): the row at place ``cut(group
+    size)`` of every group in the order of ``hex_hash``, ``key``; a group with
+    cut 0 has no row. One aggregate counts the hash-prefix buckets and shows in
+    which one the cut lies; only the rows of that bucket are ranked, so no
+    other row moves, and the caller decides every row by comparison."""
+    partition_by = list(partition_by)
+    b = "_tw_bucket"
+    x = df.select(*partition_by, hex_hash, key, hash_bucket(F.col(hex_hash), prefix).alias(b))
+    group = Window.partitionBy(*partition_by)
+    stats = x.groupBy(*partition_by, b).agg(F.count(F.lit(1)).alias("_tw_cnt"))
+    stats = stats.withColumns({
+        "_tw_before": F.sum("_tw_cnt").over(group.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)),
+        "_tw_cut": cut(F.sum("_tw_cnt").over(group)).cast("long")})
+    before = F.coalesce("_tw_before", F.lit(0))
+    at = written(stats.filter((F.col("_tw_cut") > before) & (F.col("_tw_cut") <= before + F.col("_tw_cnt"))).select(
+        *partition_by, b, (F.col("_tw_cut") - before).alias("_tw_place")))
+    near = _join_on_groups(x, at, partition_by + [b], partition_by)
+    place = F.row_number().over(Window.partitionBy(*partition_by, b).orderBy(hex_hash, key))
+    return written(near.withColumn("_tw_row", place).filter(F.col("_tw_row") == F.col("_tw_place")).select(
+        *partition_by, F.col(hex_hash).alias("_tw_cut_hash"), F.col(key).alias("_tw_cut_key")))
+
+
 # --------------------------------------------------------------------------
 # arbitrary order
 # --------------------------------------------------------------------------

@@ -1,20 +1,23 @@
 """Splits and resampling.
 
 Every split orders rows by ``md5(seed || '|' || key)`` then the key (a
-seeded shuffle that both Spark and SQL reproduce).  Ranks inside a class
-come from ``hash_rank`` (hash-prefix buckets): no window ever holds a whole
-class, and the split is a pure function of each row, so a recomputed task
-after an executor loss yields the same split.
+seeded shuffle that both Spark and SQL reproduce).  A split finds the row at
+the cut of each class (``hash_cut``) and compares all others with it: the rows
+are not shuffled.  Folds need every rank modulo k, which ``hash_rank`` takes
+inside hash-prefix buckets (one shuffle): no window ever holds a whole class.
+Both are a pure function of each row, so a recomputed task after an executor
+loss yields the same split.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwise.operators.ranking import hash_rank
+from tabwise.functions.frames import attach_one_row
+from tabwise.operators.ranking import hash_cut, hash_rank
 
 
 def seeded_hash(key: str | Sequence[str], seed: int | str = 42) -> Column:
@@ -37,21 +40,39 @@ def _ranked(df: DataFrame, by: Sequence[str], key: str | Sequence[str], seed) ->
     return hash_rank(x, list(by), "_h", "_kk", name="_rank", with_group_size="_size").drop("_kk")
 
 
+def _split(df: DataFrame, by: Sequence[str], key: str | Sequence[str], seed, split_col: str,
+           cut: Callable[[Column], Column]) -> DataFrame:
+    """``test`` for the first ``cut(size)`` rows of every group in hash order:
+    the cut rows are found once (a table of one row a group), then every row is
+    compared with its group's, so the rows themselves are not shuffled. Rows
+    that share a key fall on one side."""
+    keys = _key_list(key)
+    name = keys[0] if len(keys) == 1 else "_tw_key"
+    x = df.withColumn("_tw_hash", seeded_hash(keys, seed))
+    if name == "_tw_key":
+        x = x.withColumn("_tw_key", F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in keys]))
+    cuts = hash_cut(x, by, "_tw_hash", name, cut)
+    cuts = cuts.select(*[F.col(f"`{c}`").alias(f"_tw_cut_{i}") for i, c in enumerate(by)], "_tw_cut_hash", "_tw_cut_key")
+    first = F.struct(F.col("_tw_hash"), F.col(f"`{name}`")) <= F.struct(F.col("_tw_cut_hash"), F.col("_tw_cut_key"))
+    decided = F.when(first, "test").otherwise("train").alias(split_col)
+    if by:
+        x = x.join(cuts, [F.col(f"`{c}`").eqNullSafe(F.col(f"_tw_cut_{i}")) for i, c in enumerate(by)], "left")
+    else:
+        x = attach_one_row(x, cuts)
+    return x.select(*[F.col(f"`{c}`") for c in df.columns if c != split_col], decided)
+
+
 def split_stratified(df: DataFrame, label: str, key: str | Sequence[str], test_size: float = 0.2,
                      seed: int | str = 42, split_col: str = "split") -> DataFrame:
     """in each class the ``round(n_c * test_size)`` rows first in hash
     order are ``test``, the rest ``train``."""
-    r = _ranked(df, [label], key, seed)
-    cut = F.round(F.col("_size") * F.lit(test_size))
-    return r.withColumn(split_col, F.when(F.col("_rank") <= cut, "test").otherwise("train")).drop("_h", "_rank", "_size")
+    return _split(df, [label], key, seed, split_col, lambda n: F.round(n * F.lit(test_size)))
 
 
 def split_random(df: DataFrame, key: str | Sequence[str], test_size: float = 0.2, seed: int | str = 42,
                  split_col: str = "split") -> DataFrame:
     """the ``ceil(n * test_size)`` rows first in hash order are ``test``."""
-    r = _ranked(df, [], key, seed)
-    cut = F.ceil(F.col("_size") * F.lit(test_size))
-    return r.withColumn(split_col, F.when(F.col("_rank") <= cut, "test").otherwise("train")).drop("_h", "_rank", "_size")
+    return _split(df, [], key, seed, split_col, lambda n: F.ceil(n * F.lit(test_size)))
 
 
 def kfold_stratified(df: DataFrame, label: str, key: str | Sequence[str], k: int = 5, seed: int | str = 42,

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tabwise.operators.profile import dq_report
-from tabwise.operators.split import kfold_stratified, split_stratified
+from tabwise.operators.split import kfold_stratified, split_random, split_stratified
 from tabwise.plans.testviews import dirty_orders
 from tests.conftest import SF0001
 
@@ -15,13 +15,36 @@ def _final_plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString().split("+- == Initial Plan ==")[0]
 
 
-def test_splits_never_use_a_single_partition(spark):
+def test_splits_move_no_rows_and_folds_never_use_a_single_partition(spark):
     o = spark.read.parquet(f"{SF0001}/orders.parquet").select("o_orderkey", "o_orderstatus")
-    for df in (split_stratified(o, "o_orderstatus", "o_orderkey"), kfold_stratified(o, "o_orderstatus", "o_orderkey")):
+    for df in (split_stratified(o, "o_orderstatus", "o_orderkey"), split_random(o, "o_orderkey")):
         plan = _final_plan(df)
-        assert "SinglePartition" not in plan
-        # the row-number window is partitioned by (class, hash bucket), never by the class alone
-        assert re.search(r"Window \[row_number\(\).*\], \[o_orderstatus#\d+, _tw_bucket#\d+L?\]", plan)
+        # the rows are compared with the cuts; only these are sent (one row a class)
+        assert "Window" not in plan and not re.search(r"(?<!Broadcast)Exchange ", plan)
+    plan = _final_plan(kfold_stratified(o, "o_orderstatus", "o_orderkey"))
+    assert "SinglePartition" not in plan
+    # the row-number window is partitioned by (class, hash bucket), never by the class alone
+    assert re.search(r"Window \[row_number\(\).*\], \[o_orderstatus#\d+, _tw_bucket#\d+L?\]", plan)
+
+
+def test_split_edges(spark):
+    rows = [(i, "a" if i % 3 else None, i % 2) for i in range(100)] + [(200, "one", 1), (201, "two", 1), (202, "two", 0)]
+    df = spark.createDataFrame(rows, "id long, label string, cut_hash int")
+    out = split_stratified(df, "label", "id", 0.25, 7).collect()
+    assert [f for f in out[0].asDict()] == ["id", "label", "cut_hash", "split"] and len(out) == len(rows)
+    tests = [r["label"] for r in out if r["split"] == "test"]
+    # round(66 * .25) = 17 (16.5), round(34 * .25) = 9 (8.5), round(.25) = 0, round(.5) = 1
+    assert (tests.count("a"), tests.count(None), tests.count("one"), tests.count("two")) == (17, 9, 0, 1)
+    again = spark.createDataFrame(rows[::-1], "id long, label string, cut_hash int")
+    assert {r["id"] for r in out if r["split"] == "test"} == {
+        r["id"] for r in split_stratified(again, "label", "id", 0.25, 7).collect() if r["split"] == "test"}
+    both = split_random(spark.createDataFrame(rows + rows, df.schema), ["id", "label"], 0.5).collect()
+    sides = {}
+    for r in both:
+        sides.setdefault(r["id"], set()).add(r["split"])
+    assert all(len(v) == 1 for v in sides.values()) and abs(sum(r["split"] == "test" for r in both) - 103) <= 1
+    assert split_stratified(df.limit(0), "label", "id").count() == split_random(df.limit(0), "id").count() == 0
+    assert {r["split"] for r in split_random(df, "id", 0.0).collect()} == {"train"}
 
 
 def _formatted(df) -> str:
