@@ -1,16 +1,19 @@
 """K4 Kernel SHAP and K9 LIME for any fitted model (model-agnostic).
 
-Both build synthetic feature vectors for each explained row with built-in
-expressions (``explode`` over coalition / sample ids -- no join), score
-them with the model's own ``transform`` (JVM, vectorised), and solve one
-small weighted least-squares problem per explained row in
-``applyInPandas`` (a group holds at most the coalition / sample count, a
-fixed bound, never a data-sized group).
-
-* Kernel SHAP: coalitions z (all of them when 2^M - 2 <= n_samples, else
-  a seeded sample by subset size), background rows b (<= 100, F5); value
-  v(z) = mean_b f(x_z + b_{not z}); weights = Shapley kernel; the
-  constraint sum(phi) = f(x) - E[f] is enforced by elimination.
+Both make synthetic feature vectors for each explained row with array
+expressions (``explode`` over coalition / sample numbers -- no join; the plan
+does not grow with the features), score them with the model's own
+``transform`` (JVM, vectorised), and reduce them to the sums of a small weighted
+least-squares problem per row while they stream by (``Summarizer``, combined
+before the shuffle): no task holds a row's samples.
+
+* Kernel SHAP: a coalition is a set of features, known by its number: the
+  number's bits when all 2^M - 2 are taken, else a size drawn by the Shapley
+  kernel's weight and the features of smallest hash. Background rows b (<= 100,
+  F5); value v(z) = mean_b f(x_z + b_{not z}); the constraint
+  sum(phi) = f(x) - E[f] is enforced by elimination. The matrix of the normal
+  equations is the same for every row (one job over the coalitions), so a row's
+  solution is one matrix product.
 * LIME (tabular, quartile-discretised): N perturbations per row, each
   feature drawn from a training quartile bin (value uniform in the bin,
   deterministic hash noise), binary "same bin as the instance" features,
@@ -19,7 +22,7 @@ fixed bound, never a data-sized group).
 
 from __future__ import annotations
 
-import itertools
+import json
 import math
 from collections.abc import Sequence
 
@@ -27,9 +30,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwise.functions.frames import attach_one_row
 from tabwise.operators.quantiles import quantile_map
 
 
@@ -50,130 +55,157 @@ def output_kind(model: Model) -> str:
     return "prediction"
 
 
-def coalitions(M: int, n_samples: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """(masks Z x M, Shapley kernel weights)."""
-    def kernel(s: int) -> float:
-        return (M - 1) / (math.comb(M, s) * s * (M - s))
+def coalition(M: int, n_samples: int, z: Column, seed: int = 42) -> tuple[int, Column, Column]:
+    """How many coalitions there are, and the members (array of 0.0 / 1.0) and
+    the weight of number ``z`` (from 0)."""
+    def kernel(size: int) -> float:
+        return (M - 1) / (math.comb(M, size) * size * (M - size))
+    places = F.sequence(F.lit(0), F.lit(M - 1))
     if 2 ** M - 2 <= n_samples:
-        masks = [np.array(c) for c in itertools.product([0, 1], repeat=M) if 0 < sum(c) < M]
-        w = [kernel(int(m.sum())) for m in masks]
-        return np.array(masks, dtype=float), np.array(w)
-    rng = np.random.default_rng(seed)
-    sizes = np.arange(1, M)
-    p = np.array([kernel(s) * math.comb(M, s) for s in sizes])
-    p = p / p.sum()
-    masks = []
-    for s in rng.choice(sizes, size=n_samples, p=p):
-        m = np.zeros(M)
-        m[rng.choice(M, size=s, replace=False)] = 1
-        masks.append(m)
-    masks = np.array(masks)
-    return masks, np.ones(len(masks)) / len(masks)
+        bits = (z + 1).cast("long")
+        members = F.transform(places, lambda j: F.getbit(bits, j).cast("double"))
+        return 2 ** M - 2, members, F.get(_doubles([0.0] + [kernel(s) for s in range(1, M)]), F.bit_count(bits))
+    share = np.array([kernel(s) * math.comb(M, s) for s in range(1, M)])
+    upto = np.cumsum(share / share.sum()).tolist()
+    size = F.size(F.filter(_doubles(upto[:-1]), lambda u: u <= _uniform(F.lit(seed), z, F.lit(-1)))) + 1
+    hashes = F.transform(places, lambda j: F.xxhash64(F.lit(seed), z, j))
+    last = F.get(F.array_sort(hashes), size - 1)
+    return n_samples, F.transform(hashes, lambda h: (h <= last).cast("double")), F.lit(1.0 / n_samples)
+
+
+def _doubles(values: Sequence[float]) -> Column:
+    """A constant array as one literal."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
+
+
+def _uniform(*parts: Column) -> Column:
+    """Deterministic uniform number in [0, 1)."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)).cast("double") / float(1 << 30)
+
+
+def _times(weight: Column, values: Column) -> Column:
+    return F.transform(values, lambda v: v * weight)
+
+
+def _reduced(members: Column) -> Column:
+    """The members without the last feature, which is eliminated."""
+    last = F.element_at(members, -1)
+    return F.transform(F.slice(members, 1, F.size(members) - 1), lambda v: v - last)
+
+
+def _outer(a: Column) -> Column:
+    return F.flatten(F.transform(a, lambda u: F.transform(a, lambda v: u * v)))
 
 
 def kernel_shap(model: Model, rows: DataFrame, background: DataFrame, feature_names: Sequence[str], row_id: str,
                 features_col: str = "features", n_samples: int = 2048, class_index: int = 1,
                 seed: int = 42) -> DataFrame:
-    """Long form ``(row_id, position, feature, value, base_value)``."""
-    names = list(feature_names)
-    M = len(names)
+    """Long form ``(row_id, position, feature, value, base_value)``. ``row_id``
+    is unique; a model of one feature gives it all of f(x) - E[f]."""
+    M, spark = len(feature_names), rows.sparkSession
     kind = output_kind(model)
-    bg = [list(map(float, r[0])) for r in background.select(vector_to_array(features_col)).collect()]
-    if len(bg) > 100:
+    if background.count() > 100:
         raise ValueError("background must have at most 100 rows (take it with background_sample)")
-    masks, weights = coalitions(M, max(n_samples, 2 * M + 2), seed)
-    Z = len(masks)
-    full = np.vstack([np.ones(M), np.zeros(M), masks])           # row 0: f(x), row 1: E[f]
-    maskarr = F.array(*[F.array(*[F.lit(float(v)) for v in m]) for m in full])
-    bgarr = F.array(*[F.array(*[F.lit(v) for v in b]) for b in bg])
+    z = F.col("_z")
+    count, members, weight = coalition(M, max(n_samples, 2 * M + 2), z, seed) if M > 1 else (0, None, None)
+    solver = None
+    if M > 1:
+        # normal equations of all coalitions: (M - 1)^2 sums, and those that go with the constraint
+        all_of_them = spark.range(count).select(F.col("id").cast("int").alias("_z")).select(
+            _reduced(members).alias("a"), F.element_at(members, -1).alias("m"), weight.alias("w"))
+        sums = all_of_them.agg(Summarizer.sum(array_to_vector(_times(F.col("w"), _outer(F.col("a"))))).alias("aa"),
+                               Summarizer.sum(array_to_vector(_times(F.col("w") * F.col("m"), F.col("a")))).alias("am")).first()
+        inverse = np.linalg.pinv(sums["aa"].toArray().reshape(M - 1, M - 1))
+        solver = spark.createDataFrame([([r.tolist() for r in inverse], (inverse @ sums["am"].toArray()).tolist())],
+                                       "inverse array<array<double>>, last array<double>")
     x = rows.select(F.col(row_id).cast("string").alias("row_id"), vector_to_array(features_col).alias("_x"))
-    syn = (x.select("row_id", "_x", F.explode(F.sequence(F.lit(0), F.lit(Z + 1))).alias("_z"))
-             .select("row_id", "_x", "_z", F.explode(F.sequence(F.lit(0), F.lit(len(bg) - 1))).alias("_b")))
-    m_z, b_b = F.element_at(maskarr, F.col("_z") + 1), F.element_at(bgarr, F.col("_b") + 1)
-    vec = F.transform(F.sequence(F.lit(1), F.lit(M)),
-                      lambda j: F.when(F.element_at(m_z, j) > 0, F.element_at("_x", j)).otherwise(F.element_at(b_b, j)))
-    syn = syn.withColumn(features_col, array_to_vector(vec))
-    scored = model.transform(syn)
+    base = background.select(vector_to_array(features_col).alias("b")).agg(F.collect_list("b").alias("_bg"))
+    # number -1 is the row itself, -2 the background alone
+    syn = attach_one_row(x.select("row_id", "_x", F.explode(F.sequence(F.lit(-2), F.lit(count - 1))).alias("_z")), base)
+    mixed = F.when(z == -1, F.array_repeat(F.lit(1.0), M)).when(z == -2, F.array_repeat(F.lit(0.0), M))
+    syn = syn.withColumn("_m", mixed.otherwise(members) if M > 1 else mixed).select(
+        "row_id", "_z", "_m", "_x", F.explode("_bg").alias("_b"))
+    vec = F.transform("_m", lambda m, j: F.when(m > 0, F.get("_x", j)).otherwise(F.get("_b", j)))
+    scored = model.transform(syn.select("row_id", "_z", array_to_vector(vec).alias(features_col)))
     vals = scored.groupBy("row_id", "_z").agg(F.avg(_output(scored, kind, class_index)).alias("v"))
-    wlist, mlist = weights.tolist(), masks.tolist()
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.set_index("_z")["v"]
-        fx, e = float(v.loc[0]), float(v.loc[1])
-        y = np.array([v.loc[i + 2] for i in range(Z)]) - e
-        A = np.array(mlist)
-        w = np.array(wlist)
-        # eliminate the last feature with sum(phi) = fx - e
-        Ar = A[:, :-1] - A[:, [-1]]
-        yr = y - A[:, -1] * (fx - e)
-        sw = np.sqrt(w)
-        sol, *_ = np.linalg.lstsq(Ar * sw[:, None], yr * sw, rcond=None)
-        phi = np.append(sol, (fx - e) - sol.sum())
-        return pd.DataFrame({"row_id": pdf["row_id"].iloc[0], "position": np.arange(1, M + 1, dtype=np.int32),
-                             "feature": names, "value": phi, "base_value": e})
-    return vals.groupBy("row_id").applyInPandas(
-        solve, "row_id string, position int, feature string, value double, base_value double")
+    ends = [F.max(F.when(z == -1, F.col("v"))).alias("fx"), F.max(F.when(z == -2, F.col("v"))).alias("e")]
+    if M > 1:
+        # sums of w a v and of w a; the value of the background is taken off afterwards
+        a = F.when(z >= 0, _times(weight, _reduced(members))).otherwise(F.array_repeat(F.lit(0.0), M - 1))
+        per_row = vals.withColumn("_a", a).groupBy("row_id").agg(
+            *ends, Summarizer.sum(array_to_vector(_times(F.col("v"), F.col("_a")))).alias("av"),
+            Summarizer.sum(array_to_vector(F.col("_a"))).alias("a1")).select(
+            "row_id", "fx", "e", vector_to_array("av").alias("av"), vector_to_array("a1").alias("a1"))
+        target = F.transform(F.arrays_zip("av", "a1"), lambda s: s["av"] - s["a1"] * F.col("e"))
+        solved = attach_one_row(per_row.withColumn("t", target), solver).withColumn("phi", F.transform(
+            F.arrays_zip("inverse", "last"), lambda r: F.aggregate(
+                F.arrays_zip(r["inverse"].alias("p"), F.col("t").alias("t")), F.lit(0.0), lambda s, u: s + u["p"] * u["t"])
+            - r["last"] * (F.col("fx") - F.col("e"))))
+    else:
+        solved = vals.groupBy("row_id").agg(*ends).withColumn("phi", F.array().cast("array<double>"))
+    rest = F.col("fx") - F.col("e") - F.aggregate("phi", F.lit(0.0), lambda s, v: s + v)
+    names = F.from_json(F.lit(json.dumps(list(feature_names))), "array<string>")
+    return solved.select("row_id", F.col("e").alias("base_value"), F.posexplode(F.concat("phi", F.array(rest)))).select(
+        "row_id", (F.col("pos") + 1).alias("position"), F.get(names, F.col("pos")).alias("feature"), F.col("col").alias("value"),
+        "base_value")
 
 
 def lime(model: Model, rows: DataFrame, train: DataFrame, feature_names: Sequence[str], row_id: str,
          features_col: str = "features", n_samples: int = 5000, top_n: int = 5, class_index: int = 1,
          seed: int = 42) -> DataFrame:
     """K9: ``(row_id, lime array<struct<name, weight>>)`` -- the ``top_n``
-    bin conditions with the largest ridge weights."""
-    names = list(feature_names)
-    M = len(names)
+    bin conditions with the largest ridge weights; ``row_id`` is unique."""
+    M, spark = len(feature_names), rows.sparkSession
     kind = output_kind(model)
     cols = [f"_f{j}" for j in range(M)]
     tr = train.select(vector_to_array(features_col).alias("_a")).select(*[F.col("_a")[j].alias(c) for j, c in enumerate(cols)])
-    qm = quantile_map(tr, cols, [0.0, 0.25, 0.5, 0.75, 1.0])
-    edges = [[qm[(c, p)] for p in (0.0, 0.25, 0.5, 0.75, 1.0)] for c in cols]
+    probs = (0.0, 0.25, 0.5, 0.75, 1.0)
+    qm = quantile_map(tr, cols, probs)
+    features = spark.createDataFrame([([(n, [float(qm[(c, p)]) for p in probs]) for n, c in zip(feature_names, cols)],)],
+                                     "_f array<struct<name:string, e:array<double>>>")
     x = rows.select(F.col(row_id).cast("string").alias("row_id"), vector_to_array(features_col).alias("_x"))
-    samp = x.select("row_id", "_x", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("_s"))
-
-    def u(j: int, salt: int) -> Column:        # deterministic uniform in [0, 1)
-        h = F.xxhash64(F.lit(seed), F.col("row_id"), F.col("_s"), F.lit(j), F.lit(salt))
-        return F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30)
-    vals, same = [], []
-    for j in range(M):
-        e = edges[j]
-        xi = F.element_at("_x", j + 1)
-        inst_bin = (F.when(xi <= e[1], 0).when(xi <= e[2], 1).when(xi <= e[3], 2).otherwise(3))
-        b = F.least(F.floor(u(j, 0) * 4).cast("int"), F.lit(3))
-        lo = F.element_at(F.array(*[F.lit(float(v)) for v in e[:4]]), b + 1)
-        hi = F.element_at(F.array(*[F.lit(float(v)) for v in e[1:]]), b + 1)
-        v = F.when(F.col("_s") == 0, xi).otherwise(lo + u(j, 1) * (hi - lo))
-        vals.append(v)
-        same.append(F.when(F.col("_s") == 0, F.lit(1)).otherwise((b == inst_bin).cast("int")))
-    syn = samp.select("row_id", "_s", "_x", array_to_vector(F.array(*vals)).alias(features_col),
-                      F.array(*same).alias("_bin"))
+
+    def own_bin(v: Column, e: Column) -> Column:
+        return F.when(v <= e[1], 0).when(v <= e[2], 1).when(v <= e[3], 2).otherwise(3)
+    at = attach_one_row(x, features).withColumn("_own", F.transform("_f", lambda f, j: own_bin(F.get("_x", j), f["e"])))
+    samp = at.select("row_id", "_x", "_f", "_own", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("_s"))
+
+    def u(j: Column, salt: int) -> Column:
+        return _uniform(F.lit(seed), F.col("row_id"), F.col("_s"), j, F.lit(salt))
+    drawn = F.transform("_f", lambda f, j: F.least(F.floor(u(j, 0) * 4).cast("int"), F.lit(3)))
+    samp = samp.withColumn("_bin", F.when(F.col("_s") == 0, F.col("_own")).otherwise(drawn))
+
+    def value(f: Column, j: Column) -> Column:
+        b = F.get("_bin", j)
+        low, high = F.get(f["e"], b), F.get(f["e"], b + 1)
+        return F.when(F.col("_s") == 0, F.get("_x", j)).otherwise(low + u(j, 1) * (high - low))
+    syn = samp.select("row_id", F.transform("_bin", lambda b, j: (b == F.get("_own", j)).cast("double")).alias("_same"),
+                      array_to_vector(F.transform("_f", value)).alias(features_col))
     scored = model.transform(syn)
-    scored = scored.select("row_id", "_s", "_x", "_bin", _output(scored, kind, class_index).alias("f"))
+    scored = scored.select("row_id", "_same", _output(scored, kind, class_index).alias("f"))
+    off = F.lit(float(M)) - F.aggregate("_same", F.lit(0.0), lambda s, v: s + v)    # squared distance to the row's bins
     width = 0.75 * math.sqrt(M)
-
-    def label(j: int, xv: float) -> str:
-        e = edges[j]
-        n = names[j]
-        if xv <= e[1]:
-            return f"{n} <= {e[1]:.2f}"
-        if xv <= e[2]:
-            return f"{e[1]:.2f} < {n} <= {e[2]:.2f}"
-        if xv <= e[3]:
-            return f"{e[2]:.2f} < {n} <= {e[3]:.2f}"
-        return f"{n} > {e[3]:.2f}"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_s")
-        Bm = np.vstack(pdf["_bin"].to_numpy()).astype(float)
-        y = pdf["f"].to_numpy(dtype=float)
-        d = np.sqrt(((Bm - 1.0) ** 2).sum(axis=1))
-        w = np.sqrt(np.exp(-(d ** 2) / width ** 2))
-        Xc = Bm - np.average(Bm, axis=0, weights=w)
-        yc = y - np.average(y, weights=w)
-        A = Xc.T @ (Xc * w[:, None]) + np.eye(M)
-        coef = np.linalg.solve(A, Xc.T @ (w * yc))
-        order = np.argsort(-np.abs(coef), kind="stable")[:top_n]
-        xv = pdf["_x"].iloc[0]
-        return pd.DataFrame({"row_id": [pdf["row_id"].iloc[0]],
-                             "lime": [[{"name": label(int(j), float(xv[int(j)])), "weight": float(coef[j])}
-                                       for j in order]]})
-    return scored.groupBy("row_id").applyInPandas(fit, "row_id string, lime array<struct<name:string,weight:double>>")
+    weighted = scored.withColumn("w", F.sqrt(F.exp(-off / F.lit(width ** 2))))
+    # w, w f, w b, w f b, w b b': everything that the ridge regression needs
+    w, f, same = F.col("w"), F.col("f"), F.col("_same")
+    terms = F.concat(F.array(w, w * f), _times(w, same), _times(w * f, same), _times(w, _outer(same)))
+    sums = weighted.groupBy("row_id").agg(vector_to_array(Summarizer.sum(array_to_vector(terms))).alias("sums"))
+
+    def solve(sums: pd.Series) -> pd.Series:
+        out = []
+        for s in sums:
+            total, tf, tb, tfb, tbb = s[0], s[1], s[2:2 + M], s[2 + M:2 + 2 * M], s[2 + 2 * M:].reshape(M, M)
+            centred = tbb - np.outer(tb, tb) / total
+            out.append(np.linalg.solve(centred + np.eye(M), tfb - tb * tf / total))
+        return pd.Series(out)
+    coef = sums.select("row_id", F.pandas_udf(solve, "array<double>")("sums").alias("_c")).join(at, "row_id")
+
+    def label(f: Column, own: Column) -> Column:
+        e = [F.format_string("%.2f", f["e"][i]) for i in (1, 2, 3)]
+        n = f["name"]
+        return (F.when(own == 0, F.concat(n, F.lit(" <= "), e[0])).when(own == 1, F.concat(e[0], F.lit(" < "), n, F.lit(" <= "), e[1]))
+                .when(own == 2, F.concat(e[1], F.lit(" < "), n, F.lit(" <= "), e[2])).otherwise(F.concat(n, F.lit(" > "), e[2])))
+    entries = F.transform("_c", lambda c, j: F.struct(-F.abs(c), j, label(F.get("_f", j), F.get("_own", j)).alias("name"),
+                                                      c.alias("weight")))
+    first = F.slice(F.array_sort(entries), 1, top_n)
+    return coef.select("row_id", F.transform(first, lambda t: F.struct(t["name"].alias("name"), t["weight"].alias("weight"))).alias("lime"))

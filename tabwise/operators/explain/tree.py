@@ -8,9 +8,9 @@ recursion over a tree is the same for every row -- only the fraction of
 each row that follows a branch (0 or 1) differs -- so one recursion runs
 for a whole Arrow batch with numpy vectors.
 
-Explained output: the positive-class probability for random-forest /
-decision-tree classifiers (``class_index``), the margin for GBT
-classifiers, the prediction for regressors.  phi_0 + sum(phi) equals it.
+Explained output: the probability of class ``class_index`` for random-forest /
+decision-tree classifiers, its margin for boosted classifiers (Spark's GBT has
+one margin, of class 1), the prediction for regressors.  phi_0 + sum(phi) equals it.
 """
 
 from __future__ import annotations
@@ -61,7 +61,16 @@ def _tree_arrays(nodes: list, classification_probs: bool, class_index: int) -> d
 
 
 def tree_tables(model: Model, class_index: int = 1) -> tuple[list[dict], list[float], str]:
-    """``(trees, weights, output)`` read from the model's saved node table."""
+    """``(trees, weights, output)`` read from the model's saved node table (of
+    our own boosted models: from their state; their start value is a tree of
+    one leaf)."""
+    if hasattr(model, "margin_trees"):
+        start, grown, sign = model.margin_trees(class_index)
+        trees = [{"left": np.array(t.left), "right": np.array(t.right), "feat": np.array(t.feature), "thr": np.array(t.threshold),
+                  "value": np.array(t.value), "cover": np.array(t.cover), "cats": {}} for t in grown]
+        leaf = {"left": np.array([-1]), "right": np.array([-1]), "feat": np.array([-1]), "thr": np.zeros(1),
+                "value": np.array([start]), "cover": np.ones(1), "cats": {}}
+        return [leaf, *trees], [sign] * (len(trees) + 1), "margin" if "Classification" in type(model).__name__ else "prediction"
     spark = SparkSession.getActiveSession()
     path = os.path.join(ensure_checkpoint_dir(spark), "tabwise-models", uuid.uuid4().hex)
     model.write().overwrite().save(path)

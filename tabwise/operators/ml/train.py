@@ -66,9 +66,13 @@ def cross_validate(name: str, make: Factory, data: DataFrame, task: str, k: int
     facts = facts or data_facts(data, task)
     binary = task == "classification" and facts.classes == 2
 
+    def estimator():
+        return make(DataFacts(facts, n=int(facts.n * (k - 1) / k)))
+    # an estimator that can fits all folds in one run
+    fitted = estimator().fit_folds(data, k) if hasattr(estimator(), "fit_folds") else None
+
     def fit_fold(f: int) -> DataFrame:
-        est = make(DataFacts(facts, n=int(facts.n * (k - 1) / k)))
-        m = est.fit(data.filter(F.col("fold") != f))
+        m = fitted[f] if fitted else estimator().fit(data.filter(F.col("fold") != f))
         s = _scored(m, data, binary)
         return s.select(F.lit(name).alias("model_name"), F.lit(f).alias("fold"),
                         F.when(F.col("fold") == f, "val").otherwise("train").alias("part"), "label", "prediction", "score")

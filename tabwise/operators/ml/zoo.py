@@ -1,14 +1,17 @@
 """Model zoo (G1-G9) and hyper-parameter grids (G14) on Spark ML.
 
 Every model is a ``pyspark.ml`` Estimator reading ``features`` / ``label``.
-Spark has no XGBoost / LightGBM / extremely-randomised trees; those entries
-are *profiles* of Spark's own learners (named so), not the libraries:
-
-* "XGBoost"  -> GBT, 100 rounds, step 0.3, depth 6
-* "LightGBM" -> GBT, 100 rounds, step 0.1, depth 5 (31 leaves ~ depth 5)
-* "Extra Trees" -> random forest without bootstrap
-GBT is binary in Spark; more classes go through ``OneVsRest``.  Penalties
-follow the sklearn objectives: logistic ``C`` -> ``regParam = 1 / (C n)``
+Boosted trees are the library's own histogram booster (``boosting``), with the
+settings that the named libraries have by default; they are *profiles*, not the
+libraries:
+
+* "Gradient Boosting" -> 100 rounds, step 0.1, depth 3
+* "XGBoost"  -> 100 rounds, step 0.3, depth 6, square penalty 1, child hessian 1
+* "LightGBM" -> 100 rounds, step 0.1, grown by leaf to 31 leaves, 20 rows a child
+  (in at most 6 levels, as every level is a pass; ``maxDepth=-1`` lifts that)
+* "Extra Trees" -> Spark's random forest without bootstrap
+
+Penalties follow the sklearn objectives: logistic ``C`` -> ``regParam = 1 / (C n)``
 (and sklearn's convergence tolerance 1e-4 for the linear solvers),
 ridge ``alpha`` -> ``regParam = alpha * std_pop(y) / n`` (Spark divides the
 penalty by the label's standard deviation), Lasso / ElasticNet: :func:`elastic_net`.
@@ -21,10 +24,11 @@ import math
 from collections.abc import Callable
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       NaiveBayes, OneVsRest, RandomForestClassifier)
-from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
-                                   RandomForestRegressor)
+from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest,
+                                       RandomForestClassifier)
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+
+from tabwise.operators.ml.boosting import BoostedClassifier, BoostedRegressor
 
 SEED = 42
 TREE_DEPTH = 30          # no depth limit: Spark's maximum
@@ -52,15 +56,16 @@ class DataFacts(dict):
 Factory = Callable[[DataFacts], Estimator]
 
 
-def _gbt_cls(step: float, depth: int, rounds: int = 100) -> Factory:
-    def make(f: DataFacts) -> Estimator:
-        g = GBTClassifier(maxIter=rounds, stepSize=step, maxDepth=depth, seed=SEED, **TREE_KW)
-        return g if f.classes <= 2 else OneVsRest(classifier=g, parallelism=4)
-    return make
+def _boosted(task: str, **profile) -> Factory:
+    kind = BoostedClassifier if task == "classification" else BoostedRegressor
+    return lambda f: kind(seed=SEED, **profile)
 
 
-def _gbt_reg(step: float, depth: int, rounds: int = 100) -> Factory:
-    return lambda f: GBTRegressor(maxIter=rounds, stepSize=step, maxDepth=depth, seed=SEED, **TREE_KW)
+# what the named libraries do by default, as settings of our own booster
+SKLEARN_PROFILE = dict(maxIter=100, stepSize=0.1, maxDepth=3)
+XGBOOST_PROFILE = dict(maxIter=100, stepSize=0.3, maxDepth=6, regLambda=1.0, minHessian=1.0)
+LIGHTGBM_PROFILE = dict(maxIter=100, stepSize=0.1, growth="leaf", maxLeaves=31, maxDepth=6, minInstancesPerNode=20,
+                        minHessian=1e-3)
 
 
 def _svm(f: DataFacts) -> Estimator:
@@ -71,9 +76,9 @@ def _svm(f: DataFacts) -> Estimator:
 CLASSIFIERS: dict[str, Factory] = {
     "Random Forest": lambda f: RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt",
                                                       maxDepth=TREE_DEPTH, seed=SEED, **TREE_KW),
-    "XGBoost": _gbt_cls(0.3, 6),
-    "LightGBM": _gbt_cls(0.1, 5),
-    "Gradient Boosting": _gbt_cls(0.1, 3),
+    "XGBoost": _boosted("classification", **XGBOOST_PROFILE),
+    "LightGBM": _boosted("classification", **LIGHTGBM_PROFILE),
+    "Gradient Boosting": _boosted("classification", **SKLEARN_PROFILE),
     "Logistic Regression": lambda f: LogisticRegression(maxIter=1000, regParam=1.0 / max(f.n, 1), elasticNetParam=0.0,
                                                         standardization=False, family="auto", tol=1e-4),
     "Extra Trees": lambda f: RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", bootstrap=False,
@@ -83,9 +88,9 @@ CLASSIFIERS: dict[str, Factory] = {
 REGRESSORS: dict[str, Factory] = {
     "Random Forest": lambda f: RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=TREE_DEPTH,
                                                      seed=SEED, **TREE_KW),
-    "XGBoost": _gbt_reg(0.3, 6),
-    "LightGBM": _gbt_reg(0.1, 5),
-    "Gradient Boosting": _gbt_reg(0.1, 3),
+    "XGBoost": _boosted("regression", **XGBOOST_PROFILE),
+    "LightGBM": _boosted("regression", **LIGHTGBM_PROFILE),
+    "Gradient Boosting": _boosted("regression", **SKLEARN_PROFILE),
     "Ridge Regression": lambda f: LinearRegression(regParam=1.0 * f.label_std / max(f.n, 1), elasticNetParam=0.0,
                                                    standardization=False),
     "Extra Trees": lambda f: RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", bootstrap=False,
@@ -213,7 +218,7 @@ def spark_params(inner: Estimator, params: dict, facts: DataFacts) -> dict:
         if k == "n_estimators":
             put("numTrees", v) or put("maxIter", v)
         elif k == "max_depth":
-            put("maxDepth", 30 if v is None else (10 if v == -1 else int(v)))
+            put("maxDepth", TREE_DEPTH if v is None else (10 if v == -1 else int(v)))
         elif k in ("min_samples_leaf", "min_child_weight", "min_child_samples"):
             put("minInstancesPerNode", int(v))
         elif k == "min_samples_split":
@@ -227,7 +232,7 @@ def spark_params(inner: Estimator, params: dict, facts: DataFacts) -> dict:
         elif k == "colsample_bytree":
             put("featureSubsetStrategy", str(float(v)) if float(v) < 1 else "all")
         elif k == "num_leaves":
-            put("maxDepth", max(1, math.ceil(math.log2(int(v)))))
+            put("maxLeaves", int(v)) or put("maxDepth", max(1, math.ceil(math.log2(int(v)))))
         elif k == "criterion":
             put("impurity", {"squared_error": "variance", "friedman_mse": "variance"}.get(v, v))
         elif k == "C":

@@ -124,6 +124,75 @@ def test_kernel_shap_matches_linear_closed_form(spark):
     assert len(out) == 10 and all(len(r["lime"]) == 2 for r in out)
 
 
+def _wide(spark, n, M):
+    import numpy as np
+    rng = np.random.default_rng(M)
+    x = rng.normal(size=(n, M))
+    y = x @ rng.normal(size=M) + 1.0
+    from pyspark.ml.linalg import Vectors
+    return spark.createDataFrame([(i, Vectors.dense(r), float(v)) for i, (r, v) in enumerate(zip(x, y))],
+                                 ["rid", "features", "y"]), [f"f{j}" for j in range(M)]
+
+
+def test_kernel_shap_with_sampled_coalitions(spark):
+    """A linear model's values are exact whatever coalitions are drawn; the
+    plan is as large for 14 features as for 7."""
+    import numpy as np
+    from pyspark.ml.regression import LinearRegression
+
+    from tabwise.operators.explain.kernel import coalition, kernel_shap
+    sizes = []
+    for M in (7, 14):
+        d, names = _wide(spark, 60, M)
+        lr = LinearRegression(labelCol="y").fit(d)
+        out = kernel_shap(lr, d.limit(6), d.limit(20), names, "rid", n_samples=100)
+        sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        mu = np.array([r[0] for r in d.limit(20).select(vector_to_array("features")).collect()]).mean(axis=0)
+        xs = {str(r["rid"]): r["x"] for r in d.select("rid", vector_to_array("features").alias("x")).collect()}
+        w = lr.coefficients.toArray()
+        rows = out.collect()
+        assert len(rows) == 6 * M
+        for r in rows:
+            j = r["position"] - 1
+            assert math.isclose(r["value"], w[j] * (xs[r["row_id"]][j] - mu[j]), rel_tol=1e-6, abs_tol=1e-8)
+    assert sizes[0] == sizes[1]
+    z = F.col("id").cast("int")
+    n, members, weight = coalition(14, 100, z)
+    drawn = [(r[0], r[1]) for r in spark.range(n).select(members, weight).collect()]
+    assert n == 100 and all(0 < sum(m) < 14 for m, _ in drawn) and len({tuple(m) for m, _ in drawn}) > 50
+    n, members, weight = coalition(4, 2048, z)
+    drawn = {tuple(r[0]): r[1] for r in spark.range(n).select(members, weight).collect()}
+    assert len(drawn) == n == 14 and all(math.isclose(w, 3 / (math.comb(4, int(sum(m))) * sum(m) * (4 - sum(m))))
+                                         for m, w in drawn.items())
+
+
+def test_lime_matches_a_direct_solution(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml.regression import LinearRegression
+
+    from tabwise.operators.explain import kernel
+    d, names = _wide(spark, 200, 3)
+    lr = LinearRegression(labelCol="y").fit(d)
+    seen = []
+    output = kernel._output
+
+    def keep(scored, *more):
+        seen.append(scored)
+        return output(scored, *more)
+    monkeypatch.setattr(kernel, "_output", keep)
+    got = {r["row_id"]: r["lime"] for r in kernel.lime(lr, d.limit(3), d, names, "rid", n_samples=400, top_n=3).collect()}
+    samples = {}
+    for r in seen[0].select("row_id", "_same", "prediction").collect():
+        samples.setdefault(r["row_id"], []).append((r["_same"], r["prediction"]))
+    for row, rows in samples.items():
+        b, y = np.array([s for s, _ in rows]), np.array([p for _, p in rows])
+        w = np.sqrt(np.exp(-((b - 1) ** 2).sum(axis=1) / (0.75 * math.sqrt(3)) ** 2))
+        bc, yc = b - np.average(b, axis=0, weights=w), y - np.average(y, weights=w)
+        coef = np.linalg.solve(bc.T @ (bc * w[:, None]) + np.eye(3), bc.T @ (w * yc))
+        assert len(rows) == 400 and np.allclose(sorted(coef), sorted(e["weight"] for e in got[row]))
+        assert [abs(e["weight"]) for e in got[row]] == sorted((abs(e["weight"]) for e in got[row]), reverse=True)
+
+
 def test_answers_from_context(spark):
     ctx_type = ("struct<local_explanation:string,global_explanation:string,"
                 "feature_impact:array<struct<name:string,weight:double>>,model_performance:string,"

@@ -81,14 +81,13 @@ def test_compare_before_after(spark):
 
 
 def test_zoo_profiles_and_mappings(spark):
-    from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+    from pyspark.ml.classification import RandomForestClassifier
     f2, f3 = zoo.DataFacts(n=1000, classes=2), zoo.DataFacts(n=1000, classes=3)
-    xgb = zoo.CLASSIFIERS["XGBoost"](f2)
-    assert isinstance(xgb, GBTClassifier) and xgb.getStepSize() == 0.3 and xgb.getMaxDepth() == 6 and xgb.getMaxIter() == 100
-    lgbm = zoo.CLASSIFIERS["LightGBM"](f2)
-    assert lgbm.getStepSize() == 0.1 and lgbm.getMaxDepth() == 5
-    gb = zoo.CLASSIFIERS["Gradient Boosting"](f3)
-    assert isinstance(gb, OneVsRest) and gb.getClassifier().getMaxDepth() == 3
+    xgb = zoo.CLASSIFIERS["XGBoost"](f2).settings()
+    assert (xgb.step, xgb.depth, xgb.rounds, xgb.by_leaf) == (0.3, 6, 100, False)
+    lgbm = zoo.CLASSIFIERS["LightGBM"](f2).settings()
+    assert (lgbm.step, lgbm.leaves, lgbm.by_leaf) == (0.1, 31, True)
+    assert zoo.CLASSIFIERS["Gradient Boosting"](f3).settings().depth == 3
     et = zoo.CLASSIFIERS["Extra Trees"](f2)
     assert isinstance(et, RandomForestClassifier) and et.getBootstrap() is False and et.getNumTrees() == 100
     lr = zoo.CLASSIFIERS["Logistic Regression"](f2)
