@@ -38,7 +38,11 @@ LONGEST = 2**31  # bytes of a text, so also the most ids it can have
 @lru_cache(maxsize=1)
 def _encoder(name: str):
     """The byte-level BPE of ``<name>.json`` read from its rank file
-    (``<name>.tiktoken`` holds the same vocabulary and gives the same ids)."""
+    (``<name>.tiktoken`` holds the same vocabulary and gives the same ids), with
+    the added tokens of the json, which stand for themselves wherever a text
+    has them."""
+    import json
+
     import public_tokenizers
     import tiktoken
 
@@ -47,16 +51,20 @@ def _encoder(name: str):
         for line in f:
             token, rank = line.split()
             ranks[base64.b64decode(token)] = int(rank)
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    known = {a: i for a, i in added.items() if a.encode() not in ranks}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=known)
 
 
 def token_ids(text: str | None, name: str = TOKENIZER) -> np.ndarray:
     """Ids of a text and the closing 0. A very long text is encoded in parts cut
-    before a space that follows a letter, where the pattern always splits."""
-    encode = _encoder(name).encode_ordinary
+    before a space that follows a letter, where the pattern always splits (and no
+    added token has a space)."""
+    encoder = _encoder(name)
     ids: list[int] = []
     for part in _parts(text or ""):
-        ids += encode(part)
+        ids += encoder.encode(part, allowed_special="all")
     return np.array([*ids, 0], dtype="<u4")
 
 

@@ -106,8 +106,8 @@ def test_token_ids_are_the_tokenizers_librarys():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    texts = ["", "a  b\n\n c", "<|endoftext|> x", "né 12345 'll don't\t\t", prose(1, 400), "ß" * 50, " " * 40]
+    texts = ["", "a  b\n\n c", "<|endoftext|> x", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|>b <|endoftext|",
+             "<|endoftext|>" * 3 + prose(3, 50) + "<|endoftext|>", "né 12345 'll don't\t\t", prose(1, 400), "ß" * 50, " " * 40]
     for text in texts:
         assert packing.token_ids(text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
     parts = list(packing._parts(re.sub(r"\d", lambda m: "abcdefghij"[int(m[0])], prose(2, 3000)), 2000))
@@ -115,6 +115,9 @@ def test_token_ids_are_the_tokenizers_librarys():
     long = "".join(parts)
     whole = t.encode(long, add_special_tokens=False).ids
     assert [i for p in parts for i in t.encode(p, add_special_tokens=False).ids] == whole
+    marked = (prose(4, 200_000) + "<|endoftext|>" + prose(5, 30_000) + " <|endoftext|> ")
+    assert len(list(packing._parts(marked))) > 1
+    assert packing.token_ids(marked).tolist() == [*t.encode(marked, add_special_tokens=False).ids, 0]
 
 
 @settings(max_examples=50, deadline=None)
