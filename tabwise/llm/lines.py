@@ -107,7 +107,7 @@ def recurring(lines: DataFrame, min_docs: int) -> DataFrame:
         F.max("docs").alias("docs"), F.min("first").alias("first"))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 3, id_col: str = "doc_id",
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_tokens: int = 1, id_col: str = "doc_id",
                 text_col: str = "text", max_rows: int = 1_000_000) -> DataFrame:
     """``docs`` with the text without its dropped lines, plus n_lines and
     n_dropped (replaced if such columns exist). Null texts stay null and a null

@@ -120,18 +120,20 @@ def test_line_templates(spark):
     rows = {r["doc_id"]: r for r in lines.dedup_lines(frame(spark, docs)).collect()}
     assert rows[0]["text"] == docs[0][1] and rows[0]["n_lines"] == 5
     for i in range(1, 12):
-        assert rows[i]["text"] == docs[i][1].split("\n")[0] + "\n\nshort" and rows[i]["n_dropped"] == 2
+        assert rows[i]["text"] == docs[i][1].split("\n")[0] + "\n" and rows[i]["n_dropped"] == 3
+    longer = {r["doc_id"]: r for r in lines.dedup_lines(frame(spark, docs), min_tokens=3).collect()}
+    assert all(longer[i]["text"].endswith("\n\nshort") and longer[i]["n_dropped"] == 2 for i in range(1, 12))
 
 
 def test_equal_lines_of_two_documents(spark):
     long, cjk = prose(90, 12), "\u3053\u306e\u30da\u30fc\u30b8\u306e\u5148\u982d\u3078\u623b\u308b" * 4
     docs = [(i, f"{prose(i, 6)}\n{long}\n{cjk}\n\nTo\nPage {i} of {i + 3} in this one report", "a") for i in range(2)]
-    rows = {r["doc_id"]: r for r in lines.dedup_lines(frame(spark, docs), min_tokens=1).collect()}
+    rows = {r["doc_id"]: r for r in lines.dedup_lines(frame(spark, docs)).collect()}
     parts = docs[1][1].split("\n")
     assert rows[0]["text"] == docs[0][1] and rows[0]["n_dropped"] == 0
     assert rows[1]["text"] == "\n".join([parts[0], "", parts[-1]]) and rows[1]["n_dropped"] == 3
-    default = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(spark, docs)).collect()}
-    assert long not in default[1] and cjk in default[1]
+    longer = {r["doc_id"]: r["text"] for r in lines.dedup_lines(frame(spark, docs), min_tokens=3).collect()}
+    assert long not in longer[1] and cjk in longer[1]
 
 
 def test_registered_line_dedup_leaves_no_equal_lines(spark):
