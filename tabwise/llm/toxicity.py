@@ -92,9 +92,10 @@ def log_probabilities(counts: np.ndarray) -> list:
 
 def restore_token(token: str, lp: list) -> str:
     """Likeliest reading of one token in lower case; words in it are parted by
-    spaces, and what stays a digit is ``#``."""
+    spaces, and what stays a digit is ``#``. The readings are kept as chains of
+    back pointers, so the time is linear in the length."""
     token = _DECORATION.sub("", token.lower())
-    states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
     previous = ""
     for c in token:
         options: list[tuple[int, str, float]] = []
@@ -110,8 +111,8 @@ def restore_token(token: str, lp: list) -> str:
                 options.append((-1, "", SET_APART))
         for letter in READINGS.get(c, ""):
             options.append((ord(letter) - 97, letter, SUBSTITUTE))
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in states.items():
+        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, chain) in states.items():
             for k, out, price in options:
                 if k < 0:
                     state, value = (a, b), score - price
@@ -120,10 +121,18 @@ def restore_token(token: str, lp: list) -> str:
                 else:
                     state, value = (b, k), score - price + lp[a][b][k]
                 if state not in following or value > following[state][0]:
-                    following[state] = (value, text + out)
+                    following[state] = (value, (chain, out) if out else chain)
         states, previous = following, c
-    best = max(states.items(), key=lambda x: (x[1][0] + (lp[x[0][0]][x[0][1]][EDGE] if x[0][1] != EDGE else 0.0), x[1][1]))
-    return best[1][1].strip()
+
+    def reading(chain: tuple | None) -> str:
+        letters = []
+        while chain is not None:
+            chain, out = chain
+            letters.append(out)
+        return "".join(reversed(letters))
+    ends = {s: score + (lp[s[0]][s[1]][EDGE] if s[1] != EDGE else 0.0) for s, (score, _) in states.items()}
+    most = max(ends.values())
+    return max(reading(states[s][1]) for s, score in ends.items() if score == most).strip()
 
 
 def is_odd(token: str) -> bool:
@@ -134,7 +143,7 @@ def is_odd(token: str) -> bool:
 def restore_words(token: str, lp: list) -> list[str]:
     """Words of a token's reading, and of the token as it stands."""
     plain = _WORDS.findall(token.lower())
-    if not is_odd(token) or len(token) > 64:
+    if not is_odd(token):
         return plain
     return plain + _WORDS.findall(restore_token(token, lp))
 
@@ -142,14 +151,21 @@ def restore_words(token: str, lp: list) -> list[str]:
 def restore(text: str | None, lp: list) -> str:
     """The whole text with its odd tokens replaced by their readings."""
     text = _SPACED.sub(lambda m: restore_token(m[0], lp), text or "")
-    return re.sub(r"\S+", lambda m: restore_token(m[0], lp) if is_odd(m[0]) and len(m[0]) <= 64 else m[0], text)
+    return re.sub(r"\S+", lambda m: restore_token(m[0], lp) if is_odd(m[0]) else m[0], text)
 
 
 def tokens(text: str | None, lp: list) -> set[str]:
-    """Distinct tokens of a text, and readings of its spaced-out words."""
+    """Distinct tokens of a text, and readings of its spaced-out words: the
+    words that the search parts, all of them as one, and that without a leading
+    one-letter word (``a`` or ``i``), which may stand before the run."""
     text = text or ""
     out = set(text.split())
-    out.update(restore_token(m, lp).replace(" ", "") for m in _SPACED.findall(text))
+    for run in _SPACED.findall(text):
+        words = restore_token(run, lp).split()
+        joined = "".join(words)
+        out.update((*words, joined))
+        if joined[:1] in ("a", "i"):
+            out.add(joined[1:])
     return out
 
 

@@ -122,6 +122,10 @@ def test_toxicity(spark, edges, empty, edge_rows):
     found = toxicity.score(frame(spark, [(i, t, "a") for i, t in enumerate(disguised)]), model).orderBy("doc_id").collect()
     assert [r["predicted"] for r in found] == [1, 1, 1, 1, 1, 0, 0]
     assert toxicity.restore("a m0r0n, an i d i o t", model.lp) == "a moron an idiot"
+    long = ["idi" + "o" * 300_000 + "t walks", "a.n.i.d.i.o.t" + ".of.the.green.river.walks.under.the.table.and.the.house" * 2,
+            "you are a m o r o n person", "the i d i o t walks"]
+    found = toxicity.score(frame(spark, [(i, t, "a") for i, t in enumerate(long)]), model).orderBy("doc_id").collect()
+    assert [r["predicted"] for r in found] == [1, 1, 1, 1]
     scored = toxicity.score(edges, model).collect()
     assert len(scored) == len(edge_rows) and all(0 <= r["score"] <= 1 and r["predicted"] == 0 for r in scored)
     assert toxicity.score(empty, model).count() == 0
@@ -129,6 +133,75 @@ def test_toxicity(spark, edges, empty, edge_rows):
     assert {r["score"] for r in toxicity.score(edges, untrained).collect()} == {0.5}
 
 
+def by_enumeration(token, lp):
+    """Score of the best reading over the whole lattice."""
+    best = -1e18
+    readings = [(0.0, (toxicity.EDGE, toxicity.EDGE))]
+    previous = ""
+    for c in token:
+        following = []
+        for score, (a, b) in readings:
+            options = []
+            if "a" <= c <= "z":
+                options.append((ord(c) - 97, 0.0))
+                if c == previous:
+                    options.append((-1, toxicity.REPEAT))
+            elif c.isdigit():
+                options.append((toxicity.OTHER, 0.0))
+            else:
+                options.append((toxicity.EDGE, 0.0))
+                if c in toxicity.MARKS:
+                    options.append((-1, toxicity.SET_APART))
+            options += [(ord(x) - 97, toxicity.SUBSTITUTE) for x in toxicity.READINGS.get(c, "")]
+            for k, price in options:
+                if k < 0 or (k == toxicity.EDGE and b == toxicity.EDGE):
+                    following.append((score - price, (a, b)))
+                else:
+                    following.append((score - price + lp[a][b][k], (b, k)))
+        readings, previous = following, c
+    for score, (a, b) in readings:
+        best = max(best, score + (lp[a][b][toxicity.EDGE] if b != toxicity.EDGE else 0.0))
+    return best
+
+
+def score_of(reading, token, lp):
+    """Best price at which the token can be read so (a plain search)."""
+    found = {}
+
+    def search(i, text, state, previous):
+        if i == len(token):
+            return 0.0 + (lp[state[0]][state[1]][toxicity.EDGE] if state[1] != toxicity.EDGE else 0.0) if text.strip() == "" else -1e18
+        key = i, text, state
+        if key in found:
+            return found[key]
+        c, (a, b), best = token[i], state, -1e18
+        moves = [(c, 0.0)] if "a" <= c <= "z" else [("#", 0.0)] if c.isdigit() else [(" ", 0.0)]
+        moves += [(x, toxicity.SUBSTITUTE) for x in toxicity.READINGS.get(c, "")]
+        if "a" <= c <= "z" and c == previous:
+            moves.append(("", toxicity.REPEAT))
+        if c in toxicity.MARKS:
+            moves.append(("", toxicity.SET_APART))
+        for out, price in moves:
+            k = -1 if out == "" else ord(out) - 97 if out.isalpha() else toxicity.OTHER if out == "#" else toxicity.EDGE
+            if k < 0 or (k == toxicity.EDGE and b == toxicity.EDGE):
+                rest = text[1:] if out == " " and text[:1] == " " else text
+                best = max(best, search(i + 1, rest, state, c) - price)
+            elif text[:1] == out or (out == " " and not text):
+                best = max(best, search(i + 1, text[1:], (b, k), c) - price + lp[a][b][k])
+        found[key] = best
+        return best
+    return search(0, reading, (toxicity.EDGE, toxicity.EDGE), "")
+
+
+def test_restoration_is_the_best_of_the_lattice():
+    rng = random.Random(5)
+    lp = toxicity.log_probabilities(np.random.default_rng(1).integers(0, 50, (28, 28, 28)).astype(float))
+    for _ in range(300):
+        token = "".join(rng.choice("aabst01345$@") for _ in range(rng.randrange(1, 8)))
+        best = by_enumeration(token, lp)
+        assert abs(score_of(toxicity.restore_token(token, lp), token, lp) - best) < 1e-9, token
+
+
 def test_held_out_labels_are_not_learned(spark):
     docs, labels = labelled(spark, 200)
     wrong = labels.withColumn("toxic", toxicity.F.when(toxicity.held_out(toxicity.F.col("doc_id")), 1).otherwise(
