@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabwise.operators.explain import shap as SH
@@ -173,17 +174,43 @@ def q_answer(spark, sf):
     return rows.select("conv_id", "turn", TX.answer(F.concat(ask, F.lit(" "), F.col("text")), F.col("ctx")).alias("answer"))
 
 
-# K8 / K13 (model-based, rows-only) -----------------------------------------------
-@register("feature_importance")
+# K8 / K13 (model-based; the twins state invariants) -----------------------------------------------
+@register("feature_importance", """select * from (values ('gain', 1.0, true), ('impurity', 1.0, true)) t(kind, total, sorted)""")
 def q_importance(spark, sf):
-    """Impurity importances of the decision tree of the shared AutoML run,
-    named by the encoded features."""
+    """Importances of the decision tree of the shared AutoML run and of the
+    boosted model of the documents, named by the encoded features: they add up
+    to one and come sorted."""
     from tabwise.plans.catalog.ml_q import _classification_run
     run = _classification_run(spark, sf)
-    return SH.feature_importance(run.train.models["Decision Tree"], run.preparator.features, spark, top=20)
-
-
-@register("explanation_context")
+    names, _train, _test, boosted, _nb = _doc_models(spark, sf)
+    tree = SH.feature_importance(run.train.models["Decision Tree"], run.preparator.features, spark)
+    both = tree.withColumn("kind", F.lit("impurity")).unionByName(
+        SH.feature_importance(boosted, names, spark).withColumn("kind", F.lit("gain")))
+    ranks = F.transform(F.array_sort(F.collect_list(F.struct("rank", "importance"))), lambda r: r["importance"])
+    return both.groupBy("kind").agg(F.round(F.sum("importance"), 6).alias("total"),
+                                    (ranks == F.reverse(F.array_sort(F.collect_list("importance")))).alias("sorted"))
+
+
+@register("explanation_context", """select cast(doc_id as varchar) as row_id, true as local, true as overall, true as lime, true as performance
+from documents join labels using (doc_id)""")
+def q_doc_context(spark, sf):
+    """K13 with LIME: the context of every labelled document from TreeSHAP and
+    LIME of the boosted model; whether each text has its fixed beginning."""
+    from tabwise.operators.explain.kernel import lime
+    from tabwise.operators.ml.train import test_all
+    names, train, test, boosted, _nb = _doc_models(spark, sf)
+    rows = train.unionByName(test)
+    board, _ = test_all({"Gradient Boosting": boosted}, test.select("doc_id", "label", "features"), "classification")
+    metrics = {k: float(board.first()[k]) for k in ("accuracy", "precision", "recall")}
+    long = SH.shap_values(boosted, rows, names, "doc_id", train)
+    ctx = SH.explanation_context(long, 5, metrics, lime(boosted, rows, train, names, "doc_id")).select("row_id", "context.*")
+    return ctx.select("row_id", F.col("local_explanation").startswith("The prediction was mainly influenced by ").alias("local"),
+                      F.col("global_explanation").startswith("Overall, the model relies mostly on").alias("overall"),
+                      F.col("lime_explanation").startswith("LIME (local alternative): ").alias("lime"),
+                      F.col("model_performance").startswith("Model performance: accuracy: ").alias("performance"))
+
+
+@register("explanation_paragraph")
 def q_context(spark, sf):
     """Linear SHAP of the logistic model of the shared AutoML run over all
     prepared rows, with its real hold-out metrics in the performance text."""
@@ -200,7 +227,7 @@ def q_context(spark, sf):
     return ctx.select("row_id", SH.explain_paragraph(F.col("context")).alias("paragraph"))
 
 
-# K3 / K4 / K5 / K9 on the labelled documents (rows-only: no SQL form) -------------
+# K3 / K4 / K5 / K9 on the labelled documents (the twins state that nothing is left unexplained) -------------
 _DOC_MODELS: dict = {}
 
 
@@ -214,7 +241,8 @@ def _doc_models(spark, sf):
 
 
 def _fit_doc_models(spark, sf):
-    from pyspark.ml.classification import GBTClassifier, NaiveBayes
+    from pyspark.ml.classification import NaiveBayes
+    from tabwise.operators.ml.zoo import CLASSIFIERS, DataFacts
     from tabwise.operators.features.prepare import FeaturePreparator
     from tabwise.operators.features.target import LabelMap
     from tabwise.operators.split import split_stratified
@@ -225,34 +253,48 @@ def _fit_doc_models(spark, sf):
     data = split_stratified(data, "label", "doc_id").cache()
     train = data.filter("split = 'train'")
     test = data.filter("split = 'test'")
-    gbt = GBTClassifier(maxIter=20, maxDepth=3, seed=42).fit(train)
+    gbt = CLASSIFIERS["Gradient Boosting"](DataFacts()).fit(train)
     nb = NaiveBayes(modelType="gaussian").fit(train)
     return prep.features, train, test, gbt, nb
 
 
-@register("shap_tree")
+_RESIDUAL_SQL = """select cast(doc_id as varchar) as row_id, 0.0 as residual, {n} as features from documents join labels using (doc_id)"""
+# held-out documents: the stratified split over the label's codes
+_TEST_DOCS = """(select doc_id from (select doc_id, row_number() over (partition by quality order by md5('42|' || cast(doc_id as varchar)), doc_id)
+  <= round(count(*) over (partition by quality) * 0.2) as held from documents join labels using (doc_id)) s where held) d"""
+
+
+def _residuals(model, long, rows, output):
+    """Per row: output - base value - sum of the attributions, and how many there are."""
+    total = long.groupBy("row_id").agg((F.first("base_value") + F.sum("value")).alias("total"), F.count("value").alias("features"))
+    scored = model.transform(rows).select(F.col("doc_id").cast("string").alias("row_id"), output.alias("output"))
+    # + 0.0: no negative zero
+    return scored.join(total, "row_id").select("row_id", (F.round(F.col("output") - F.col("total"), 6) + 0.0).alias("residual"), "features")
+
+
+@register("shap_tree", _RESIDUAL_SQL.format(n=13))
 def q_shap_tree(spark, sf):
-    """TreeSHAP of a boosted model for every labelled document, reduced to
-    the global top features (mean |phi|)."""
-    names, train, _test, gbt, _nb = _doc_models(spark, sf)
-    long = SH.shap_values(gbt, train.unionByName(_test), names, "doc_id", train)
-    return SH.global_top_features(long, 5)
+    """TreeSHAP of the zoo's boosted model (100 rounds) for every labelled
+    document: what its attributions leave unexplained."""
+    names, train, test, boosted, _nb = _doc_models(spark, sf)
+    rows = train.unionByName(test)
+    return _residuals(boosted, SH.shap_values(boosted, rows, names, "doc_id", train), rows, vector_to_array("rawPrediction")[1])
 
 
-@register("shap_kernel")
+@register("shap_kernel", f"select cast(doc_id as varchar) as row_id, 0.0 as residual, 13 as features from {_TEST_DOCS}")
 def q_shap_kernel(spark, sf):
-    """Kernel SHAP of a Gaussian naive Bayes model for the held-out
-    documents (100 background rows, 256 sampled coalitions per row)."""
-    names, train, test, _gbt, nb = _doc_models(spark, sf)
-    long = SH.shap_values(nb, test, names, "doc_id", train, n_samples=256)
-    return SH.local_top_features(long, 3)
+    """Kernel SHAP of a Gaussian naive Bayes model for the held-out documents
+    (100 background rows, 2048 coalitions per row): what is left unexplained."""
+    names, train, test, _boosted, nb = _doc_models(spark, sf)
+    return _residuals(nb, SH.shap_values(nb, test, names, "doc_id", train), test, vector_to_array("probability")[1])
 
 
-@register("lime_local")
+@register("lime_local", f"select cast(doc_id as varchar) as row_id, 5 as conditions, true as sorted from {_TEST_DOCS}")
 def q_lime(spark, sf):
-    """LIME for the held-out documents (1000 perturbations per row), as the
-    LIME sentence of each row."""
+    """LIME for the held-out documents (5000 perturbations per row): how many
+    conditions each has, and whether the largest come first."""
     from tabwise.operators.explain.kernel import lime
-    names, train, test, gbt, _nb = _doc_models(spark, sf)
-    lm = lime(gbt, test, train, names, "doc_id", n_samples=1000, top_n=5)
-    return lm.select("row_id", TX.lime_text(F.col("lime")).alias("lime_explanation"))
+    names, train, test, boosted, _nb = _doc_models(spark, sf)
+    lm = lime(boosted, test, train, names, "doc_id", top_n=5)
+    size = F.transform("lime", lambda e: -F.abs(e["weight"]))
+    return lm.select("row_id", F.size("lime").alias("conditions"), (size == F.array_sort(size)).alias("sorted"))

@@ -15,11 +15,12 @@ from tabwise.operators.ml import train as T
 from tabwise.operators.ml import tune as TU
 from tabwise.operators.features.prepare import FeaturePreparator
 from tabwise.operators.features.target import LabelMap
-from tabwise.operators.ml.zoo import CLASSIFIERS, OPTIONAL_CLASSIFIERS, OPTIONAL_REGRESSORS, REGRESSORS
+from tabwise.operators.ml.zoo import CLASSIFIERS, OPTIONAL_CLASSIFIERS, OPTIONAL_REGRESSORS, REGRESSORS, default_models
 from tabwise.operators.split import kfold_stratified, split_stratified
 from tabwise.plans.automl import Predictor, run_automl, top_class
 from tabwise.plans.catalog.common import rounded
-from tabwise.plans.testviews import LEADERBOARD_SQL, leaderboard
+from tabwise.functions.frames import attach_one_row
+from tabwise.plans.testviews import LEADERBOARD_SQL, document_table, leaderboard
 from tabwise.registry import register
 from tabwise.sources.tables import table
 
@@ -80,6 +81,28 @@ def q_regression(spark, sf):
     return run.test_board
 
 
+# G1-G5, G7, G9, G12 ------------------------------------------------------------
+@register("zoo_leaderboard", """select unnest(['Extra Trees', 'Gradient Boosting', 'LightGBM', 'Logistic Regression', 'Random Forest', 'XGBoost'])
+  as model_name, false as failed, true as beats_majority, true as in_range""")
+def q_zoo(spark, sf):
+    """5-fold cross-validation of the whole default zoo on the labelled
+    documents: no model fails, each beats the share of the commonest label, and
+    all scores lie between 0 and 1."""
+    docs = document_table(spark, sf)
+    prep = FeaturePreparator(target="quality", passthrough=["doc_id"], assemble=True).fit(docs)
+    data = LabelMap("quality", "label").fit(docs).transform(prep.transform(docs)).select("doc_id", "label", "features")
+    data = kfold_stratified(data, "label", "doc_id")
+    board = T.train_all(data, "classification", default_models("classification"), refit=False, partitions=1).leaderboard
+    majority = data.groupBy("label").count().agg((F.max("count") / F.sum("count")).alias("share"))
+    scores = [F.col(f"{m}_mean") for m in ("accuracy", "precision", "recall", "f1")]
+    inside = F.lit(True)
+    for c in scores:
+        inside &= (c >= 0) & (c <= 1)
+    return attach_one_row(board, majority).select(
+        "model_name", F.col("error").isNotNull().alias("failed"), (F.col("accuracy_mean") > F.col("share")).alias("beats_majority"),
+        inside.alias("in_range"))
+
+
 # G20 -------------------------------------------------------------------------
 @register("embedding_classifier")
 def q_embedding(spark, sf):
@@ -125,19 +148,19 @@ def q_predict_ols(spark, sf):
 
 
 # J5 --------------------------------------------------------------------------
-_J5_SQL = """with p as (select vec_id, list_transform(embedding[1:3], lambda x: exp(x)) as e from embeddings),
+_J5_SQL = """with p as (select vec_id, list_transform(embedding, lambda x: exp(x)) as e from embeddings),
 q as (select vec_id, list_transform(e, lambda x: x / list_sum(e)) as probs from p)
-select vec_id, ['class_0', 'class_1', 'class_2'][list_position(probs, list_max(probs))] as label,
+select vec_id, 'class_' || (list_position(probs, list_max(probs)) - 1) as label,
   round(list_max(probs), 6) as confidence from q"""
 
 
 @register("topclass_confidence", _J5_SQL)
 def q_topclass(spark, sf):
+    """The softmax of all values of a vector as class probabilities."""
     e = table(spark, sf, "embeddings")
-    ex = F.transform(F.slice("embedding", 1, 3), lambda x: F.exp(x.cast("double")))
-    p = e.select("vec_id", ex.alias("e"))
+    p = e.select("vec_id", F.transform("embedding", lambda x: F.exp(x.cast("double"))).alias("e"))
     p = p.select("vec_id", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)).alias("probs"))
-    names = F.array(F.lit("class_0"), F.lit("class_1"), F.lit("class_2"))
+    names = F.transform("probs", lambda _, i: F.concat(F.lit("class_"), i.cast("string")))
     t = p.select("vec_id", top_class(F.col("probs"), names).alias("t"))
     return t.select("vec_id", F.col("t.label").alias("label"), F.round("t.confidence", 6).alias("confidence"))
 
@@ -169,18 +192,12 @@ def q_saved(spark, sf):
 
 
 # G15-G17 ---------------------------------------------------------------------
-@register("tune_grid")
-def q_tune(spark, sf):
-    grid = [{"C": c} for c in (0.1, 1, 10)]
-    r = TU.tune_model("Logistic Regression", FAST["Logistic Regression"], _tuning_data(spark, sf), "classification",
-                      "grid", grid=grid)
-    return spark.createDataFrame([(str(p), float(s)) for p, s in r.trials], "params string, cv_f1 double")
-
-
 _TUNING: dict = {}
 
 
 def _tuning_data(spark, sf):
+    """The labelled documents, prepared, with folds; built once per session and
+    data folder."""
     key = (id(spark), sf)
     if key not in _TUNING:
         _TUNING[key] = _build_tuning_data(spark, sf)
@@ -188,26 +205,44 @@ def _tuning_data(spark, sf):
 
 
 def _build_tuning_data(spark, sf):
-    d = order_features(spark, sf)
-    prep = FeaturePreparator(target="band", passthrough=["o_orderkey"], assemble=True).fit(d)
-    data = LabelMap("band", "label").fit(d).transform(prep.transform(d)).select("o_orderkey", "label", "features")
-    return kfold_stratified(data, "label", "o_orderkey").cache()
+    d = document_table(spark, sf)
+    prep = FeaturePreparator(target="quality", passthrough=["doc_id"], assemble=True).fit(d)
+    data = LabelMap("quality", "label").fit(d).transform(prep.transform(d)).select("doc_id", "label", "features")
+    return kfold_stratified(data, "label", "doc_id").repartition(1).cache()
+
+
+def _search_row(spark, result):
+    """A search as one row: how many settings were tried, how many of them
+    differ, whether all scores are shares and the best one was taken."""
+    scores = [s for _, s in result.trials]
+    return spark.createDataFrame(
+        [(result.model_name, len(scores), len({str(p) for p, _ in result.trials}), all(0 <= s <= 1 for s in scores),
+          result.best_score == max(scores) and dict(result.trials[scores.index(max(scores))][0]) == result.best_params)],
+        "model_name string, trials int, settings int, in_range boolean, best boolean")
+
+
+@register("tune_grid", "select 'Decision Tree' as model_name, 8 as trials, 8 as settings, true as in_range, true as best")
+def q_tune(spark, sf):
+    """The whole small grid of the decision tree (16 combinations, of which
+    8 come to Spark settings of their own)."""
+    r = TU.tune_model("Decision Tree", FAST["Decision Tree"], _tuning_data(spark, sf), "classification", "grid")
+    return _search_row(spark, r)
 
 
-@register("tune_random")
+@register("tune_random", "select 'Decision Tree' as model_name, 20 as trials, 20 as settings, true as in_range, true as best")
 def q_tune_random(spark, sf):
-    """3 seeded draws from the full decision-tree grid (224 combinations)."""
-    r = TU.tune_model("Decision Tree", FAST["Decision Tree"], _tuning_data(spark, sf), "classification",
-                      "random", n_iter=3)
-    return spark.createDataFrame([(str(p), float(s)) for p, s in r.trials], "params string, cv_f1 double")
+    """20 seeded draws from the full decision-tree grid (224 combinations)."""
+    r = TU.tune_model("Decision Tree", FAST["Decision Tree"], _tuning_data(spark, sf), "classification", "random")
+    return _search_row(spark, r)
 
 
-@register("tune_many")
+@register("tune_many", """select * from (values ('Decision Tree', 20, true), ('Naive Bayes', 1, true)) t(model_name, n_iterations, in_range)""")
 def q_tune_many(spark, sf):
-    """Random search (2 draws each) for two models; score > 0 kept."""
+    """Random search of 20 draws for two models; score > 0 kept (the
+    naive Bayes grid has no setting that Spark knows, so it is fitted once)."""
     board, _ = TU.tune_many({"Naive Bayes": FAST["Naive Bayes"], "Decision Tree": FAST["Decision Tree"]},
-                            _tuning_data(spark, sf), "classification", "random", n_iter=2)
-    return board.drop("tuning_time")
+                            _tuning_data(spark, sf), "classification", "random")
+    return board.select("model_name", "n_iterations", F.col("best_score").between(0, 1).alias("in_range"))
 
 
 # G18 -------------------------------------------------------------------------
