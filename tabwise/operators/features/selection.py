@@ -4,8 +4,9 @@
   sum of squares (one grouped aggregate; the class table has k rows).
 * ``f_regression``: F = r^2 / (1 - r^2) * (n - 2) from one ``corr`` aggregate.
 * ``mutual_info``: binned plug-in estimate.  Each feature is cut into 10
-  equal-count bins exactly like SQL ``ntile(10)`` over (value, key) -- the
-  ranks come from the distributed ``group_rank`` -- then
+  equal-count bins exactly like SQL ``ntile(10)`` over (value, key): the
+  last row of every bin is found by distributed selection, every row is
+  compared with these few and only counted, nothing is sorted -- then
   MI = sum p(b, y) ln(p(b, y) / (p(b) p(y))) over the contingency table.
   A numeric (regression) target is binned the same way.  (The reference's
   estimator is a randomised k-NN one; the binned form is deterministic.)
@@ -15,11 +16,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tabwise.functions.frames import attach_one_row
 from tabwise.operators.features.base import JsonEstimator, StateModel, qcol
-from tabwise.operators.ranking import group_rank, ntile_from_rank
+from tabwise.operators.quantiles import rank_tuples
+from tabwise.session import written
 
 
 def f_classif(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
@@ -56,39 +60,70 @@ def f_regression(df: DataFrame, features: Sequence[str], label: str) -> DataFram
     return t.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def _ordered(c: Column, kind: T.DataType) -> Column:
+    """The column as something to select ranks of: a null is the least value."""
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        c, kind = (F.unix_date(c) if isinstance(kind, T.DateType) else F.unix_micros(c.cast("timestamp"))), T.LongType()
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.coalesce(c.cast("double"), F.lit(float("-inf")))
+    if isinstance(kind, T.DecimalType):
+        return F.coalesce(c, F.lit(-(10 ** (kind.precision - kind.scale) - 1)).cast(kind))
+    return F.coalesce(c.cast("long"), F.lit(-(2**63)))
+
+
+def _cut_arrays(long: DataFrame, order: Sequence[str], bins: int) -> DataFrame:
+    """(feature, cuts): per feature the (value, key...) tuples of the last rows
+    of its bins but the last one, when the bins are those of ``ntile(bins)``."""
+    size = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    ends = size.select("feature", F.col("n"), F.explode(F.sequence(F.lit(1), F.lit(bins - 1))).alias("p")).select(
+        "feature", "p", (F.col("p") * F.expr(f"n div {bins}") + F.least(F.col("p"), F.col("n") % bins)).alias("r"))
+    # fewer rows than bins: every row ends a bin
+    cuts = rank_tuples(long, "feature", order, written(ends.filter("r > 0").dropDuplicates(["feature", "r"])))
+    return cuts.groupBy("feature").agg(F.collect_list(F.struct(*order)).alias("cuts"))  # at most bins - 1 of them
+
+
 def mutual_info(df: DataFrame, features: Sequence[str], label: str, key: str | Sequence[str] | None = None,
                 bins: int = 10, discrete_target: bool = True) -> DataFrame:
-    """Ties in a feature are broken by ``key`` (unique key columns) so the
-    bins equal SQL ``ntile(bins) over (order by value, key...)``; without a
-    key a generated tie-breaker spreads ties over range partitions (rows
-    with equal value and label are interchangeable in the counts)."""
+    """Ties in a feature are broken by ``key`` (unique columns of numbers or
+    dates), so that the bins are SQL's ``ntile(bins) over (order by value,
+    key...)``. Without a key a hash of the row breaks ties and rows that are
+    alike stay in one bin. Keys of other types (texts) are hashed, too. A null
+    is the least value; an empty table gives no rows."""
     feats = list(features)
     keys = [key] if isinstance(key, str) else list(key or [])
-    kc = [f"_k{i}" for i in range(len(keys))]
-    base = df.select(*[qcol(k).alias(n) for k, n in zip(keys, kc)], qcol(label).alias("_y"),
-                     *[qcol(c) for c in feats])
-    if not kc:
-        base = base.withColumn("_k0", F.monotonically_increasing_id())
-        kc = ["_k0"]
-    base = base.withColumn("_row", F.monotonically_increasing_id())
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    plain = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    if not keys or not all(isinstance(kinds[k], plain) for k in keys):
+        tie = [F.xxhash64(*[qcol(c) for c in (keys or [*feats, label])])]
+    else:
+        tie = [_ordered(qcol(k), kinds[k]) for k in keys]
+    kc = [f"_k{i}" for i in range(len(tie))]
+    order = ["value", *kc]
+    base = df.select(*[c.alias(n) for c, n in zip(tie, kc, strict=True)], qcol(label).alias("_y"), *[
+        _ordered(qcol(c).cast("double"), T.DoubleType()).alias(f"_x{i}") for i, c in enumerate(feats)])
+
+    names = [f"_x{i}" for i in range(len(feats))]
     if not discrete_target:
-        yr = group_rank(base.select("_row", "_y", *kc), [], ["_y", *kc, "_row"], name="_yr", with_group_size="_yn")
-        yb = yr.select("_row", ntile_from_rank(F.col("_yr"), F.col("_yn"), bins).cast("string").alias("_yb"))
-        base = base.drop("_y").join(yb, "_row").withColumnRenamed("_yb", "_y")
-    long = base.select(*kc, "_row", F.col("_y").cast("string").alias("_y"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), qcol(c).cast("double").alias("value")) for c in feats])).alias("r")
-    ).select(*kc, "_row", "_y", "r.feature", "r.value")
-    ranked = group_rank(long, ["feature"], ["value", *kc, "_row"], name="_r", with_group_size="_n")
-    binned = ranked.withColumn("_b", ntile_from_rank(F.col("_r"), F.col("_n"), bins))
-    joint = binned.groupBy("feature", "_b", "_y").agg(F.count(F.lit(1)).alias("nxy"), F.first("_n").alias("n"))
-    from pyspark.sql import Window
-    wb = Window.partitionBy("feature", "_b")
-    wy = Window.partitionBy("feature", "_y")
-    j = joint.withColumn("nx", F.sum("nxy").over(wb)).withColumn("ny", F.sum("nxy").over(wy))
+        names.append("_y")
+        base = base.withColumn("_y", _ordered(F.col("_y").cast("double"), T.DoubleType()))
+    long = base.select(*kc, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in names])).alias("r")).select(*kc, "r.*")
+    cuts = _cut_arrays(long, order, bins).agg(*[
+        F.first(F.when(F.col("feature") == c, F.col("cuts")), ignorenulls=True).alias(f"{c}_cuts") for c in names])
+
+    def cell(c: str) -> Column:
+        own = F.struct(F.col(c).alias("value"), *kc)
+        return (F.size(F.filter(f"{c}_cuts", lambda cut: cut < own)) + 1).alias(c)
+    # the cuts of all features are one row; every row of the table compares itself with them
+    cells = attach_one_row(base, written(cuts)).select(*map(cell, names), *(["_y"] if discrete_target else []))
+    joint = cells.select(F.col("_y").cast("string").alias("_y"), F.explode(F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.col(f"_x{i}").alias("_b"))
+        for i, c in enumerate(feats)])).alias("r")).groupBy("r.position", "r.feature", "r._b", "_y").agg(
+            F.count(F.lit(1)).alias("nxy"))
+    by = lambda *c: Window.partitionBy("feature", *c)
+    j = joint.withColumns({"n": F.sum("nxy").over(by()), "nx": F.sum("nxy").over(by("_b")), "ny": F.sum("nxy").over(by("_y"))})
     term = (F.col("nxy") / F.col("n")) * F.log((F.col("nxy") * F.col("n")) / (F.col("nx") * F.col("ny")))
-    pos = F.create_map(*[x for i, c in enumerate(feats) for x in (F.lit(c), F.lit(i))])
-    return j.groupBy("feature").agg(F.sum(term).alias("score")).select(
-        pos[F.col("feature")].alias("position"), "feature", "score")
+    return j.groupBy("position", "feature").agg(F.sum(term).alias("score"))
 
 
 class SelectKBest(JsonEstimator):

@@ -78,33 +78,82 @@ def _counted(long: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFram
         F.when(F.col("held"), MARGIN).when(F.col("open"), F.col("margin") * 10).otherwise(F.col("margin")).alias("margin"))
 
 
-def _select(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(keys..., p, value) by selection in ``long`` (keys..., value)."""
-    first = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), _grid(F.col("value")).alias("grid"))
-    pos = [F.struct(F.lit(float(p)).alias("p"), (F.lit(1.0) + (F.col("m") - 1) * F.lit(float(p))).alias("pos"))
-           for p in probs]
-    state = first.select(*keys, "m", "grid", F.explode(F.array(*pos)).alias("q")).select(
-        *keys, "q.p", "q.pos", F.floor("q.pos").alias("r1"), F.ceil("q.pos").alias("r2"),
-        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0).cast("long").alias("below"),
-        "m", "grid", F.lit(MARGIN).alias("margin"))
+def _brackets(long: DataFrame, keys: Sequence[str], state: DataFrame) -> DataFrame:
+    """The last brackets of ``state`` (keys..., p, pos, r1, r2, m, grid)."""
+    kind = long.schema["value"].dataType
+    state = state.withColumns({"lo": F.lit(None).cast(kind), "hi": F.lit(None).cast(kind),
+                               "below": F.lit(0).cast("long"), "margin": F.lit(MARGIN)})
     # one row a key and probability: written, so that no pass repeats an earlier one
     state = written(_narrowed(state))
     while state.filter("open").limit(1).count():
         state = written(_narrowed(_counted(long, state, keys)))
+    return state
+
+
+def _ranked(long: DataFrame, keys: Sequence[str], state: DataFrame) -> DataFrame:
+    """The distinct values inside the last brackets with the numbers of rows
+    below (``rank``) and up to (``last``) each, beside pos, r1 and r2."""
     by = [*keys, "p"]
     left = _joined(long, state.select(*by, "lo", "hi"), keys).filter(_inside(F.col("value")))
     values = left.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = _joined(values.withColumn("upto", F.sum("c").over(upto)), state.select(*by, "pos", "r1", "r2", "below"), by)
-    last, rank = F.col("below") + F.col("upto"), F.col("below") + F.col("upto") - F.col("c")
+    return ranked.withColumns({"last": F.col("below") + F.col("upto"), "rank": F.col("below") + F.col("upto") - F.col("c")})
+
+
+def _summary(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return long.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), _grid(F.col("value")).alias("grid"))
+
+
+def _select(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(keys..., p, value) by selection in ``long`` (keys..., value)."""
+    pos = [F.struct(F.lit(float(p)).alias("p"), (F.lit(1.0) + (F.col("m") - 1) * F.lit(float(p))).alias("pos"))
+           for p in probs]
+    state = _summary(long, keys).select(*keys, "m", "grid", F.explode(F.array(*pos)).alias("q")).select(
+        *keys, "q.p", "q.pos", F.floor("q.pos").alias("r1"), F.ceil("q.pos").alias("r2"), "m", "grid")
+    by = [*keys, "p"]
+    ranked = _ranked(long, keys, _brackets(long, keys, state))
 
     def at(r: str) -> Column:
-        return F.max(F.when((F.col(r) > rank) & (F.col(r) <= last), F.col("value")))
+        return F.max(F.when((F.col(r) > F.col("rank")) & (F.col(r) <= F.col("last")), F.col("value")))
     agg = ranked.groupBy(*by, "pos").agg(at("r1").alias("_lo"), at("r2").alias("_hi"))
     frac = F.col("pos") - F.floor("pos")
     return agg.select(*by, (F.col("_lo") + frac * (F.col("_hi") - F.col("_lo"))).alias("value"))
 
 
+def select_ranks(long: DataFrame, keys: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """The value of every rank asked for: ``wanted`` (keys..., p, r; ranks from
+    1) gives (keys..., p, value, r), r being the rank among the rows that equal
+    the value. ``long`` (keys..., value) has no null values; it is only
+    aggregated."""
+    by = [*keys, "p"]
+    rank = F.col("r").cast("double").alias("pos"), F.col("r").alias("r1"), F.col("r").alias("r2")
+    state = _joined(wanted.select(*by, "r"), _summary(long, keys), keys).select(*by, *rank, "m", "grid")
+    hit = (F.col("r1") > F.col("rank")) & (F.col("r1") <= F.col("last"))
+    return _ranked(long, keys, _brackets(long, keys, state)).filter(hit).select(
+        *by, "value", (F.col("r1") - F.col("rank")).alias("r"))
+
+
+def rank_tuples(rows: DataFrame, group: str, columns: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """The tuple of ``columns`` at every rank asked for, in their lexicographic
+    order: ``wanted`` (group, p, r) gives (group, p, columns...). Column after
+    column is selected among the rows that equal the columns chosen before, so
+    that nothing is sorted. Numbers and dates without nulls only."""
+    found = wanted
+    for i, c in enumerate(columns):
+        if i == 0:
+            picked = select_ranks(rows.select(group, F.col(c).alias("value")), [group], found)
+        else:
+            tied = _joined(rows, found.drop("r").withColumnRenamed("p", "__p"), [group, *columns[:i]]).select(
+                group, "__p", F.col(c).alias("value"))
+            picked = select_ranks(tied, [group, "__p"], found.select(
+                group, F.col("p").alias("__p"), F.lit(0).alias("p"), "r")).select(
+                group, F.col("__p").alias("p"), F.col("value").alias("__value"), "r")
+            picked = _joined(picked, found.drop("r"), [group, "p"]).withColumn(c, F.col("__value")).drop("__value")
+        found = written(picked.withColumnRenamed("value", c) if i == 0 else picked)
+    return found.drop("r")
+
+
 def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
 
