@@ -70,7 +70,9 @@ def tree_tables(model: Model, class_index: int = 1) -> tuple[list[dict], list[fl
                   "value": np.array(t.value), "cover": np.array(t.cover), "cats": {}} for t in grown]
         leaf = {"left": np.array([-1]), "right": np.array([-1]), "feat": np.array([-1]), "thr": np.zeros(1),
                 "value": np.array([start]), "cover": np.ones(1), "cats": {}}
-        return [leaf, *trees], [sign] * (len(trees) + 1), "margin" if "Classification" in type(model).__name__ else "prediction"
+        name = type(model).__name__
+        kind = "prediction" if "Classification" not in name else "probability" if "ExtraTrees" in name else "margin"
+        return [leaf, *trees], [sign] * (len(trees) + 1), kind
     spark = SparkSession.getActiveSession()
     path = os.path.join(ensure_checkpoint_dir(spark), "tabwise-models", uuid.uuid4().hex)
     model.write().overwrite().save(path)

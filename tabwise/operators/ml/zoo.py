@@ -9,7 +9,7 @@ libraries:
 * "XGBoost"  -> 100 rounds, step 0.3, depth 6, square penalty 1, child hessian 1
 * "LightGBM" -> 100 rounds, step 0.1, grown by leaf to 31 leaves, 20 rows a child
   (in at most 6 levels, as every level is a pass; ``maxDepth=-1`` lifts that)
-* "Extra Trees" -> Spark's random forest without bootstrap
+* "Extra Trees" -> the library's own extremely randomised trees (``extra_trees``)
 
 Penalties follow the sklearn objectives: logistic ``C`` -> ``regParam = 1 / (C n)``
 (and sklearn's convergence tolerance 1e-4 for the linear solvers),
@@ -29,6 +29,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, Logist
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 
 from tabwise.operators.ml.boosting import BoostedClassifier, BoostedRegressor
+from tabwise.operators.ml.extra_trees import ExtraTreesClassifier, ExtraTreesRegressor
 
 SEED = 42
 TREE_DEPTH = 30          # no depth limit: Spark's maximum
@@ -81,8 +82,7 @@ CLASSIFIERS: dict[str, Factory] = {
     "Gradient Boosting": _boosted("classification", **SKLEARN_PROFILE),
     "Logistic Regression": lambda f: LogisticRegression(maxIter=1000, regParam=1.0 / max(f.n, 1), elasticNetParam=0.0,
                                                         standardization=False, family="auto", tol=1e-4),
-    "Extra Trees": lambda f: RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", bootstrap=False,
-                                                    maxDepth=TREE_DEPTH, seed=SEED, **TREE_KW),
+    "Extra Trees": lambda f: ExtraTreesClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=TREE_DEPTH, seed=SEED),
 }
 
 REGRESSORS: dict[str, Factory] = {
@@ -93,8 +93,7 @@ REGRESSORS: dict[str, Factory] = {
     "Gradient Boosting": _boosted("regression", **SKLEARN_PROFILE),
     "Ridge Regression": lambda f: LinearRegression(regParam=1.0 * f.label_std / max(f.n, 1), elasticNetParam=0.0,
                                                    standardization=False),
-    "Extra Trees": lambda f: RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", bootstrap=False,
-                                                   maxDepth=TREE_DEPTH, seed=SEED, **TREE_KW),
+    "Extra Trees": lambda f: ExtraTreesRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=TREE_DEPTH, seed=SEED),
 }
 
 # Models the reference can add on request

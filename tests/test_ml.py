@@ -81,7 +81,7 @@ def test_compare_before_after(spark):
 
 
 def test_zoo_profiles_and_mappings(spark):
-    from pyspark.ml.classification import RandomForestClassifier
+    from tabwise.operators.ml.extra_trees import ExtraTreesClassifier
     f2, f3 = zoo.DataFacts(n=1000, classes=2), zoo.DataFacts(n=1000, classes=3)
     xgb = zoo.CLASSIFIERS["XGBoost"](f2).settings()
     assert (xgb.step, xgb.depth, xgb.rounds, xgb.by_leaf) == (0.3, 6, 100, False)
@@ -89,7 +89,7 @@ def test_zoo_profiles_and_mappings(spark):
     assert (lgbm.step, lgbm.leaves, lgbm.by_leaf) == (0.1, 31, True)
     assert zoo.CLASSIFIERS["Gradient Boosting"](f3).settings().depth == 3
     et = zoo.CLASSIFIERS["Extra Trees"](f2)
-    assert isinstance(et, RandomForestClassifier) and et.getBootstrap() is False and et.getNumTrees() == 100
+    assert isinstance(et, ExtraTreesClassifier) and et.getOrDefault("numTrees") == 100
     lr = zoo.CLASSIFIERS["Logistic Regression"](f2)
     assert math.isclose(lr.getRegParam(), 1 / 1000)
     ridge = zoo.REGRESSORS["Ridge Regression"](zoo.DataFacts(n=100, label_std=2.0))
