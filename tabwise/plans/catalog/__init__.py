@@ -8,3 +8,4 @@ from tabwise.plans.catalog import split_q  # noqa: F401
 from tabwise.plans.catalog import ml_q  # noqa: F401
 from tabwise.plans.catalog import explain_q  # noqa: F401
 from tabwise.plans.catalog import io_q  # noqa: F401
+from tabwise.plans.catalog import image_q  # noqa: F401

@@ -8,7 +8,7 @@ one-feature ridge fit and its predictions do have a closed form
 from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from tabwise.operators.ml import train as T
@@ -99,6 +99,31 @@ def q_zoo(spark, sf):
     return board.select("model_name", F.col("error").isNotNull().alias("failed"), inside.alias("in_range"))
 
 
+# G7 --------------------------------------------------------------------------
+@register("extra_trees", """select count(*) as n_docs, 100 as n_trees, true as whole, true as drawn, true as learned
+  from documents join labels using (doc_id)""")
+def q_extra_trees(spark, sf):
+    """The forest of all labelled documents. ``whole``: every root covers them
+    all (no bootstrap); ``drawn``: fewer than one threshold in ten is a value of
+    its feature; ``learned``: it tells the documents apart better than the
+    commonest class does."""
+    docs = document_table(spark, sf)
+    prep = FeaturePreparator(target="quality", passthrough=["doc_id"], assemble=True).fit(docs)
+    data = LabelMap("quality", "label").fit(docs).transform(prep.transform(docs)).select("label", "features").persist()
+    model = CLASSIFIERS["Extra Trees"](T.data_facts(data, "classification")).fit(data)
+    trees = model.margin_trees(1)[1]
+    drawn = spark.createDataFrame(sorted({(f, t) for tree in trees[:10] for f, t in zip(tree.feature, tree.threshold)
+                                          if f >= 0}), "f int, x double")
+    hit = data.select(F.posexplode(vector_to_array("features")).alias("f", "x")).join(F.broadcast(drawn), ["f", "x"])
+    hits, draws = hit.distinct().count(), drawn.count()
+    of_classes = model.transform(data).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("right"))
+    return of_classes.agg(
+        F.sum("n").alias("n_docs"), F.lit(len(trees)).alias("n_trees"),
+        (F.sum("n") == F.lit(int(min(t.cover[0] for t in trees)))).alias("whole"),
+        F.lit(10 * hits < draws).alias("drawn"), (F.sum("right") > F.max("n")).alias("learned"))
+
+
 # G20 -------------------------------------------------------------------------
 @register("embedding_classifier")
 def q_embedding(spark, sf):

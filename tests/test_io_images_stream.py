@@ -121,3 +121,17 @@ def test_ui_image_rule(spark, tmp_dir):
     t = resize_normalize(imgs, size=4, ui=True).first()
     assert all(abs(v - 1.0) < 1e-6 for v in t["tensor"])                    # white, cropped, [0, 1]
     assert image_preview(resize_normalize(imgs, size=4, ui=True), 8).count() == 1
+
+
+def test_written_images_are_read_back(spark, tmp_path):
+    from tabwise.sources.images import load_images, write_images
+    root = str(tmp_path / "made")
+    rows = [("a/x.png", 2, 1, 3, bytearray([1, 2, 3, 250, 0, 9])), ("a/y.png", 1, 2, 1, bytearray([7, 8])),
+            ("b/short.png", 2, 2, 3, bytearray([1, 2])), ("b/none.png", 2, 2, 3, None)]
+    images = spark.createDataFrame(rows, "relative_path string, width int, height int, channels int, pixels binary")
+    assert write_images(images.repartition(3), root) == 4 and write_images(images, root) == 4  # again: the same files
+    got = {r["path"].split("made/")[1]: r for r in load_images(spark, root).collect()}
+    assert len(got) == 4 and bytes(got["a/x.png"]["data"]) == bytes([3, 2, 1, 9, 0, 250])  # BGR
+    assert bytes(got["a/y.png"]["data"]) == bytes([7, 8]) and got["a/y.png"]["height"] == 2
+    assert got["b/short.png"]["height"] == -1 and got["b/none.png"]["height"] == -1
+    assert write_images(images.limit(0), str(tmp_path / "no")) == 0
