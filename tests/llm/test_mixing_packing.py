@@ -57,6 +57,48 @@ def test_mix_deviates_by_less_than_a_block(spark):
     assert dict(seen) == sizes
 
 
+def slots_of(weights, blocks):
+    out = {}
+    for p in mixing.phases(weights, blocks):
+        for k in range(p["first"], p["last"]):
+            j = k - p["first"]
+            out[p["start"] + j // p["weight"] * p["period"] + p["places"][j % p["weight"]]] = p["source"]
+    return [out[i] for i in range(sum(blocks.values()))]
+
+
+def test_targets_are_kept_over_many_blocks():
+    for targets, n in (({"a": 1 / 3, "b": 2 / 3}, 90_000), ({"a": 0.1, "b": 0.2, "c": 0.7}, 50_000),
+                       ({"a": 1e-5, "b": 1 - 1e-5}, 300_000), ({"a": 2.0, "b": 5.0, "c": 7 / 3}, 60_000)):
+        whole = mixing.integer_weights(targets, mixing.periods(len(targets)))
+        total, seen = sum(targets.values()), dict.fromkeys(targets, 0)
+        for t, s in enumerate(slots_of(whole, {s: int(w / total * n) + 1 for s, w in targets.items()})[:n], 1):
+            seen[s] += 1
+            if t % 997 == 0 or t > n - 50:
+                assert all(abs(seen[x] - targets[x] / total * t) < 1 + 1e-6 for x in targets)
+
+
+def test_weights_of_many_sources_differ():
+    sizes = {f"s{i}": i + 1 for i in range(2000)}
+    whole = mixing.integer_weights({s: n ** 0.5 for s, n in sizes.items()}, mixing.periods(2000))
+    assert len(set(whole.values())) > 4 and whole["s1999"] > 4 * whole["s50"]
+    roots = {f"s{i}": n ** 0.5 for i, n in enumerate([10**6, 5000, 70, 3])}
+    whole = mixing.integer_weights(roots, mixing.periods(4))
+    assert all(abs(whole[s] / sum(whole.values()) - w / sum(roots.values())) < 1e-5 for s, w in roots.items())
+
+
+def test_phases_shorter_than_a_period():
+    weights, blocks = {"a": 70_000, "b": 29_999, "c": 1}, {"a": 40, "b": 300, "c": 3}
+    assert slots_of(weights, blocks) == brute_force(weights, blocks)
+    assert max(len(p["places"]) for p in mixing.phases(weights, blocks)) <= 300
+
+
+def test_ranks_do_not_depend_on_the_buckets(spark, monkeypatch):
+    docs = frame(spark, [(i, f"t{i}", "a" if i % 3 else "b") for i in range(500)])
+    want = {r["doc_id"]: r["mix_position"] for r in mixing.mix(docs).collect()}
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
+    assert {r["doc_id"]: r["mix_position"] for r in mixing.mix(docs).collect()} == want
+
+
 def test_mix_edges(edges, empty, edge_rows):
     for weights in (None, {"a": 2.0, "b": 1.0, "absent": 5.0}):
         rows = mixing.mix(edges, weights, block_rows=3).collect()
