@@ -148,7 +148,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature
         "__order": F.xxhash64(F.lit(seed), *[F.col(c) for c in docs.columns if c not in new])})
     sizes = {r["mix_source"]: r["n"] for r in rows.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).collect()}
     # ranks do not depend on the number of buckets: these are the leading bits of what orders the rows
-    bits = max(4, math.ceil(math.log2(max(sizes.values(), default=1) / BUCKET_ROWS)))
+    bits = max(10, math.ceil(math.log2(max(sizes.values(), default=1) / BUCKET_ROWS)))
     rows = rows.withColumn("__bucket", F.shiftrightunsigned("__order", 64 - bits).cast("int"))
     counts = rows.groupBy("mix_source", "__bucket").agg(F.count(F.lit(1)).alias("n"))
     blocks = {s: -(-n // block_rows) for s, n in sizes.items()}
