@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tabwise.functions.frames import attach_one_row
 from tabwise.operators.quantiles import quantile_map
+from tabwise.session import default_parallelism
 
 
 def _output(scored: DataFrame, kind: str, class_index: int) -> Column:
@@ -97,6 +98,12 @@ def _outer(a: Column) -> Column:
     return F.flatten(F.transform(a, lambda u: F.transform(a, lambda v: u * v)))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """The rows over all tasks: few rows lie in few partitions, but each of them
+    makes thousands of synthetic ones."""
+    return rows.repartition(default_parallelism(rows.sparkSession), "row_id")
+
+
 def kernel_shap(model: Model, rows: DataFrame, background: DataFrame, feature_names: Sequence[str], row_id: str,
                 features_col: str = "features", n_samples: int = 2048, class_index: int = 1,
                 seed: int = 42) -> DataFrame:
@@ -118,7 +125,7 @@ def kernel_shap(model: Model, rows: DataFrame, background: DataFrame, feature_na
         inverse = np.linalg.pinv(sums["aa"].toArray().reshape(M - 1, M - 1))
         solver = spark.createDataFrame([([r.tolist() for r in inverse], (inverse @ sums["am"].toArray()).tolist())],
                                        "inverse array<array<double>>, last array<double>")
-    x = rows.select(F.col(row_id).cast("string").alias("row_id"), vector_to_array(features_col).alias("_x"))
+    x = _spread(rows.select(F.col(row_id).cast("string").alias("row_id"), vector_to_array(features_col).alias("_x")))
     base = background.select(vector_to_array(features_col).alias("b")).agg(F.collect_list("b").alias("_bg"))
     # number -1 is the row itself, -2 the background alone
     syn = attach_one_row(x.select("row_id", "_x", F.explode(F.sequence(F.lit(-2), F.lit(count - 1))).alias("_z")), base)
@@ -163,7 +170,7 @@ def lime(model: Model, rows: DataFrame, train: DataFrame, feature_names: Sequenc
     qm = quantile_map(tr, cols, probs)
     features = spark.createDataFrame([([(n, [float(qm[(c, p)]) for p in probs]) for n, c in zip(feature_names, cols)],)],
                                      "_f array<struct<name:string, e:array<double>>>")
-    x = rows.select(F.col(row_id).cast("string").alias("row_id"), vector_to_array(features_col).alias("_x"))
+    x = _spread(rows.select(F.col(row_id).cast("string").alias("row_id"), vector_to_array(features_col).alias("_x")))
 
     def own_bin(v: Column, e: Column) -> Column:
         return F.when(v <= e[1], 0).when(v <= e[2], 1).when(v <= e[3], 2).otherwise(3)

@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwise.session import ensure_checkpoint_dir
+from tabwise.session import default_parallelism, ensure_checkpoint_dir
 
 
 def _tree_arrays(nodes: list, classification_probs: bool, class_index: int) -> dict:
@@ -186,7 +186,9 @@ def tree_shap(model: Model, df: DataFrame, feature_names: Sequence[str], row_id:
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast((trees, weights))
     names = list(feature_names)
-    x = df.select(F.col(row_id).cast("string").alias("row_id"), vector_to_array(F.col(features_col)).alias("x"))
+    # small frames lie in few partitions; every row costs trees x leaves x depth
+    x = df.select(F.col(row_id).cast("string").alias("row_id"), vector_to_array(F.col(features_col)).alias("x")).repartition(
+        default_parallelism(spark), "row_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ts, ws = bc.value
