@@ -98,6 +98,28 @@ def test_far_cells_are_not_visited(spark, small_cells):
     assert far.any() and (~far).any() and (lower[0, far] > 1e11).all() and (upper[0, ~far] < 1e3).all()
 
 
+def test_queries_that_share_one_column_visit_few_cells(spark, small_cells):
+    """The cells are narrow in the columns that a query shares with the rows,
+    also when the other columns are much wider; rows that are alike there are
+    kept once."""
+    rng = random.Random(11)
+    rows = [(i, rng.random(), 1e6 * rng.random(), 1e6 * rng.random()) for i in range(2000)]
+    rows += [(5000 + i, 0.5, 1e6 * rng.random(), 1e6 * rng.random()) for i in range(2000)]
+    x = table(spark, rows).select(F.col("id").alias("key"), neighbors.vector(COLUMNS).alias("x"))
+    dealt, cells = neighbors._into_cells(x, 3, ["100"], False, 3)
+    assert dealt.count() == 2003 and dealt.agg(F.max("key")).first()[0] == 5002 and len(cells.ids) > 60
+    forest, q = cells.forest, np.array([[i / 100, np.nan, np.nan] for i in range(100)])
+    limits = np.where(np.arange(4) == 3, 1e-6, -1.0) * np.ones((100, 1))
+    visited = sum(len(cell) for _, cell in forest.within(q, forest.roots_of("100"), limits))
+    assert visited < 300
+
+
+def test_work_is_dealt_by_cells_not_by_bytes(spark):
+    """Adaptive execution may not put the small rows of many cells into one task."""
+    df = neighbors.knn_self_join(table(spark, rows_of(6, 60)), COLUMNS, "id", 2)
+    assert df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 2
+
+
 def test_plan_has_no_cross_join(spark):
     rows = table(spark, rows_of(6, 60))
     df = neighbors.knn_self_join(rows, COLUMNS, "id", 2)
