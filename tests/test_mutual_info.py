@@ -75,3 +75,20 @@ def test_rows_are_counted_not_sorted(spark, rows):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and "SortMergeJoin" not in plan and "Cartesian" not in plan
+
+
+def test_few_rows_in_the_brackets_end_the_selection(spark, rows, monkeypatch):
+    """Columns behind the first one whose brackets hold few rows are not
+    selected one by one, each by scans of the whole table."""
+    calls, brackets = [], quantiles._brackets
+    monkeypatch.setattr(quantiles, "_brackets", lambda *a: calls.append(1) or brackets(*a))
+    df = spark.createDataFrame([("g", float(r[0] % 5), r[0], r[0] % 3) for r in rows], "g string, x double, k long, l long")
+    want = sorted((float(r[0] % 5), r[0], r[0] % 3) for r in rows)
+    got = quantiles.rank_tuples(df, "g", ["x", "k", "l"], spark.createDataFrame([("g", 1, 300), ("g", 2, 301)], "g string, p int, r long"))
+    assert {r["p"]: (r["x"], r["k"], r["l"]) for r in got.collect()} == {1: want[299], 2: want[300]}
+    assert len(calls) == 1
+
+
+def test_bins_are_found_by_compiled_comparisons(spark, rows):
+    out = mutual_info(spark.createDataFrame(rows, SCHEMA), ["z"], "z", "k1", discrete_target=False)
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
