@@ -167,6 +167,16 @@ def test_imputer_equals_all_pairs(spark, small_cells):
     close(imputed(spark, new, fit, k=3), imputed_by_force(new, fit, 3))
 
 
+def test_targets_are_sought_only_where_they_are(spark, small_cells):
+    """A query for a missing column visits no cell whose rows lack it."""
+    rows = [(i, i / 500, None if i % 2 else float(i), None) for i in range(500)]
+    x = table(spark, rows).select(F.col("id").alias("key"), neighbors.vector(COLUMNS).alias("x"))
+    _, cells = neighbors._into_cells(x, 3, ["100"], False, 3)
+    forest, q = cells.forest, np.array([[0.5, np.nan, np.nan]])
+    seen = np.concatenate([c for _, c in forest.within(q, forest.roots_of("100"), np.array([[-1.0, np.inf, -1.0, -1.0]]))])
+    assert len(seen) and (forest.counts[seen, 1] > 0).all() and len(seen) < len(cells.ids)
+
+
 def test_imputer_without_key(spark, small_cells):
     """Values without ties are filled alike with and without a key; columns
     without any value stay missing; the result does not depend on the order."""
