@@ -135,3 +135,15 @@ def test_nothing_to_split(spark):
     assert one.transform(frame(spark, x[:1], np.zeros(1))).first()["prediction"] == 3.5
     with pytest.raises(ValueError):
         E.ExtraTreesRegressor().fit(frame(spark, x, np.ones(8)).limit(0))
+
+
+def test_sums_reach_the_driver_once(spark, monkeypatch):
+    """Arrays are added up in tasks, in the order of the partitions; ``finish``
+    sees each range of slots once."""
+    monkeypatch.setattr(E, "RANGE", 4)
+    parts = np.random.default_rng(1).random((5, 11, 2))
+    sums = spark.sparkContext.parallelize(list(parts), 5)
+    whole, = E._reduced(sums, np.add, 11)
+    assert (whole == (((parts[0] + parts[1]) + parts[2]) + parts[3]) + parts[4]).all()
+    at, least = E._reduced(sums, np.minimum, 11, lambda lo, a: (np.arange(lo, lo + len(a)), a[:, 0]))
+    assert (at == np.arange(11)).all() and (least == parts.min(axis=0)[:, 0]).all()
