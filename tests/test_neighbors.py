@@ -177,6 +177,22 @@ def test_targets_are_sought_only_where_they_are(spark, small_cells):
     assert len(seen) and (forest.counts[seen, 1] > 0).all() and len(seen) < len(cells.ids)
 
 
+def test_rows_are_dealt_by_number_not_by_bytes(spark, small_cells, monkeypatch):
+    """A task that shows rows to the trees or deals them gets a bounded number."""
+    monkeypatch.setattr(neighbors, "TASK_VIEWED", 50)
+    x = table(spark, rows_of(12, 300, missing=0.0)).coalesce(1).select(F.col("id").alias("key"), neighbors.vector(COLUMNS).alias("x"))
+    dealt, _ = neighbors._into_cells(x, 3, ["110"], False, 3)
+    assert dealt.count() == 300 and max(dealt.groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 60
+
+
+def test_whole_rows_do_not_meet_in_one_partition(spark):
+    from tabwise.operators.features.impute import _meeting
+    df = table(spark, rows_of(13, 200, missing=0.0)).withColumn("__x", neighbors.vector(COLUMNS)).withColumn(
+        "__id", F.when(F.col("id") == 0, "a"))
+    assert df.select(_meeting("__x", "__id").alias("m")).distinct().count() == 200
+    assert df.filter(_meeting("__x", "__id") == "a").count() == 1
+
+
 def test_imputer_without_key(spark, small_cells):
     """Values without ties are filled alike with and without a key; columns
     without any value stay missing; the result does not depend on the order."""
