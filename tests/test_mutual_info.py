@@ -92,3 +92,21 @@ def test_few_rows_in_the_brackets_end_the_selection(spark, rows, monkeypatch):
 def test_bins_are_found_by_compiled_comparisons(spark, rows):
     out = mutual_info(spark.createDataFrame(rows, SCHEMA), ["z"], "z", "k1", discrete_target=False)
     assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ties_in_the_first_column_cost_no_further_selection(spark, rows, monkeypatch):
+    """Tuples are bracketed whole, also where a value alone holds more rows than
+    a bracket, and a sample that is far too small does not change the result."""
+    calls, brackets = [], quantiles._brackets
+    monkeypatch.setattr(quantiles, "_brackets", lambda *a: calls.append(1) or brackets(*a))
+    monkeypatch.setattr(quantiles, "BRACKET", 20)
+    data = [("g", float(r[0] % 2), r[0] % 7, r[0]) for r in rows] + [("h", 1.0, 1, 1)] * 300 + [("h", 1.0, 1, 2)]
+    df = spark.createDataFrame(data, "g string, x double, k long, l long")
+    asked = [(g, p, r) for g, last in (("g", len(rows)), ("h", 301)) for p, r in enumerate((1, 100, 299, last))]
+    wanted = spark.createDataFrame(asked, "g string, p int, r long")
+    want = {(g, p): sorted(d for d in data if d[0] == g)[r - 1][1:] for g, p, r in asked}
+    for sample in (1_000_000, 200):
+        monkeypatch.setattr(quantiles, "SAMPLE", sample)
+        got = quantiles.rank_tuples(df, "g", ["x", "k", "l"], wanted)
+        assert {(r["g"], r["p"]): (r["x"], r["k"], r["l"]) for r in got.collect()} == want
+    assert len(calls) == 2
