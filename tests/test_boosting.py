@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -159,3 +159,27 @@ def test_zoo_profiles_in_a_leaderboard(spark):
                                                                           "n_estimators": 50, "max_depth": -1}, zoo.DataFacts())
     s = tuned.settings()
     assert (s.leaves, s.step, s.rounds, s.depth, s.by_leaf) == (15, 0.05, 50, 10, True)
+
+
+@pytest.mark.parametrize("settings", [{"maxDepth": 3}, {"growth": "leaf", "maxLeaves": 6, "maxDepth": 6, "subsamplingRate": 0.7,
+                                                        "featureSubsetStrategy": "0.5"}])
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_small_frames_take_no_passes_and_grow_the_same_trees(spark, monkeypatch, settings, classes):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 3))
+    y = np.round(np.abs(x[:, 0] * 2 + x[:, 1])) % classes if classes else x[:, 0] * 2 + x[:, 1]
+    d = spark.createDataFrame([([float(v) for v in a], float(b), i % 3) for i, (a, b) in enumerate(zip(x, y))],
+                              "a array<double>, label double, fold int").select(array_to_vector("a").alias("features"), "label", "fold")
+    d = d.repartition(4).cache()
+    d.count()
+    passes, reduced = [], B._reduced
+    monkeypatch.setattr(B, "_reduced", lambda *a: passes.append(1) or reduced(*a))
+    make = (lambda: B.BoostedClassifier(maxIter=5, **settings)) if classes else (lambda: B.BoostedRegressor(maxIter=5, **settings))
+    local = [m._read() for m in make().fit_folds(d, 3)]
+    assert not passes
+    monkeypatch.setattr(B, "LOCAL_CELLS", 0)
+    spread = [m._read() for m in make().fit_folds(d, 3)]
+    assert passes
+    for (_, s1, t1), (_, s2, t2) in zip(local, spread, strict=True):
+        assert np.allclose(s1, s2) and [t.feature for t in t1] == [t.feature for t in t2]
+        assert all(np.allclose(a.threshold, b.threshold) and np.allclose(a.value, b.value) for a, b in zip(t1, t2, strict=True))
