@@ -1,11 +1,13 @@
 """K4 Kernel SHAP and K9 LIME for any fitted model (model-agnostic).
 
-Both make synthetic feature vectors for each explained row with array
-expressions (``explode`` over coalition / sample numbers -- no join; the plan
-does not grow with the features), score them with the model's own
-``transform`` (JVM, vectorised), and reduce them to the sums of a small weighted
-least-squares problem per row while they stream by (``Summarizer``, combined
-before the shuffle): no task holds a row's samples.
+Both make synthetic feature vectors for each explained row, score them, and
+reduce them to the sums of a small weighted least-squares problem per row. For
+boosted trees and Gaussian naive Bayes (``batch``) a task does this in arrays,
+one explained row after the other. For any other model the synthetic rows are
+made by array expressions (``explode`` over coalition / sample numbers -- no
+join; the plan does not grow with the features), scored with the model's own
+``transform`` (JVM) and summed while they stream by (``Summarizer``, combined
+before the shuffle). Coalitions, samples and noise are the same either way.
 
 * Kernel SHAP: a coalition is a set of features, known by its number: the
   number's bits when all 2^M - 2 are taken, else a size drawn by the Shapley
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwise.functions.frames import attach_one_row
+from tabwise.operators.explain.batch import batch_scorer, hash_int, uniform
 from tabwise.operators.quantiles import quantile_map
 from tabwise.session import default_parallelism
 
@@ -51,7 +54,7 @@ def output_kind(model: Model) -> str:
     name = type(model).__name__
     if "GBTClassification" in name or "LinearSVC" in name or "OneVsRest" in name:
         return "margin"
-    if "Classification" in name:
+    if "Classification" in name or "NaiveBayes" in name:
         return "probability"
     return "prediction"
 
@@ -104,6 +107,32 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(default_parallelism(rows.sparkSession), "row_id")
 
 
+#: Synthetic rows that are scored at once.
+SCORED_ROWS = 32_768
+
+
+def _kernel_rows(score: Callable[[np.ndarray], np.ndarray], members: np.ndarray, background: np.ndarray, weighted: np.ndarray,
+                 inverse: np.ndarray, last: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """f(x) and all attributions but the last of every row, with the values of
+    all coalitions over all background rows."""
+    at_once = max(1, SCORED_ROWS // len(members))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e, present = score(background).mean(), members[:, None, :] > 0
+        for pdf in batches:
+            fx, phi = [], []
+            for x in pdf["_x"]:
+                x, value = np.asarray(x, float), np.zeros(len(members))
+                for i in range(0, len(background), at_once):
+                    some = background[i:i + at_once]
+                    mixed = np.where(present, x, some[None, :, :]).reshape(-1, len(x))
+                    value += score(mixed).reshape(len(members), len(some)).sum(axis=1)
+                fx.append(float(score(x[None, :])[0]))
+                phi.append(inverse @ (weighted.T @ (value / len(background) - e)) - last * (fx[-1] - e))
+            yield pd.DataFrame({"row_id": pdf["row_id"], "fx": fx, "phi": phi})
+    return run
+
+
 def kernel_shap(model: Model, rows: DataFrame, background: DataFrame, feature_names: Sequence[str], row_id: str,
                 features_col: str = "features", n_samples: int = 2048, class_index: int = 1,
                 seed: int = 42) -> DataFrame:
@@ -115,6 +144,21 @@ def kernel_shap(model: Model, rows: DataFrame, background: DataFrame, feature_na
         raise ValueError("background must have at most 100 rows (take it with background_sample)")
     z = F.col("_z")
     count, members, weight = coalition(M, max(n_samples, 2 * M + 2), z, seed) if M > 1 else (0, None, None)
+    names = F.from_json(F.lit(json.dumps(list(feature_names))), "array<string>")
+    x = _spread(rows.select(F.col(row_id).cast("string").alias("row_id"), vector_to_array(features_col).alias("_x")))
+    score = batch_scorer(model, kind, class_index) if M > 1 else None
+    if score is not None and (bg := [r[0] for r in background.select(vector_to_array(features_col)).collect()]):
+        # as many coalitions as samples are asked for, 100 background rows: these are the caller's numbers, not the data's
+        drawn = spark.range(count).select(F.col("id").cast("int").alias("_z")).select(members.alias("m"), weight.alias("w")).collect()
+        m, w = np.array([r["m"] for r in drawn], float), np.array([r["w"] for r in drawn], float)
+        a = m[:, :-1] - m[:, -1:]
+        weighted = a * w[:, None]
+        inverse = np.linalg.pinv(weighted.T @ a)
+        run = _kernel_rows(score, m, np.array(bg, float), weighted, inverse, inverse @ (weighted.T @ m[:, -1]))
+        e = float(score(np.array(bg, float)).mean())
+        solved = x.mapInPandas(run, "row_id string, fx double, phi array<double>").groupBy("row_id").agg(
+            F.avg("fx").alias("fx"), vector_to_array(Summarizer.mean(array_to_vector("phi"))).alias("phi")).withColumn("e", F.lit(e))
+        return _attributions(solved, names)
     solver = None
     if M > 1:
         # normal equations of all coalitions: (M - 1)^2 sums, and those that go with the constraint
@@ -125,7 +169,6 @@ def kernel_shap(model: Model, rows: DataFrame, background: DataFrame, feature_na
         inverse = np.linalg.pinv(sums["aa"].toArray().reshape(M - 1, M - 1))
         solver = spark.createDataFrame([([r.tolist() for r in inverse], (inverse @ sums["am"].toArray()).tolist())],
                                        "inverse array<array<double>>, last array<double>")
-    x = _spread(rows.select(F.col(row_id).cast("string").alias("row_id"), vector_to_array(features_col).alias("_x")))
     base = background.select(vector_to_array(features_col).alias("b")).agg(F.collect_list("b").alias("_bg"))
     # number -1 is the row itself, -2 the background alone
     syn = attach_one_row(x.select("row_id", "_x", F.explode(F.sequence(F.lit(-2), F.lit(count - 1))).alias("_z")), base)
@@ -150,31 +193,47 @@ def kernel_shap(model: Model, rows: DataFrame, background: DataFrame, feature_na
             - r["last"] * (F.col("fx") - F.col("e"))))
     else:
         solved = vals.groupBy("row_id").agg(*ends).withColumn("phi", F.array().cast("array<double>"))
+    return _attributions(solved, names)
+
+
+def _attributions(solved: DataFrame, names: Column) -> DataFrame:
+    """Long form; the last feature gets what the others leave of f(x) - E[f]."""
     rest = F.col("fx") - F.col("e") - F.aggregate("phi", F.lit(0.0), lambda s, v: s + v)
-    names = F.from_json(F.lit(json.dumps(list(feature_names))), "array<string>")
     return solved.select("row_id", F.col("e").alias("base_value"), F.posexplode(F.concat("phi", F.array(rest)))).select(
         "row_id", (F.col("pos") + 1).alias("position"), F.get(names, F.col("pos")).alias("feature"), F.col("col").alias("value"),
         "base_value")
 
 
-def lime(model: Model, rows: DataFrame, train: DataFrame, feature_names: Sequence[str], row_id: str,
-         features_col: str = "features", n_samples: int = 5000, top_n: int = 5, class_index: int = 1,
-         seed: int = 42) -> DataFrame:
-    """K9: ``(row_id, lime array<struct<name, weight>>)`` -- the ``top_n``
-    bin conditions with the largest ridge weights; ``row_id`` is unique."""
-    M, spark = len(feature_names), rows.sparkSession
-    kind = output_kind(model)
-    cols = [f"_f{j}" for j in range(M)]
-    tr = train.select(vector_to_array(features_col).alias("_a")).select(*[F.col("_a")[j].alias(c) for j, c in enumerate(cols)])
-    probs = (0.0, 0.25, 0.5, 0.75, 1.0)
-    qm = quantile_map(tr, cols, probs)
-    features = spark.createDataFrame([([(n, [float(qm[(c, p)]) for p in probs]) for n, c in zip(feature_names, cols)],)],
-                                     "_f array<struct<name:string, e:array<double>>>")
-    x = _spread(rows.select(F.col(row_id).cast("string").alias("row_id"), vector_to_array(features_col).alias("_x")))
-
-    def own_bin(v: Column, e: Column) -> Column:
-        return F.when(v <= e[1], 0).when(v <= e[2], 1).when(v <= e[3], 2).otherwise(3)
-    at = attach_one_row(x, features).withColumn("_own", F.transform("_f", lambda f, j: own_bin(F.get("_x", j), f["e"])))
+def _lime_rows(score: Callable[[np.ndarray], np.ndarray], edges: np.ndarray, n_samples: int,
+               width: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The sums of the ridge regression of every row over all its perturbations."""
+    M = len(edges)
+    feature = np.arange(M)
+
+    def sums(x: np.ndarray, seed: int) -> np.ndarray:
+        noise = hash_int(feature[None, :], hash_int(np.arange(n_samples), np.uint64(seed & 0xFFFFFFFFFFFFFFFF))[:, None])
+        own = (~(x[:, None] <= edges[:, 1:4])).sum(axis=1)
+        bins = np.minimum((uniform(hash_int(0, noise)) * 4).astype(int), 3)
+        bins[:1] = own
+        low = edges[feature, bins]
+        value = low + uniform(hash_int(1, noise)) * (edges[feature, bins + 1] - low)
+        value[:1] = x
+        same = (bins == own).astype(float)
+        f = score(value)
+        w = np.sqrt(np.exp(-(M - same.sum(axis=1)) / width ** 2))
+        weighted = same * w[:, None]
+        return np.concatenate([[w.sum(), w @ f], weighted.sum(axis=0), weighted.T @ f, (weighted.T @ same).ravel()])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"row_id": pdf["row_id"], "sums": [sums(np.asarray(x, float), int(h))
+                                                                  for x, h in zip(pdf["_x"], pdf["_h"], strict=True)]})
+    return run
+
+
+def _lime_sums(model: Model, at: DataFrame, features_col: str, kind: str, class_index: int, n_samples: int, seed: int, M: int,
+               width: float) -> DataFrame:
+    """The same sums by the model's own ``transform``."""
     samp = at.select("row_id", "_x", "_f", "_own", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("_s"))
 
     def u(j: Column, salt: int) -> Column:
@@ -191,12 +250,40 @@ def lime(model: Model, rows: DataFrame, train: DataFrame, feature_names: Sequenc
     scored = model.transform(syn)
     scored = scored.select("row_id", "_same", _output(scored, kind, class_index).alias("f"))
     off = F.lit(float(M)) - F.aggregate("_same", F.lit(0.0), lambda s, v: s + v)    # squared distance to the row's bins
-    width = 0.75 * math.sqrt(M)
     weighted = scored.withColumn("w", F.sqrt(F.exp(-off / F.lit(width ** 2))))
     # w, w f, w b, w f b, w b b': everything that the ridge regression needs
     w, f, same = F.col("w"), F.col("f"), F.col("_same")
     terms = F.concat(F.array(w, w * f), _times(w, same), _times(w * f, same), _times(w, _outer(same)))
-    sums = weighted.groupBy("row_id").agg(vector_to_array(Summarizer.sum(array_to_vector(terms))).alias("sums"))
+    return weighted.groupBy("row_id").agg(vector_to_array(Summarizer.sum(array_to_vector(terms))).alias("sums"))
+
+
+def lime(model: Model, rows: DataFrame, train: DataFrame, feature_names: Sequence[str], row_id: str,
+         features_col: str = "features", n_samples: int = 5000, top_n: int = 5, class_index: int = 1,
+         seed: int = 42) -> DataFrame:
+    """K9: ``(row_id, lime array<struct<name, weight>>)`` -- the ``top_n``
+    bin conditions with the largest ridge weights; ``row_id`` is unique."""
+    M, spark = len(feature_names), rows.sparkSession
+    kind = output_kind(model)
+    cols = [f"_f{j}" for j in range(M)]
+    tr = train.select(vector_to_array(features_col).alias("_a")).select(*[F.col("_a")[j].alias(c) for j, c in enumerate(cols)])
+    probs = (0.0, 0.25, 0.5, 0.75, 1.0)
+    qm = quantile_map(tr, cols, probs)
+    features = spark.createDataFrame([([(n, [float(qm[(c, p)]) for p in probs]) for n, c in zip(feature_names, cols)],)],
+                                     "_f array<struct<name:string, e:array<double>>>")
+    x = _spread(rows.select(F.col(row_id).cast("string").alias("row_id"), vector_to_array(features_col).alias("_x")))
+
+    def own_bin(v: Column, e: Column) -> Column:
+        return F.when(v <= e[1], 0).when(v <= e[2], 1).when(v <= e[3], 2).otherwise(3)
+    at = attach_one_row(x, features).withColumn("_own", F.transform("_f", lambda f, j: own_bin(F.get("_x", j), f["e"])))
+    width = 0.75 * math.sqrt(M)
+    score = batch_scorer(model, kind, class_index)
+    if score is not None:
+        edges = np.array([[float(qm[(c, p)]) for p in probs] for c in cols])
+        hashed = x.select("row_id", "_x", F.xxhash64(F.lit(seed), "row_id").alias("_h"))
+        per_row = hashed.mapInPandas(_lime_rows(score, edges, n_samples, width), "row_id string, sums array<double>")
+        sums = per_row.groupBy("row_id").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    else:
+        sums = _lime_sums(model, at, features_col, kind, class_index, n_samples, seed, M, width)
 
     def solve(sums: pd.Series) -> pd.Series:
         out = []
