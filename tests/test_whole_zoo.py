@@ -44,3 +44,19 @@ def test_leaderboards_train_the_whole_zoo(spark, tables, monkeypatch, query, tas
 def test_models_taken_by_name_come_from_the_shared_run_if_it_is_there(spark, monkeypatch, name):
     monkeypatch.setitem(ml_q._RUNS, (id(spark), "somewhere"), name)
     assert ml_q._model_run(spark, "somewhere") == name
+
+
+def test_training_reads_neither_the_tables_nor_the_texts_again(spark, tables, monkeypatch):
+    from tabwise.plans.testviews import document_table
+
+    def seen(data, *a, **b):
+        assert not [f for f in data.inputFiles() if f.startswith(f"file:{tables}") or f.startswith(f"file://{tables}")]
+        raise Seen
+    monkeypatch.setattr(train, "train_all", seen)
+    with pytest.raises(Seen):
+        ml_q.q_test(spark, tables)
+    spark.sql("select id as doc_id, concat('Text ', id, '.') as text, 'en' as lang, 's' as source, 7L as n_chars from range(9)").write.parquet(
+        f"{tables}/documents.parquet")
+    spark.sql("select id as doc_id, cast(id % 2 as int) as quality from range(6)").write.parquet(f"{tables}/labels.parquet")
+    docs = document_table(spark, tables)
+    assert docs.count() == 6 and not [f for f in docs.inputFiles() if tables in f]
